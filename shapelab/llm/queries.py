@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import media, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
+    "op8_neardup": neardup.op8_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

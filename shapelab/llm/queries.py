@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, neardup
+from . import decontaminate, media, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op8_neardup": neardup.op8_neardup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, neardup
+from . import decontaminate, media, neardup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
+    "op2_quality": quality.op2_quality,
     "op8_neardup": neardup.op8_neardup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media, neardup, pii, quality
+from . import decontaminate, media, neardup, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
+    "op4_packing": packing.op4_packing,
     "op7_pii": pii.op7_pii,
     "op8_neardup": neardup.op8_neardup,
     "op10_decontaminate": decontaminate.op10_decontaminate,

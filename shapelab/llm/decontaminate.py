@@ -16,7 +16,7 @@ that ends first). Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -181,12 +181,22 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted((i, s, e, edits, -shared) for (i, s, e), (edits, shared) in best.items())
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ITEMS_AT_ONCE, of which the driver holds one at a time."""
+    n = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    for k in range(n):
+        yield sorted((r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per region of a document that holds a benchmark item: doc_id, item_id, start, end, edits, shared_grams."""
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
+    items = _items(benchmark)
     schema = "doc_id long, item_id long, start long, end long, edits int, shared_grams int"
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +210,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return texts.mapInArrow(run, schema)
 
     out = None
-    for k in range(blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        part = scan(sorted(block))
+    for block in _blocks(items):
+        part = scan(block)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item."""
+
+    def without(block: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(block)
+            for b in batches:
+                yield b.filter(pa.array([not matches(index, x.as_py() or "") for x in b.column(text_col)], pa.bool_()))
+
+        return run
+
+    for block in _blocks(_items(benchmark)):
+        docs = docs.mapInArrow(without(block), docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelab.operators.graph import components
@@ -200,5 +200,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are kept; of rows with one doc_id, one (the smallest text hash). Rows without an id stay."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    with_id = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
+    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
+    once = with_id.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    return once.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

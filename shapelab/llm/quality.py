@@ -227,6 +227,17 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the model doesn't reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [calibrated(document_quality(x.as_py() or "", model), model) >= 0.5 for x in b.column(text_col)]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

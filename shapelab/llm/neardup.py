@@ -1,9 +1,11 @@
 """Near duplicates by MinHash bands and sequential Bayesian verification.
 
 Documents with the same words form a class; only its smallest doc_id goes on. Band keys of the MinHash
-signatures give candidates. Within a bucket not all pairs are made: a document meets the bucket's pivot
-first, what is confirmed is merged, and only members of a bucket that are still in different components
-meet each other. Pairs that one component already joins need no check, so no component is lost.
+signatures give candidates. Shingles that no other candidate has can be in no intersection: they bound how
+large a document's partner may be, and rule out documents that no partner can reach. Within a bucket not all
+pairs are made: a document meets the bucket's pivot first, what is confirmed is merged, and only members of a
+bucket that are still in different components and within each other's bounds meet. Pairs that one component
+already joins need no check, so no component is lost.
 A candidate's signatures are compared batch by batch; it is pruned once the posterior probability that its
 similarity reaches the threshold is below MISS. Survivors are verified on the full shingle sets.
 
@@ -145,17 +147,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _unique_counts(texts: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of a document no other document of `texts` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingles_of(words_of(x.as_py())).view(np.int64) for x in part.column(1)]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], ["doc_id", "shingle"])
+
+    once = texts.mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     base = written(sketches(docs, id_col, text_col))
     classes = cut(base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    sigs = written(base.select("doc_id", "key", "sig").join(classes, "key").where("doc_id = rep").select("doc_id", "sig").dropDuplicates(["doc_id"]))
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(sigs.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sigs = written(base.select("doc_id", "key", "n_shingles", "sig").join(classes, "key").where("doc_id = rep").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]))
     band = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {4 * ROWS * i + 1}, {4 * ROWS})")) for i in range(BANDS)])
     bands = sigs.select("doc_id", F.explode(band).alias("bucket"))
-    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("p"))
-    buckets = bands.groupBy("bucket").agg(F.min(order).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(bands.join(buckets, "bucket").select("bucket", "doc_id", "pivot"))  # buckets of one are gone
+    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(bands.join(buckets, "bucket").select("bucket", "doc_id", "n"))  # buckets of one are gone
+
+    # What a document's own shingles leave bounds its partners' sizes; many have no possible partner.
+    members = cut(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    texts = written(texts.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    least, whole = SIMILAR
+    size = F.col("n_shingles")
+    widest = F.floor((size - F.coalesce("own", F.lit(0))) * (least + whole) / least) - size
+    able = sigs.select("doc_id", "n_shingles").join(members, "doc_id").join(_unique_counts(texts), "doc_id", "left").select("doc_id", size.alias("size"), widest.alias("widest"), "weight")
+    able = cut(able.where(F.col("widest") * whole >= F.col("size") * least))  # a partner has at least that share of the size
+    sigs = written(sigs.select("doc_id", "sig").join(able.select("doc_id"), "doc_id", "left_semi"))
+    rows = shared.select("bucket", "doc_id").join(able, "doc_id")
+    # A bucket's pivot is the document with the largest buckets: that from which a group of copies was made, or one like it.
+    pivots = rows.groupBy("bucket").agg(F.max(F.struct("weight", "doc_id", "size", "widest")).alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest")).where("n > 1").drop("n")
+    shared = cut(rows.join(pivots, "bucket").where("smallest <= widest").select("bucket", "doc_id", "size", "widest", "pivot"))
     labels = None
 
     def merged(pairs: DataFrame) -> None:
@@ -174,23 +204,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apart() -> DataFrame:
         """Rows of the buckets that still hold more than one component."""
-        if labels is None:
-            return shared.withColumn("c", F.col("doc_id"))
-        x = shared.join(labels, shared["doc_id"] == labels["node"], "left").select("bucket", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("c"))
+        x = shared.withColumn("c", F.col("doc_id"))
+        if labels is not None:
+            x = shared.join(labels, shared["doc_id"] == labels["node"], "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
         mixed = x.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
         return cut(x.join(mixed, "bucket"))
 
+    fits = "pivot.doc_id <> doc_id and pivot.size <= widest and size <= pivot.widest"
     # Each document meets the one pivot that comes first in order.
-    merged(shared.where("pivot.p <> doc_id").groupBy("doc_id").agg(F.min("pivot").alias("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot.p").alias("b")))
+    merged(shared.where(fits).groupBy("doc_id").agg(F.max("pivot").alias("pivot")).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b")))
     # Then the pivots of all its buckets that are in other components.
     rest = apart()
     at = rest.select(F.col("doc_id").alias("b"), F.col("c").alias("c_b")).distinct()
-    firsts = rest.select(F.col("doc_id").alias("a"), "c", F.col("pivot.p").alias("b")).where("a <> b").distinct()
+    firsts = rest.where(fits).select(F.col("doc_id").alias("a"), "c", F.col("pivot.doc_id").alias("b")).distinct()
     merged(firsts.join(at, "b").where("c <> c_b").select("a", "b"))
-    # Then whatever a bucket still holds in different components.
+    # Then whatever a bucket still holds in different components and within the bounds on sizes.
     rest = apart()
-    x, y = (rest.select("bucket", F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}")) for k in ("a", "b"))
-    merged(x.join(y, "bucket").where("c_a < c_b").select("a", "b").distinct())
+    x, y = (rest.select("bucket", F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}"), F.col("size").alias(f"s_{k}"), F.col("widest").alias(f"w_{k}")) for k in ("a", "b"))
+    merged(x.join(y, "bucket").where("c_a < c_b and s_a <= w_b and s_b <= w_a").select("a", "b").distinct())
 
     if labels is None:
         known = classes.select("key", F.col("rep").alias("component_id"))

@@ -117,8 +117,21 @@ class Index:
         wide = self.k[item] + 1
         band = diagonal // wide
         found = []
-        key = np.unique(np.concatenate([np.stack([item, b, pos], 1) for b in (band, band - 1)]), axis=0)
-        (item, band), n = (x := np.unique(key[:, :2], axis=0, return_counts=True))[0].T, x[1]
+        # one number for item, band and place in the item; a band more for those that overlap
+        low = int(band.min()) - 1
+        wide, long = int(band.max()) - low + 1, int(self.m.max())
+        at_band = item * wide + (band - low)
+        n = np.bincount(at_band - item.min() * wide) if wide * (int(item.max() - item.min()) + 1) < 4 * PAIRS else None
+        if n is not None:  # the bound on two bands together leaves few of the pairs to be sorted
+            both = n + np.append(n[1:], 0)
+            most = np.maximum(both, np.append(0, both[:-1]))[at_band - item.min() * wide]
+            use = most >= self.least[item]
+            if not use.any():
+                return []
+            at_band, pos = at_band[use], pos[use]
+        key = np.concatenate([at_band, at_band - 1]) * long + np.tile(pos, 2)
+        at_band, n = np.unique(np.unique(key) // long, return_counts=True)
+        item, band = at_band // wide, at_band % wide + low
         ok = n >= self.least[item]
         for i, b, c in zip(item[ok].tolist(), band[ok].tolist(), n[ok].tolist()):
             w = int(self.k[i]) + 1
@@ -130,6 +143,15 @@ class Index:
         return found
 
 
+def exact(item: np.ndarray, text: np.ndarray) -> int | None:
+    """Where the item first stands in text as it is."""
+    a, b, s = item.tobytes(), text.tobytes(), -1
+    while (s := b.find(a, s + 1)) >= 0:
+        if s % 4 == 0:
+            return s // 4
+    return None
+
+
 def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tuple[int, int] | None:
     """The fewest edits that turn the whole item into a piece of text on the diagonals lo..hi, and where that piece ends; None beyond `most`."""
     d = np.arange(lo, hi + 1)
@@ -161,6 +183,10 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int, int]]:
     for i, lo, hi, shared in regions:
         item, k = index.cps[i], int(index.k[i])
         lo, hi = max(lo - k, -len(item)), min(hi + k, len(cp))
+        if (s := exact(item, cp[max(lo, 0) : hi + len(item)])) is not None:
+            s += max(lo, 0)
+            found.add((index.ids[i], int(at[s]), int(at[s + len(item) - 1]) + 1, 0, shared))
+            continue
         if (end := align(item, cp, lo, hi, k)) is None:
             continue
         edits, e = end

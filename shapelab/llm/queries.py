@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, media, neardup, packing, pii, quality
+from . import decontaminate, language, licenses, media, neardup, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
     "op4_packing": packing.op4_packing,
     "op5_language": language.op5_language,
+    "op6_licenses": licenses.op6_licenses,
     "op7_pii": pii.op7_pii,
     "op8_neardup": neardup.op8_neardup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_licenses": licenses.SQL,
+}

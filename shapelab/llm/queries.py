@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding
+from . import decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
     "op2_quality": quality.op2_quality,
+    "op3_main_text": webtext.op3_main_text,
     "op4_packing": packing.op4_packing,
     "op5_language": language.op5_language,
     "op6_licenses": licenses.op6_licenses,

@@ -23,13 +23,21 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Imports the modules whose queries register themselves."""
+    from . import geometry, learning, measures, relations  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    """The triplet question: is B or C nearer to A, and how often is that the given answer?"""
+    return queries()["triplet_accuracy"](spark, sf_dir)

@@ -31,9 +31,10 @@ SEQUENCE, UNIT, END = 4096, 16, 2
 BUCKET = 50_000
 #: Bounds of the linear program: steps, and the gap to the lower bound at which it ends.
 STEPS, GAP = 3000, 5e-4
-CACHED_CHUNKS = 200_000
+CACHED_CHUNKS = 600_000
 #: Python splits at these, the tokenizer doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
+_WIDE = re.compile("[^\x00-\xff]")
 
 
 @lru_cache(1)
@@ -51,22 +52,68 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Token ids as little-endian bytes. No token of this vocabulary spans white space, so chunks between
-    white space are encoded once and remembered; a bounded number of them is kept."""
+    """Token ids as little-endian bytes. No token of this vocabulary spans white space, so what stands between
+    white space is encoded once and remembered. The tokenizer lower-cases; a Latin-1 text is lower-cased first,
+    so that one entry serves all spellings, and a word with a stop or comma behind it takes the word's entry.
+    A bounded number of entries is kept, the oldest half goes first."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.kept = _tokenizer(path), {}
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.stops = {c: self._plain(c) for c in ".,"}
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone: one run of tokens each, whose last one ends a word."""
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != len(part):
+                self.kept.update((w, self._plain(w)) for w in part)
+                continue
+            raw = ids.tobytes()
+            lo = 0
+            for w, hi in zip(part, (4 * at).tolist()):
+                self.kept[w] = raw[lo:hi]
+                lo = hi
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if "<|" in text or _ODD.search(text):  # special tokens; white space of Python's own
+            return None
+        return text.lower().split() if text.isascii() or not _WIDE.search(text) else text.split()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({c for x in chunks if x for c in x if c not in self.kept})
-        if len(self.kept) + len(new) > CACHED_CHUNKS:
-            self.kept = {}
-            new = list({c for x in chunks if x for c in x})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.kept.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(get, x)) for t, x in zip(texts, chunks)]
+        chunks = [self._chunks(t) for t in texts]
+        kept = self.kept
+        new = {c for x in chunks if x for c in x if c not in kept}
+        if len(kept) + 2 * len(new) > CACHED_CHUNKS:
+            for c in list(kept)[: len(kept) // 2]:
+                del kept[c]
+            new = {c for x in chunks if x for c in x if c not in kept}
+        ended = {c: c[:-1] for c in new if c[-1] in ".," and c[:-1].isalpha()}
+        simple = {c for c in new if c.isalpha()} | {w for w in ended.values() if w not in kept}
+        self._learn([w for w in simple if not _WIDE.search(w)])
+        for c in simple:
+            if c not in kept:
+                kept[c] = self._plain(c)
+        for c in new:
+            if c in ended:
+                kept[c] = kept[ended[c]] + self.stops[c[-1]]
+            elif c not in kept:
+                kept[c] = self._plain(c)
+        get = kept.__getitem__
+        return [self._plain(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, chunks)]
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whatever tasks it runs."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -75,7 +122,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

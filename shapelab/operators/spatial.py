@@ -40,9 +40,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vector).collect()
         ids = np.array([r[0] for r in part], np.int64)
-        qs = np.array([r[1] for r in part], np.float64).reshape(len(part), -1)
+        qs = np.array([r[1] for r in part], np.float64).reshape(len(part), len(part[0][1]) if part else 0)
 
         def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, qs: np.ndarray = qs) -> Iterator[pa.RecordBatch]:
+            if not len(ids):
+                return
             best_d = np.full((len(ids), 0), np.inf)
             best_i = np.zeros((len(ids), 0), np.int64)
             for batch in batches:

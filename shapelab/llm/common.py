@@ -38,3 +38,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/shapelab-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from shapelab.operators.graph import components
 from shapelab.session import cut
 
-from .common import documents, text_of, written
+from .common import documents, free, text_of, written
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -233,10 +233,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are kept; of rows with one doc_id, one (the smallest text hash). Rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
-    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
-    once = with_id.withColumn("_again", F.row_number().over(again)).where("_again = 1").drop("_again")
+    own, again = free(docs, "_kept"), free(docs, "_again")
+    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
+    with_id = docs.join(kept, F.col(id_col).cast("long") == F.col(own), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_of(text_col)))
+    once = with_id.withColumn(again, F.row_number().over(order)).where(F.col(again) == 1).drop(again)
     return once.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
-from .common import documents, text_of, written
+from .common import documents, free, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns give, without going back: a run of a pattern's first characters is
@@ -150,7 +150,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """docs with every base span replaced by its kind and every revealing term generalised or removed."""
     found_ = private_spans(docs, id_col, text_col).where("size(spans) + size(terms) > 0")
     spans = F.array_sort(F.transform(F.concat("spans", "terms"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    found_ = cut(found_.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), spans.alias("_spans")).dropDuplicates(["_i", "_h"]))
+    i, h, at = (free(docs, x) for x in ("_id", "_hash", "_spans"))
+    found_ = cut(found_.select(F.col("doc_id").alias(i), F.col("h").alias(h), spans.alias(at)).dropDuplicates([i, h]))
     label = lambda k: F.coalesce(*[F.when(k == a, b) for a, b in LABELS.items()])
     text = text_of(text_col)
 
@@ -160,9 +161,9 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    joined = docs.join(found_, (docs[id_col].cast("long").eqNullSafe(F.col("_i"))) & (F.xxhash64(text) == F.col("_h")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text_col))).drop("_i", "_h", "_spans")
+    clean = F.aggregate(at, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    joined = docs.join(found_, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(text) == F.col(h)), "left")
+    return joined.withColumn(text_col, F.when(F.col(at).isNotNull(), clean).otherwise(F.col(text_col))).drop(i, h, at)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 The DOMs of a host's pages are merged: an element node is a path of tags with their classes, a style node one
 sequence of children seen below it. Presentation that varies from page to page, and content that differs from
 page to page, is important; what repeats is not. The importance of an element is the entropy of its styles,
-and, below it, that of its children weighted by how often each style occurs; a leaf's is what the entropy of
-its texts over the pages leaves of repetition. Branches under THRESHOLD are left out.
+and, below it, that of its children weighted by how often each style occurs; a leaf's is the entropy of its
+texts over the pages. A branch is left out if it and all elements in it are under THRESHOLD.
 
 A host with fewer than PAGES pages says too little about what repeats; a prior by the role of a tag stands for
 pages that are missing (copies of one page count once; menus, headers, footers, sidebars, notices, adverts, forms and comments are noise by
@@ -49,6 +49,8 @@ ENDS_P = BLOCK - {"caption", "dd", "dt", "tbody", "td", "tfoot", "th", "thead",
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 NOISE_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|comment-\w+|reply|replies|respond|disqus|reader-comments?|related|recommend\w*|popular|trending|copyright|legal|disclaimer|pagination|pager|skip|toolbar|form)(?:$|[-_ ])", re.I)
 CONTENT_ROLES = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_]+(?:header|head|title|body|text)", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -57,16 +59,21 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "noise", "path", "tag", "texts")
+    __slots__ = ("children", "depth", "name", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool) -> None:
-        self.tag, self.path, self.noise = tag, path, noise
+    def __init__(self, tag: str, name: str, path: str, depth: int, noise: bool) -> None:
+        self.tag, self.name, self.path, self.depth, self.noise = tag, name, path, depth, noise
         self.children: list[Node | str] = []
 
 
+def child_path(path: str, name: str) -> str:
+    """A path of any depth has a key of one length."""
+    return xxhash.xxh3_64_hexdigest(f"{path}/{name}")
+
+
 def parse(page: str) -> Node:
     """The page's elements below a root; what a browser would close by itself is closed."""
-    root = Node("", "", False)
+    root = Node("", "", "", 0, False)
     stack, at, end = [root], 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -114,11 +121,14 @@ def parse(page: str) -> Node:
                 hidden = True
             elif value:
                 names.append(value)
-        name = _DIGITS.sub("#", " ".join(names).lower())
+        name = _DIGITS.sub("#", " ".join(names).lower()).replace(">", "")
         noise = hidden or tag in NOISE or bool(NOISE_NAMES.search(name))
+        if tag in HEADINGS or OWN_HEADER.search(name):
+            noise = hidden
         if tag == "header" and stack[-1].tag in CONTENT_ROLES and not NOISE_NAMES.search(name):
             noise = False  # an article's own heading
-        node = Node(tag, f"{stack[-1].path}/{tag}" + f".{name}" * bool(name), noise)
+        full = f"{tag}.{name}" if name else tag
+        node = Node(tag, full, child_path(stack[-1].path, full), stack[-1].depth + 1, noise)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -155,7 +165,7 @@ def style_of(x: Node) -> str:
     tags: list[str] = []
     for c in x.children:
         if isinstance(c, Node) and c.tag not in SILENT and c.tag not in VOID:
-            name = c.path[len(x.path) + 1 :]
+            name = c.name
             if not tags or tags[-1] != name:
                 tags.append(name)
     return ">".join(tags)
@@ -181,7 +191,7 @@ def blocks(root: Node, drop: set[str], noisy: bool = True) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x.tag in SILENT or x.path in drop or (x.noise and noisy):
+        elif x.tag in SILENT or (x.path in drop and x.tag in BLOCK) or (x.noise and noisy):  # words inside a block stay together
             if x.tag in BLOCK:
                 flush()
         else:
@@ -198,7 +208,7 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
-    """The merged trees: (host, path, noise, kind, value, n). kind 's' counts pages by style, 't' by text."""
+    """The merged trees: (host, path, depth, noise, kind, value, n). kind 's' counts pages by style, 't' by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,40 +219,42 @@ def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url")
                     for x in elements(parse(page)):
                         if not x.path:
                             continue
-                        seen.add((host, x.path, x.noise, "s", style_of(x)))
+                        seen.add((host, x.path, x.depth, x.noise, "s", style_of(x)))
                         text = own_text(x)
                         if text:
-                            seen.add((host, x.path, x.noise, "t", f"{xxhash.xxh3_64_intdigest(text) >> (64 - FEATURE_BITS):x}"))
+                            seen.add((host, x.path, x.depth, x.noise, "t", f"{xxhash.xxh3_64_intdigest(text) >> (64 - FEATURE_BITS):x}"))
                     for key in seen:
                         counts[key] = counts.get(key, 0) + 1
-                cols = list(zip(*counts)) or [[]] * 5
-                yield pa.record_batch([pa.array(list(cols[0]), pa.string()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.bool_()), pa.array(list(cols[3]), pa.string()), pa.array(list(cols[4]), pa.string()), pa.array(list(counts.values()), pa.int64())], ["host", "path", "noise", "kind", "value", "n"])
+                cols = list(zip(*counts)) or [[]] * 6
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+                yield pa.record_batch([*[pa.array(list(c), k) for c, k in zip(cols, kinds)], pa.array(list(counts.values()), pa.int64())], ["host", "path", "depth", "noise", "kind", "value", "n"])
 
     p = pages.select("page_id", host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
     # copies of one page on a host say nothing about what its pages share
     first = p.groupBy("host", F.xxhash64("page").alias("h")).agg(F.min("page_id").alias("page_id")).select("page_id").distinct()
     p = p.join(first, "page_id", "left_semi").select("host", "page")
-    counted = p.mapInArrow(run, "host string, path string, noise boolean, kind string, value string, n long")
-    return counted.groupBy("host", "path", "noise", "kind", "value").agg(F.sum("n").alias("n"))
+    counted = p.mapInArrow(run, "host string, path string, depth int, noise boolean, kind string, value string, n long")
+    return counted.groupBy("host", "path", "depth", "noise", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 def node_table(counts: DataFrame) -> DataFrame:
     """A row per host, path and style: how many pages have the path and the style, and the entropies of styles and texts, in units of the largest possible."""
-    each = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("plogp"), F.max("noise").alias("noise"))
+    each = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("plogp"), F.max("noise").alias("noise"), F.max("depth").alias("depth"))
     entropy = F.when(F.col("m") > 1, (F.ln("m") - F.col("plogp") / F.col("m")) / F.ln("m")).otherwise(1.0)
     each = each.withColumn("entropy", entropy)
     texts = each.where("kind = 't'").select("host", "path", F.col("m").alias("n_text"), F.col("entropy").alias("text_entropy"))
-    nodes = each.where("kind = 's'").select("host", "path", "m", "noise", F.col("entropy").alias("style_entropy"))
+    nodes = each.where("kind = 's'").select("host", "path", "depth", "m", "noise", F.col("entropy").alias("style_entropy"))
     styles = counts.where("kind = 's'").select("host", "path", F.col("value").alias("style"), "n")
     return styles.join(nodes, ["host", "path"]).join(texts, ["host", "path"], "left")
 
 
 def importance(rows: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of every element of one host, from the leaves up."""
+    """Composite importance of every element of one host, from the leaves up, and the largest one in its branch."""
     rows = rows.sort_values(["path", "style"])
     known: dict[str, float] = {}
+    branch: dict[str, float] = {}
     out = []
-    for path, g in sorted(rows.groupby("path"), key=lambda x: (-x[0].count("/"), x[0])):
+    for path, g in sorted(rows.groupby("path"), key=lambda x: (-int(x[1]["depth"].iloc[0]), x[0])):
         first = g.iloc[0]
         m, noise = int(first["m"]), bool(first["noise"])
         share = g["n"].to_numpy(float) / g["n"].sum()
@@ -252,11 +264,12 @@ def importance(rows: pd.DataFrame) -> pd.DataFrame:
             parts.append(float(first["text_entropy"]))
             weights.append(min(n_text / m, 1.0))
         below = 0.0
-        any_child = False
+        any_child, most = False, 0.0
         for p, style in zip(share, g["style"]):
-            own = [known[c] for t in style.split(">") if t and (c := f"{path}/{t}") in known]
+            own = [c for t in style.split(">") if t and (c := child_path(path, t)) in known]
             any_child |= bool(own)
-            below += p * (float(np.mean(own)) if own else 0.0)
+            below += p * (float(np.mean([known[c] for c in own])) if own else 0.0)
+            most = max([most, *(branch[c] for c in own)])
         if any_child:
             decay = DAMPING ** len(g)
             node = float(first["style_entropy"]) if m > 1 else 1.0
@@ -265,19 +278,20 @@ def importance(rows: pd.DataFrame) -> pd.DataFrame:
         seen = float(np.average(parts, weights=weights)) if parts and sum(weights) else 0.0
         prior = 0.0 if noise else 1.0
         known[path] = (m * seen + PAGES * prior) / (m + PAGES)
-        out.append((first["host"], path, known[path], noise))
-    return pd.DataFrame(out, columns=["host", "path", "importance", "noise"])
+        branch[path] = max(most, known[path])
+        out.append((first["host"], path, known[path], branch[path], noise))
+    return pd.DataFrame(out, columns=["host", "path", "importance", "branch", "noise"])
 
 
 def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, importance, noise) of the site style trees."""
+    """(host, path, importance, branch, noise) of the site style trees."""
     nodes = node_table(cut(style_counts(pages, page_col, url_col)))
-    return nodes.groupBy("host").applyInPandas(importance, "host string, path string, importance double, noise boolean")
+    return nodes.groupBy("host").applyInPandas(importance, "host string, path string, importance double, branch double, noise boolean")
 
 
 def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds `text` to the columns page_id and url."""
-    low = tree(pages, page_col, url_col).where(F.col("importance") < THRESHOLD)
+    low = tree(pages, page_col, url_col).where(F.col("branch") < THRESHOLD)
     low = cut(low.groupBy(F.col("host").alias("at")).agg(F.sort_array(F.collect_set("path")).alias("low")))  # a host's templates
     p = pages.select("page_id", url_col, host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
     p = p.join(low, F.col("host") == F.col("at"), "left").select("page_id", F.col(url_col).alias("url"), "page", "low")

@@ -3,8 +3,8 @@
 Documents with the same words form a class; only its smallest doc_id goes on. Band keys of the MinHash
 signatures give candidates. Shingles that no other candidate has can be in no intersection: they bound how
 large a document's partner may be, and rule out documents that no partner can reach. Within a bucket not all
-pairs are made: a document meets the bucket's pivot first, what is confirmed is merged, and only members of a
-bucket that are still in different components and within each other's bounds meet. Pairs that one component
+pairs are made: a document meets the bucket's pivot first, what is confirmed is merged, and members of a bucket that are still in different components meet only
+where they share one of their rarest shingles (the exact prefix filter). Pairs that one component
 already joins need no check, so no component is lost.
 A candidate's signatures are compared batch by batch; it is pruned once the posterior probability that its
 similarity reaches the threshold is below MISS. Survivors are verified on the full shingle sets.
@@ -147,8 +147,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _unique_counts(texts: DataFrame) -> DataFrame:
-    """(doc_id, own): how many shingles of a document no other document of `texts` has."""
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """(doc_id, shingle) of every shingle of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,10 +158,35 @@ def _unique_counts(texts: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sets])
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], ["doc_id", "shingle"])
 
-    once = texts.mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long")
+
+
+def _unique_counts(texts: DataFrame) -> DataFrame:
+    """(doc_id, own): how many shingles of a document no other document of `texts` has."""
+    once = _shingle_rows(texts).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar, by prefixes of rare shingles.
+
+    rest: doc_id, c, size, widest, smallest (no partner is smaller). A similar pair has so many shingles in common
+    that it has one among the rarest `size - common + 1` of either side. Shingles of one component alone come first
+    in that order and are in no pair; a document that has enough of them is done."""
+    least, whole = SIMILAR
+    docs = cut(rest.groupBy("doc_id", "c", "size", "widest").agg(F.min("smallest").alias("smallest")))
+    rows = cut(_shingle_rows(texts.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", "c"), "doc_id"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "n")
+    rows = rows.join(shared, "shingle")
+    place = Window.partitionBy("doc_id").orderBy("n", "shingle")
+    common = F.ceil((F.col("size") + F.col("smallest")) * least / (least + whole))
+    first = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))  # those of one component alone
+    rows = rows.join(docs.drop("c"), "doc_id").withColumn("place", F.row_number().over(place) + first)
+    rows = cut(rows.where(F.col("place") <= F.col("size") - common + 1).select("shingle", "doc_id", "c", "size", "widest"))
+    x, y = (rows.select("shingle", F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}"), F.col("size").alias(f"s_{k}"), F.col("widest").alias(f"w_{k}")) for k in ("a", "b"))
+    return x.join(y, "shingle").where("c_a < c_b and s_a <= w_b and s_b <= w_a").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     base = written(sketches(docs, id_col, text_col))
@@ -185,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = shared.select("bucket", "doc_id").join(able, "doc_id")
     # A bucket's pivot is the document with the largest buckets: that from which a group of copies was made, or one like it.
     pivots = rows.groupBy("bucket").agg(F.max(F.struct("weight", "doc_id", "size", "widest")).alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest")).where("n > 1").drop("n")
-    shared = cut(rows.join(pivots, "bucket").where("smallest <= widest").select("bucket", "doc_id", "size", "widest", "pivot"))
+    shared = cut(rows.join(pivots, "bucket").where("smallest <= widest").select("bucket", "doc_id", "size", "widest", "smallest", "pivot"))
     labels = None
 
     def merged(pairs: DataFrame) -> None:
@@ -218,10 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = rest.select(F.col("doc_id").alias("b"), F.col("c").alias("c_b")).distinct()
     firsts = rest.where(fits).select(F.col("doc_id").alias("a"), "c", F.col("pivot.doc_id").alias("b")).distinct()
     merged(firsts.join(at, "b").where("c <> c_b").select("a", "b"))
-    # Then whatever a bucket still holds in different components and within the bounds on sizes.
-    rest = apart()
-    x, y = (rest.select("bucket", F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}"), F.col("size").alias(f"s_{k}"), F.col("widest").alias(f"w_{k}")) for k in ("a", "b"))
-    merged(x.join(y, "bucket").where("c_a < c_b and s_a <= w_b and s_b <= w_a").select("a", "b").distinct())
+    # Then whatever a bucket still holds in different components, exactly.
+    merged(_across(apart(), texts))
 
     if labels is None:
         known = classes.select("key", F.col("rep").alias("component_id"))

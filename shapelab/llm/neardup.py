@@ -37,6 +37,10 @@ BANDS, ROWS = 32, 4
 BATCH = 32
 #: A candidate is pruned if the chance that it is similar enough is below this.
 MISS = 1e-6
+#: Documents that have a rare shingle, at most.
+RARE = 64
+#: Shingles of verified documents that a task holds.
+REMEMBERED = 2_000_000
 
 _SIZE = BANDS * ROWS
 _rng = np.random.Generator(np.random.Philox(20))
@@ -130,12 +134,16 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
+        held = [0]
 
         def of(i: int, text: pa.Scalar) -> np.ndarray:
             if i not in kept:
-                if len(kept) >= 64:
-                    kept.clear()
                 kept[i] = shingles_of(words_of(text.as_py()))
+                held[0] += len(kept[i])
+                if held[0] > REMEMBERED:
+                    one = kept.pop(i)
+                    kept.clear()
+                    kept[i], held[0] = one, len(one)
             return kept[i]
 
         for b in batches:
@@ -168,23 +176,35 @@ def _unique_counts(texts: DataFrame) -> DataFrame:
 
 
 def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can be similar, by prefixes of rare shingles.
-
-    rest: doc_id, c, size, widest, smallest (no partner is smaller). A similar pair has so many shingles in common
-    that it has one among the rarest `size - common + 1` of either side. Shingles of one component alone come first
-    in that order and are in no pair; a document that has enough of them is done."""
+    """Pairs (a, b) of different components that can be similar.
+
+    rest: doc_id, c, size, widest, smallest (no partner is smaller, so `common` shingles at least must be shared).
+    Shingles of one component alone are in no such pair. Of the others, a pair shares no more frequent ones than
+    the one of its documents has that has fewer; what that lacks must be rare ones. So a pair shares one of the
+    first `rare - lack + 1` rare shingles of both its documents, or both have enough frequent ones, and share one
+    of the first `often - common + 1` of those (the prefix filter, twice). A rare shingle makes at most RARE pairs
+    for each document that has it."""
     least, whole = SIMILAR
     docs = cut(rest.groupBy("doc_id", "c", "size", "widest").agg(F.min("smallest").alias("smallest")))
     rows = cut(_shingle_rows(texts.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", "c"), "doc_id"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "n")
-    rows = rows.join(shared, "shingle")
-    place = Window.partitionBy("doc_id").orderBy("n", "shingle")
+    rows = rows.join(shared, "shingle").withColumn("rare", F.col("n") <= RARE)
+    own = Window.partitionBy("doc_id")
+    often = F.sum(F.when(F.col("rare"), 0).otherwise(1)).over(own)
+    place = F.row_number().over(Window.partitionBy("doc_id", "rare").orderBy("n", "shingle"))
     common = F.ceil((F.col("size") + F.col("smallest")) * least / (least + whole))
-    first = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("doc_id"))  # those of one component alone
-    rows = rows.join(docs.drop("c"), "doc_id").withColumn("place", F.row_number().over(place) + first)
-    rows = cut(rows.where(F.col("place") <= F.col("size") - common + 1).select("shingle", "doc_id", "c", "size", "widest"))
-    x, y = (rows.select("shingle", F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}"), F.col("size").alias(f"s_{k}"), F.col("widest").alias(f"w_{k}")) for k in ("a", "b"))
-    return x.join(y, "shingle").where("c_a < c_b and s_a <= w_b and s_b <= w_a").select("a", "b").distinct()
+    rows = rows.join(docs.drop("c"), "doc_id").withColumn("often", often).withColumn("some", F.count(F.lit(1)).over(own) - F.col("often")).withColumn("place", place).withColumn("common", common)
+    lack = F.greatest(F.col("common") - F.col("often"), F.lit(1))
+    last = F.when(F.col("rare"), F.col("some") - lack + 1).otherwise(F.col("often") - F.col("common") + 1)
+    rows = cut(rows.where(F.col("place") <= last).select("shingle", "doc_id", "c", "size", "widest", "rare", "place", "often", "some"))
+    x, y = (rows.select("shingle", *[F.col(v).alias(f"{v}_{k}") for v in rows.columns[1:]]) for k in ("a", "b"))
+    # the same bounds with what this pair must have in common
+    both = F.ceil((F.col("size_a") + F.col("size_b")) * least / (least + whole))
+    lacks = F.greatest(both - F.least("often_a", "often_b"), F.lit(1))
+    ends = [F.col(f"place_{k}") <= F.when(F.col("rare_a"), F.col(f"some_{k}") - lacks).otherwise(F.col(f"often_{k}") - both) + 1 for k in "ab"]
+    near = (F.col("c_a") < F.col("c_b")) & (F.col("size_a") <= F.col("widest_b")) & (F.col("size_b") <= F.col("widest_a"))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & near & ends[0] & ends[1])
+    return pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

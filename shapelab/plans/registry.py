@@ -25,7 +25,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from . import geometry, learning, measures, relations  # noqa: F401
+    from . import geometry, iterative, learning, measures, relations  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelab.session import checkpoint_folder
+from shapelab.session import checkpoint_folder, cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,3 +46,9 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """`df`, computed once; broadcast if it has no more than `most` rows, else left to a join by key."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

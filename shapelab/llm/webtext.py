@@ -32,9 +32,13 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
+from .common import small
+
 THRESHOLD, DAMPING = 0.3, 0.9
 #: Weight of the prior, in pages.
 PAGES = 8
+#: Up to so many page ids and hosts are sent to every executor; more are joined by key.
+BROADCAST_PAGES, BROADCAST_HOSTS = 500_000, 20_000
 #: Bits of a text's hash that count as one feature value of a leaf.
 FEATURE_BITS = 40
 
@@ -231,8 +235,10 @@ def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url")
 
     p = pages.select("page_id", host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
     # copies of one page on a host say nothing about what its pages share
-    first = p.groupBy("host", F.xxhash64("page").alias("h")).agg(F.min("page_id").alias("page_id")).select("page_id").distinct()
-    p = p.join(first, "page_id", "left_semi").select("host", "page")
+    ids = p.select("page_id", "host", F.xxhash64("page").alias("h"))
+    often = ids.groupBy("host", "h").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = ids.join(often, ["host", "h"]).where("page_id <> first").select("page_id").distinct()
+    p = p.join(small(again, BROADCAST_PAGES), "page_id", "left_anti").select("host", "page")
     counted = p.mapInArrow(run, "host string, path string, depth int, noise boolean, kind string, value string, n long")
     return counted.groupBy("host", "path", "depth", "noise", "kind", "value").agg(F.sum("n").alias("n"))
 
@@ -292,7 +298,7 @@ def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> Data
 def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds `text` to the columns page_id and url."""
     low = tree(pages, page_col, url_col).where(F.col("branch") < THRESHOLD)
-    low = cut(low.groupBy(F.col("host").alias("at")).agg(F.sort_array(F.collect_set("path")).alias("low")))  # a host's templates
+    low = small(low.groupBy(F.col("host").alias("at")).agg(F.sort_array(F.collect_set("path")).alias("low")), BROADCAST_HOSTS)  # a host's templates
     p = pages.select("page_id", url_col, host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
     p = p.join(low, F.col("host") == F.col("at"), "left").select("page_id", F.col(url_col).alias("url"), "page", "low")
 

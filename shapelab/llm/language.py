@@ -2,9 +2,9 @@
 
 A known word is scored by the logarithm of its frequency in each language. An unseen word is scored by its
 longest known n-grams, of LONGEST characters first, then one less, and so on; characters that are never seen
-score alike everywhere. The model counts words and n-grams of all documents that may be learned from; kept are
-those seen MIN_COUNT times, at most MOST_WORDS and MOST_GRAMS of them, most frequent first, so that what every
-task loads has a bound.
+score alike everywhere. The model is fitted on a bounded sample of about SAMPLE documents that may be learned from;
+kept are words and n-grams seen MIN_COUNT times, at most MOST_WORDS and MOST_GRAMS of them, most frequent first,
+so that what every task loads has a bound.
 
 Defined results: a null text, or one without a letter, is `und` with score 1; without anything to learn from,
 every text is `und` with score 0; ties take the language that sorts first. Other columns are ignored.
@@ -13,6 +13,7 @@ every text is `und` with score 0; ties take the language that sorts first. Other
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,94 +25,96 @@ from shapelab.session import cut
 
 from .common import documents, held_out, text_of
 
+#: Documents that the model is fitted on, about.
+SAMPLE = 20_000
 LONGEST = 4
 MIN_COUNT, MOST_WORDS, MOST_GRAMS = 3, 60_000, 40_000
-#: Words whose scores a task remembers.
-REMEMBERED = 100_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _gram_column(word: str, n: int) -> F.Column:
-    marked = F.concat(F.lit("<"), F.col(word), F.lit(">"))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: F.substr(marked, i, F.lit(n)))
+def learnable(docs: DataFrame) -> DataFrame:
+    """(lang, text) of about SAMPLE documents that may be learned from, drawn by a hash of doc_id; of all, if there are fewer."""
+    may = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", "lang", F.lower("text").alias("text"))
+    n = docs.where("lang is not null").where(~held_out()).count()
+    if n > SAMPLE:
+        may = may.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * SAMPLE // n)
+    return may.select("lang", "text")
 
 
 def train(docs: DataFrame) -> dict:
-    """Counts over every document that isn't held out and has a lang."""
-    learn = docs.where("text is not null and lang is not null").where(~held_out()).select("lang", F.lower("text").alias("text"))
-    words = learn.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
-    counts = cut(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    totals = {r[0]: int(r[1]) for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    langs = sorted(totals)
-
-    def best(rows: DataFrame, key: str, most: int) -> list:
-        share = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs)]
-        table = rows.groupBy(key).agg(F.sum("n").alias("all"), *share).where(F.col("all") >= MIN_COUNT)
-        return table.orderBy(F.desc("all"), key).limit(most).collect()
-
+    """Counts of words and of n-grams by language."""
+    words = learnable(docs).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("key"))
+    counts = cut(words.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")))
+    marked = counts.select("lang", "n", F.concat(F.lit("<"), "key", F.lit(">")).alias("w"))
+    places = marked.select("lang", "n", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("i"))
+    cuts = F.array(*[F.when(F.col("i") + k - 1 <= F.length("w"), F.substr("w", F.col("i"), F.lit(k))) for k in range(1, LONGEST + 1)])
+    grams = places.select("lang", "n", F.explode(cuts).alias("key")).where("key is not null")
+    grams = cut(grams.groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     model: dict = {"langs": langs, "words": {}, "grams": {}}
     if not langs:
         return model
-    size = np.array([totals[g] for g in langs], float)
 
-    def logs(rows: list, total: np.ndarray, floor: float) -> dict[str, np.ndarray]:
-        return {r[0]: np.log((np.array(r[2:], float) + floor) / (total + floor * 1000)).astype(np.float32) for r in rows}
-
-    model["words"] = logs(best(counts, "word", MOST_WORDS), size, 0.5)
-    for n in range(1, LONGEST + 1):
-        grams = counts.select("lang", "n", F.explode(_gram_column("word", n)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        grams = cut(grams)
-        total = {r[0]: int(r[1]) for r in grams.groupBy("lang").agg(F.sum("n")).collect()}
-        model["grams"] |= logs(best(grams, "gram", MOST_GRAMS // LONGEST), np.array([total.get(g, 1) for g in langs], float), 0.5)
+    def logs(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
+        share = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs)]
+        table = rows.groupBy("key").agg(F.sum("n").alias("all"), *share)
+        total = np.array(table.agg(*[F.sum(f"n{i}") for i in range(len(langs))]).first(), float)
+        kept = table.where(F.col("all") >= MIN_COUNT).orderBy(F.desc("all"), "key").limit(most).collect()
+        return {r[0]: np.log((np.array(r[2:], float) + 0.5) / (total + 500)).astype(np.float32) for r in kept}
+
+    model["words"] = logs(counts, MOST_WORDS)
+    for k in range(1, LONGEST + 1):
+        model["grams"] |= logs(grams.where(F.length("key") == k), MOST_GRAMS // LONGEST)
     return model
 
 
-def _word_score(word: str, model: dict) -> np.ndarray:
-    """Backoff of an unseen word: the mean over its places of the longest known n-gram there."""
-    marked, grams = f"<{word}>", model["grams"]
-    total, at, n_places = np.zeros(len(model["langs"]), np.float32), 0, 0
-    while at < len(marked):
-        for n in range(min(LONGEST, len(marked) - at), 0, -1):
-            s = grams.get(marked[at : at + n])
-            if s is not None:
-                total += s - s.mean()
-                n_places += 1
-                break
-        at += 1
-    return total / max(n_places, 1)
-
-
 class Scorer:
+    """Scores of known words and n-grams are rows of two matrices; a text picks its rows and adds them up."""
+
     def __init__(self, model: dict) -> None:
-        self.model = model
-        self.known = {w: (s - s.mean()) for w, s in model["words"].items()}
-        self.rest: dict[str, np.ndarray] = {}
+        self.langs = model["langs"]
+        width = len(self.langs)
+
+        def rows(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+            m = np.array(list(table.values()), np.float64).reshape(len(table), width)
+            return {k: i for i, k in enumerate(table)}, m - m.mean(axis=1, keepdims=True) if width else m
+
+        self.word, self.word_rows = rows(model["words"])
+        self.gram, self.gram_rows = rows(model["grams"])
+
+    def _grams(self, word: str) -> list[int]:
+        """Backoff of an unseen word: at each of its places the longest known n-gram."""
+        marked, gram, out = f"<{word}>", self.gram, []
+        for at in range(len(marked)):
+            for n in range(LONGEST, 0, -1):
+                g = gram.get(marked[at : at + n])
+                if g is not None:
+                    out.append(g)
+                    break
+        return out
 
     def __call__(self, text: str) -> tuple[str, float]:
         words = _LETTERS.findall(text.lower())
-        langs = self.model["langs"]
         if not words:
             return UNKNOWN, 1.0
-        if not langs:
+        if not self.langs:
             return UNKNOWN, 0.0
-        total = np.zeros(len(langs))
-        rows = []
-        for w in words:
-            s = self.known.get(w)
-            if s is None:
-                s = self.rest.get(w)
-                if s is None:
-                    if len(self.rest) >= REMEMBERED:
-                        self.rest.clear()
-                    s = self.rest[w] = _word_score(w, self.model)
-            rows.append(s)
-        for i in range(0, len(rows), 4096):
-            total += np.array(rows[i : i + 4096], np.float32).sum(axis=0, dtype=float)
+        known, grams, weights = [], [], []
+        find = self.word.get
+        for w, n in Counter(words).items():
+            i = find(w)
+            if i is not None:
+                known += [i] * n
+            else:
+                own = self._grams(w)
+                grams += own
+                weights += [n / len(own)] * len(own) if own else []
+        total = self.word_rows[known].sum(axis=0) + np.array(weights) @ self.gram_rows[np.array(grams, np.int64)]
         p = np.exp(np.clip(total - total.max(), -60, 0))
         k = int(p.argmax())
-        return langs[k], float(p[k] / p.sum())
+        return self.langs[k], float(p[k] / p.sum())
 
 
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

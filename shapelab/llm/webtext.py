@@ -51,7 +51,15 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center
 #: An opening tag of these ends an open p, as HTML has it.
 ENDS_P = BLOCK - {"caption", "dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
-NOISE_NAMES = re.compile(r"(?:^|[-_ ])(?:ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar|side|aside|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|comments?|comment-\w+|reply|replies|respond|disqus|reader-comments?|related|recommend\w*|popular|trending|copyright|legal|disclaimer|pagination|pager|skip|toolbar|form)(?:$|[-_ ])", re.I)
+NOISE_NAMES = re.compile(
+    r"(?:^|[-_ ])(?:ad|ads|adbox|adslot|adunit|adspace|adsense|adsbygoogle|adv|advert\w*|\w*banner|sponsor\w*|promo\w*|\w*nav|nav\w*|\w*menu|menu\w*|breadcrumb\w*|header|masthead|topbar"
+    r"|\w*footer|contentinfo|\w*sidebar|side|aside|rail|complementary|widget\w*|cookie\w*|consent|gdpr|notice\w*|alert|warning|announcement|popup|modal|overlay|dialog|newsletter|subscribe|subscription"
+    r"|signup|login|search|share|sharing|social|comments?|commentlist|discussion|feedback|reply|replies|respond|disqus|reader-comments?|related|recommend\w*|popular|trending|copyright|legal|disclaimer"
+    r"|pagination|pager|skip|toolbar|form)(?:$|[-_ ])",
+    re.I,
+)
+#: Names of elements around a whole page, which may be called after what else they hold.
+WHOLE = re.compile(r"layout|wrap|container|page|has-|with-|grid|row|col", re.I)
 CONTENT_ROLES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_]+(?:header|head|title|body|text)", re.I)
@@ -127,8 +135,12 @@ def parse(page: str) -> Node:
                 names.append(value)
         name = _DIGITS.sub("#", " ".join(names).lower()).replace(">", "")
         noise = hidden or tag in NOISE or bool(NOISE_NAMES.search(name))
-        if tag in HEADINGS or OWN_HEADER.search(name):
+        if tag in HEADINGS or tag in ("html", "body", *CONTENT_ROLES) or OWN_HEADER.search(name):
             noise = hidden
+        if tag in CONTENT_ROLES:
+            for x in stack:
+                if x.noise and x.tag not in NOISE and (tag == "main" or WHOLE.search(x.name)):
+                    x.noise = False
         if tag == "header" and stack[-1].tag in CONTENT_ROLES and not NOISE_NAMES.search(name):
             noise = False  # an article's own heading
         full = f"{tag}.{name}" if name else tag

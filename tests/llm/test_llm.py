@@ -327,6 +327,16 @@ def test_main_text(spark):
     assert webtext.main_text(df.where("false")).count() == 0
 
 
+def test_names_of_noise_and_of_whole_pages():
+    text = lambda h: webtext.blocks(webtext.parse(h), set())
+    assert text('<body class="has-sidebar"><div class="page-with-sidebar"><article class="post ad-free">A</article></div><div class="topnav">N</div><p>B') == ["A", "B"]
+    for name in ("ad", "sidebar left", "site-footer", "cookie-banner", "reader-comments", "top_menu", "related-posts"):
+        assert text(f'<div class="{name}"><p>x</p></div><p>y</p>') == ["y"], name
+    for name in ("article-header", "post-content", "entry-title", "story", "headline"):
+        assert text(f'<div class="{name}">x</div>') == ["x"], name
+    assert text("<p>a<script>if (a < b) '</p>'</script>b<style>p</style><p hidden>c") == ["ab"]
+
+
 def test_a_site_of_copies_keeps_its_article(spark):
     df = spark.createDataFrame([(i, "http://a.example", PAGE.replace("{n}", "7")) for i in range(80)], "page_id long, url string, html string")
     assert {r.text for r in webtext.main_text(df).collect()} == {"Title & 7\nFirst bold 7é\nSecond line 7\nSame text everywhere"}

@@ -32,10 +32,8 @@ _T = """(select l_orderkey as t, s[1] as a, s[2] as b, s[3] as c, (1 + l_orderke
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p, price, size), scaled by their 90th percentiles and clamped."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"))
-    for c in ("price", "size"):
-        q = rank.hazen(p, [], c, 0.9)  # one row
-        p = p.crossJoin(F.broadcast(q)).withColumn(c, score.scaled(F.col(c), F.col("q"))).drop("q")
-    return p
+    scales = [rank.hazen(p, [], c, 0.9).first() for c in ("price", "size")]  # two numbers
+    return p.select("p", *[score.scaled(F.col(c), F.lit(q[0] if q else 1.0)).alias(c) for c, q in zip(("price", "size"), scales)])
 
 
 _F = f"""(select p_partkey as p, least(p_retailprice / case when x.q = 0 then 1 else x.q end, 1) as price, least(p_size::double / case when y.q = 0 then 1 else y.q end, 1) as size

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelab.functions import hist, rank, score
-from shapelab.session import table
+from shapelab.session import cut, table
 
 from .registry import register
 
@@ -106,10 +106,11 @@ def _curvature_emd_sql(bins: int) -> str:
 def curvature_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = score.curvature_metrics(F.col("k1"), F.col("k2"), unit_range=True)
     pairs = _curvatures(spark, sf_dir).groupBy("l_returnflag", "k1", "k2").agg(F.count(F.lit(1)).alias("c"))
-    each = pairs.select("l_returnflag", "c", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in m.items()])).alias("x")).select("l_returnflag", "x.metric", "x.v", F.explode(F.array_repeat(F.lit(1), F.col("c").cast("int"))).alias("one"))
+    each = pairs.select("l_returnflag", "c", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.alias("v")) for n, c in m.items()])).alias("x")).select("l_returnflag", "x.metric", "x.v", "c")
+    each = cut(each.groupBy("l_returnflag", "metric", "v").agg(F.sum("c").alias("c")))
     out = None
     for bins in (16, 32, 64, 128):
-        h = hist.histogram(each, ["l_returnflag", "metric"], "v", bins)
+        h = hist.histogram(each, ["l_returnflag", "metric"], "v", bins, weight="c")
         e = hist.emd(h, "l_returnflag", ["metric"]).select("a", "b", "metric", F.lit(bins).alias("bins"), F.round("emd", 6).alias("emd"))
         out = e if out is None else out.unionByName(e)
     return out

@@ -3,8 +3,9 @@
 E-mail addresses, IP addresses, card and phone numbers are found by patterns. Every value found is a protected
 entity. Words that stand near an entity are judged by the corpus: their pointwise mutual information with the
 entity, as a share of the entity's own information content, says how far the word alone reveals it. Words at
-or over DISCLOSES of it, seen with the entity in at least SUPPORT different contexts (copies of one passage
-are one context), are generalised; words that occur nowhere else are removed.
+or over DISCLOSES of it, seen with the entity in at least SUPPORT different texts (copies of one text are
+one), are generalised; words that occur nowhere else are removed. A word that reveals does so wherever it stands,
+so all its places in all texts are found, with or without the entity beside them.
 
 All of it is DataFrame expressions. Defined results: a null text is the empty text, without spans; repeated
 rows get equal results; a null doc_id stays null; other columns are ignored or kept as they are.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
-from .common import documents, free, text_of, written
+from .common import documents, free, small, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns give, without going back: a run of a pattern's first characters is
@@ -29,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]{2,}"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{2,}"
 #: Code points on either side of an entity that are its context.
 WINDOW = 80
 DISCLOSES, SUPPORT = 0.8, 3
@@ -99,6 +100,27 @@ def _value(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["hit"])).otherwise(F.lower(span["hit"])))
 
 
+def _terms(text: Column) -> Column:
+    """Distinct words of a text as terms."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _places(text: Column, names: Column, kinds: Column) -> Column:
+    """Array of (kind, s, e): every place of the terms in the whole text, in one go over its words."""
+    hits = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + F.length(x["gap"])
+        e = s + F.length(x["hit"])
+        k = F.array_position(names, F.lower(x["hit"])).cast("int")
+        place = F.struct(F.get(kinds, k - 1).alias("kind"), s.alias("s"), e.alias("e"))
+        return F.struct(e.alias("at"), F.when(k > 0, F.concat(acc["done"], F.array(place))).otherwise(acc["done"]).alias("done"))
+
+    zipped = F.zip_with(F.slice(F.split(text, WORD, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(zipped, start, step, lambda acc: acc["done"])
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (of the text), spans by kind as listed then start, and the context words of each."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -110,38 +132,50 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     """(entity, term, only): terms that reveal an entity; None if none has the support.
 
-    near: doc_id, h, entity, term, context. Counted are documents: n of all, of the entity, of the term, of both."""
-    seen = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    often = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    near: doc_id, h, entity, term. Counted are documents: n of all, of the entity, of the term, of both."""
+    often = near.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
     often = cut(often.select("entity", "term"))
     if often.isEmpty():
         return None
+    n = docs.count()
+    share = lambda n_term: F.ln(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col(n_term))) / F.ln(F.lit(float(n)) / F.col("n_entity"))
     both = near.join(often, ["entity", "term"], "left_semi").select("entity", "term", "doc_id", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
     entity = near.join(often.select("entity").distinct(), "entity", "left_semi").select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    terms = cut(often.select("term").distinct())
+    # a term is in no fewer documents than it has beside entities: most common words can't reveal by that alone
+    least = near.join(often.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "h").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    pairs = both.join(entity, "entity").join(least, "term").where("n_entity < " + str(n))
+    pairs = cut(pairs.where(share("n_least") >= DISCLOSES - 1e-9).select("entity", "term", "n_both", "n_entity"))
+    terms = cut(pairs.select("term").distinct())
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_terms(text_of(text_col))).alias("term"))
     term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = docs.count()
-    counts = both.join(entity, "entity").join(term, "term")
-    share = F.ln(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))) / F.ln(F.lit(float(n)) / F.col("n_entity"))
-    return cut(counts.where("n_entity < " + str(n)).where(share >= DISCLOSES).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("only")))
+    counts = pairs.join(term, "term")
+    return cut(counts.where(share("n_term") >= DISCLOSES).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("only")))
+
+
+def term_places(docs: DataFrame, revealing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(i, g, terms): by doc_id and hash of the text, all places of revealing terms in texts that have some."""
+    kind = F.when(F.max("only"), "term-removed").otherwise("term").alias("kind")
+    terms = small(revealing.groupBy("term").agg(kind), BROADCAST_TERMS)
+    d = docs.select(docs[id_col].cast("long").alias("i"), text_of(text_col).alias("text"))
+    words = d.select("i", F.xxhash64("text").alias("g"), F.explode(_terms(F.col("text"))).alias("term"))
+    has = words.join(terms, "term").groupBy("i", "g").agg(F.array_sort(F.collect_set(F.struct("term", "kind"))).alias("has"))
+    has = cut(has.select(F.col("i").alias("_i"), F.col("g").alias("_g"), F.col("has.term").alias("names"), F.col("has.kind").alias("kinds")))
+    texts = d.withColumn("g", F.xxhash64("text")).join(has, F.expr("i <=> _i and g = _g"))
+    return texts.select("i", "g", _places(F.col("text"), F.col("names"), F.col("kinds")).alias("terms")).dropDuplicates(["i", "g"])
 
 
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, h, base spans and term spans, arrays of (kind, s, e)."""
     base = written(base_spans(docs, id_col, text_col))
-    each = base.where("size(spans) > 0").select("doc_id", "h", F.explode("context").alias("x")).select("doc_id", "h", "x.entity", "x.words", F.xxhash64(F.transform("x.words", lambda w: w["term"])).alias("context"))
-    near = cut(each.select("doc_id", "h", "entity", "context", F.explode("words").alias("w")).select("doc_id", "h", "entity", "context", "w.term", "w.s", "w.e"))
+    each = base.where("size(spans) > 0").select("doc_id", "h", F.explode("context").alias("x")).select("doc_id", "h", "x.entity", "x.words")
+    near = cut(each.select("doc_id", "h", "entity", F.explode("words.term").alias("term")))
     revealing = disclosing(near, docs, text_col)
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     if revealing is None or revealing.isEmpty():
         return base.select("doc_id", "h", "spans", none.alias("terms"))
-    kind = F.when(F.col("only"), "term-removed").otherwise("term").alias("kind")
-    terms = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "h", "s", "e").agg(F.max("only").alias("only"))
-    terms = terms.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("s", "e", kind))).alias("found"))
-    terms = cut(terms.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.transform("found", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias("terms")))
+    terms = cut(term_places(docs, revealing, id_col, text_col))
     joined = base.join(terms, F.expr("doc_id <=> i and h = g"), "left")
     return joined.select("doc_id", "h", "spans", F.coalesce("terms", none).alias("terms"))
 
@@ -149,7 +183,9 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every base span replaced by its kind and every revealing term generalised or removed."""
     found_ = private_spans(docs, id_col, text_col).where("size(spans) + size(terms) > 0")
-    spans = F.array_sort(F.transform(F.concat("spans", "terms"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    # a term inside or across an entity goes with it
+    apart = F.filter("terms", lambda t: ~F.exists("spans", lambda x: (t["s"] < x["e"]) & (x["s"] < t["e"])))
+    spans = F.array_sort(F.transform(F.concat(F.col("spans"), apart), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     i, h, at = (free(docs, x) for x in ("_id", "_hash", "_spans"))
     found_ = cut(found_.select(F.col("doc_id").alias(i), F.col("h").alias(h), spans.alias(at)).dropDuplicates([i, h]))
     label = lambda k: F.coalesce(*[F.when(k == a, b) for a, b in LABELS.items()])

@@ -220,6 +220,23 @@ def test_revealing_terms(spark):
     assert "mails [EMAIL] about" in clean.where("doc_id = 2").first().text
 
 
+def test_revealing_terms_everywhere(spark):
+    """A revealing word goes at all its places: far from the address, and in texts without it. One line in several texts is support."""
+    r = random.Random(11)
+    fill = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    line = "Wizzlebeck mails jo@ex.org about ember"
+    rows = [(i, f"{fill(30)} WIZZLEBECK\n{fill(30)}\n{line}\nwizzlebeck@else.net", "en") for i in range(4)]
+    rows += [(10, f"{fill(5)}\nwizzlebeck wizzlebecks {fill(5)}", "en"), (None, "saw wizzlebeck", "en"), (None, "saw wizzlebeck", "en")]
+    rows += [(100 + i, fill(12) + " mails about", "en") for i in range(3000)]
+    got = pii.private_spans(frame(spark, rows)).where("size(terms) > 0").collect()
+    text = dict((i, t) for i, t, _ in rows)
+    assert sorted((str(x.doc_id), len(x.terms)) for x in got) == [("0", 3), ("1", 3), ("10", 1), ("2", 3), ("3", 3), ("None", 1), ("None", 1)]
+    assert all(text[x.doc_id][t.s : t.e].lower() == "wizzlebeck" for x in got for t in x.terms)
+    clean = {x.doc_id: x.text for x in pii.sanitised(frame(spark, rows)).where("doc_id is null or doc_id < 100").collect()}
+    assert not any(re.search(r"wizzlebeck\b|@", t, re.I) for t in clean.values())
+    assert clean[None] == "saw [TERM]" and "[TERM] wizzlebecks" in clean[10] and clean[0].endswith("[TERM] mails [EMAIL] about ember\n[EMAIL]")
+
+
 def test_sanitised_keeps_rows_and_overlaps(spark):
     rows = [(1, "call +1 555 123 4567 8901 now a@1.2.3.4", "en"), (1, "call +1 555 123 4567 8901 now a@1.2.3.4", "en"), (None, "x a@b.cd", "en"), (2, None, "en"), (3, "plain", "en")]
     out = sorted((str(r.doc_id), str(r.text)) for r in pii.sanitised(frame(spark, rows)).collect())

@@ -2,9 +2,9 @@
 
 A known word is scored by the logarithm of its frequency in each language. An unseen word is scored by its
 longest known n-grams, of LONGEST characters first, then one less, and so on; characters that are never seen
-score alike everywhere. The model is fitted on a bounded sample of about SAMPLE documents that may be learned from;
-kept are words and n-grams seen MIN_COUNT times, at most MOST_WORDS and MOST_GRAMS of them, most frequent first,
-so that what every task loads has a bound.
+score alike everywhere. The model is fitted on all documents that may be learned from; kept are words and n-grams
+seen MIN_COUNT times, at most MOST_WORDS and MOST_GRAMS of them, those first that are most frequent in a language of
+their own, so that what every task loads has a bound and every language has its share of it.
 
 Defined results: a null text, or one without a letter, is `und` with score 1; without anything to learn from,
 every text is `und` with score 0; ties take the language that sorts first. Other columns are ignored.
@@ -18,15 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
 from .common import documents, held_out, text_of
 
-#: Documents that the model is fitted on, about.
-SAMPLE = 20_000
 LONGEST = 4
 MIN_COUNT, MOST_WORDS, MOST_GRAMS = 3, 60_000, 40_000
 UNKNOWN = "und"
@@ -35,12 +33,8 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
-    """(lang, text) of about SAMPLE documents that may be learned from, drawn by a hash of doc_id; of all, if there are fewer."""
-    may = docs.where("text is not null and lang is not null").where(~held_out()).select("doc_id", "lang", F.lower("text").alias("text"))
-    n = docs.where("lang is not null").where(~held_out()).count()
-    if n > SAMPLE:
-        may = may.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * SAMPLE // n)
-    return may.select("lang", "text")
+    """(lang, text) of the documents that may be learned from."""
+    return docs.where("text is not null and lang is not null").where(~held_out()).select("lang", F.lower("text").alias("text"))
 
 
 def train(docs: DataFrame) -> dict:
@@ -59,10 +53,14 @@ def train(docs: DataFrame) -> dict:
 
     def logs(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
         share = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs)]
-        table = rows.groupBy("key").agg(F.sum("n").alias("all"), *share)
+        # how many keys of its language are more frequent; what has `most` before it everywhere can't be kept
+        above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = rows.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("keys")).withColumn("ahead", F.coalesce(F.sum("keys").over(above), F.lit(0)))
+        ranked = rows.join(F.broadcast(ahead.where(F.col("ahead") < most).drop("keys")), ["lang", "n"], "left")
+        table = cut(ranked.groupBy("key").agg(F.sum("n").alias("all"), F.min("ahead").alias("ahead"), *share))
         total = np.array(table.agg(*[F.sum(f"n{i}") for i in range(len(langs))]).first(), float)
-        kept = table.where(F.col("all") >= MIN_COUNT).orderBy(F.desc("all"), "key").limit(most).collect()
-        return {r[0]: np.log((np.array(r[2:], float) + 0.5) / (total + 500)).astype(np.float32) for r in kept}
+        kept = table.where(F.col("all") >= MIN_COUNT).orderBy(F.asc_nulls_last("ahead"), F.desc("all"), "key").limit(most).collect()
+        return {r[0]: np.log((np.array(r[3:], float) + 0.5) / (total + 500)).astype(np.float32) for r in kept}
 
     model["words"] = logs(counts, MOST_WORDS)
     for k in range(1, LONGEST + 1):

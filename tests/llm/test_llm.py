@@ -164,6 +164,19 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predicted(docs, untaught).collect()} == {"und"}
 
 
+def test_a_small_language_beside_a_large_one(spark, monkeypatch):
+    """Every document counts, and every language has its share of the tables."""
+    monkeypatch.setattr(language, "MOST_WORDS", 40)
+    monkeypatch.setattr(language, "MOST_GRAMS", 160)
+    ids = spark.range(100_000, 110_000).where("crc32(cast(cast(id as string) as binary)) % 3 <> 1 and pmod(xxhash64(id), 1000000) >= 900000").limit(6)
+    few = ids.selectExpr("id as doc_id", "'xx' as lang", "'жук лес дом' as text")
+    many = spark.range(40_000).selectExpr("id as doc_id", "'en' as lang", "concat_ws(' ', transform(sequence(1, 5), k -> translate(cast((id * 5 + k) % 300 as string), '0123456789', 'abcdefghij'))) as text")
+    model = language.train(many.unionByName(few))
+    assert model["langs"] == ["en", "xx"] and {"жук", "лес", "дом"} <= set(model["words"]) and len(model["words"]) == 40
+    assert {"<жук"[:4], "лес>"} <= set(model["grams"]) and len(model["grams"]) <= 160
+    assert language.Scorer(model)("жук дом")[0] == "xx" and language.Scorer(model)("abc bcd")[0] == "en"
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.predicted(docs, language.train(docs)).join(docs, "doc_id").where("held_out")

@@ -69,10 +69,10 @@ def distinctness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""select query, min(d) as bandwidth from (select query, round(d, 6) as d, sum(1.0 / n) over (partition by query order by d, id) as w from {_knn_sql(20)}, (select count(*) as n from embeddings)) where w > 0.01 group by 1""")
 def bandwidth_cumweight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance at which the weight of the nearest neighbours, 1/n each, exceeds 0.01, among at most 20."""
+    """Distance at which the weight of the nearest neighbours, 1/n each, exceeds 0.01."""
     v = vectors(spark, sf_dir)
     n = v.count()
-    near = spatial.nearest(v, queries_of(v), 20)
+    near = spatial.nearest(v, queries_of(v), n // 100 + 2)  # the sum may round to either side of 0.01
     w = F.sum(F.lit(1.0 / max(n, 1))).over(Window.partitionBy("query").orderBy("d", "id").rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("w", w).where("w > 0.01").groupBy("query").agg(F.min(F.round("d", 6)).alias("bandwidth"))
 

@@ -102,3 +102,14 @@ def test_sets(spark):
     assert [r.t for r in sets.separated(t.where("t > 1"), t.where("t = 1")).collect()] == [3]
     m = spark.createDataFrame([("x", 1), ("x", 0), ("y", 0), ("y", 0)], "g string, h int")
     assert [r.g for r in sets.covered(m, ["g"], F.col("h") == 1, 0.5).collect()] == ["x"]
+
+
+def test_bandwidth_of_many_rows(spark, tmp_path):
+    """A hundredth of 2550 rows is more than 20 neighbours: the 26th is the first over it."""
+    from shapelab.plans import geometry
+
+    v = np.random.default_rng(7).random((2550, 4))
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.query: r.bandwidth for r in geometry.bandwidth_cumweight(spark, str(tmp_path)).collect()}
+    want = {i: round(float(np.sort(np.linalg.norm(v - v[i], axis=1))[26]), 6) for i in range(0, 2550, 20)}
+    assert got == pytest.approx(want, abs=2e-6)

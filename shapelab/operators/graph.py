@@ -7,24 +7,36 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
+from .skew import hot_keys, spread_join
+
+#: Labels that are sent to every task, at most; more are joined by key.
+SENT = 50_000
+
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components: (node, component), where the component is its smallest node.
 
     Every round takes the smallest label among a node's neighbours and then the label of that label
-    (pointer jumping), so that long chains shrink by about half a round. The labels are joined by key
-    and pre-aggregated by key before each shuffle: a node with very many neighbours is no task of its own.
+    (pointer jumping), so that long chains shrink by about half a round. Nodes with very many neighbours, and
+    labels of very many nodes, are dealt over several tasks (`skew`). Only nodes that changed send their label again.
     Null ends and loops give no edges; an empty table gives no nodes.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
     e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    hubs = hot_keys(e, "b")
     labels = cut(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    few = labels.count() <= SENT
+
+    def meet(many: DataFrame, one: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
+        return many.join(F.broadcast(one), on) if few else spread_join(many, one, on, hot)
+
+    sent = labels.select(F.col("a").alias("b"), "label")
     while True:
-        near = e.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, "a").select("a", F.col("label").alias("was"), F.least("label", "near").alias("now"))
+        near = meet(e, sent, "b", hubs).groupBy("a").agg(F.min("label").alias("near"))
+        step = cut(labels.join(F.broadcast(near) if few else near, "a", "left").select("a", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("now")))
         jump = step.select(F.col("a").alias("now"), F.col("now").alias("next"))
-        after = cut(step.join(jump, "now").select("a", "was", F.least("now", "next").alias("label")))
-        changed = after.where("label <> was").isEmpty()
+        after = cut(meet(step, jump, "now", None if few else hot_keys(step, "now")).select("a", "was", F.least("now", "next").alias("label")))
         labels = after.select("a", "label")
-        if changed:
+        sent = after.where("label <> was").select(F.col("a").alias("b"), "label")
+        if sent.isEmpty():
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

@@ -9,8 +9,12 @@ already joins need no check, so no component is lost.
 A candidate's signatures are compared batch by batch; it is pruned once the posterior probability that its
 similarity reaches the threshold is below MISS. Survivors are verified on the full shingle sets.
 
+Pairs with one document that very many others meet are dealt over several tasks (`operators/skew.py`).
+
 Defined results: null or wordless texts have the empty set and are linked with nothing; a null doc_id gets
-a null component and is kept; repeated rows get one row each; other columns are ignored.
+a null component and is kept; repeated rows get one row each; texts that share one doc_id are one document, with the
+links of each of them; a text of any length is read whole, as sorted 64-bit values; an empty table has no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelab.operators.graph import components
+from shapelab.operators.skew import hot_keys, spread_join
 from shapelab.session import cut
 
 from .common import documents, free, text_of, written
@@ -96,7 +101,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, key (of the word sequence; null without words), n_shingles and the signature."""
+    """Per row: doc_id, h (of the text), key (of the word sequence; null without words), n_shingles and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,12 +112,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words and i is not None else None)
                 sizes.append(len(s))
                 sigs.append(signature(s).astype("<u4").tobytes() if keys[-1] else None)
-            yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "key", "n_shingles", "sig"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "h", "key", "n_shingles", "sig"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, key binary, n_shingles long, sig binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("h")).mapInArrow(run, "doc_id long, h long, key binary, n_shingles long, sig binary")
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _pruned(pairs: DataFrame, sigs: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
     """Candidates (a, b) that the signatures leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +131,11 @@ def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0).take(pa.array(alive)), b.column(1).take(pa.array(alive))], ["a", "b"])
 
     of = lambda k: sigs.select(F.col("doc_id").alias(k), F.col("sig").alias(f"sig_{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = spread_join(spread_join(pairs, of("a"), "a", hot["a"]), of("b"), "b", hot["b"])
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
     """Pairs (a, b) whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
     of = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    both = spread_join(spread_join(pairs, of("a"), "a", hot["a"]), of("b"), "b", hot["b"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _shingle_rows(texts: DataFrame) -> DataFrame:
@@ -210,8 +217,18 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     base = written(sketches(docs, id_col, text_col))
-    classes = cut(base.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    sigs = written(base.select("doc_id", "key", "n_shingles", "sig").join(classes, "key").where("doc_id = rep").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]))
+    classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("key", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"))
+    classes = cut(classes)
+    # A class is named by its smallest doc_id; where one doc_id has several texts, all but one of their classes need names of their own.
+    again = cut(classes.groupBy("rep").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    many_texts = not again.isEmpty()
+    if many_texts:
+        named = F.when(F.col("key") == F.coalesce("first", "key"), F.col("rep")).otherwise(F.xxhash64("key"))
+        classes = cut(spread_join(classes, again, "rep", hot_keys(classes, "rep"), "left").select("key", "rep", "rep_h", named.alias("node")))
+    else:
+        classes = classes.withColumn("node", F.col("rep"))
+    sigs = base.join(classes, "key").where("doc_id = rep and h = rep_h").select(F.col("node").alias("doc_id"), "n_shingles", "sig")
+    sigs = written(sigs.dropDuplicates(["doc_id"]))
     band = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {4 * ROWS * i + 1}, {4 * ROWS})")) for i in range(BANDS)])
     bands = sigs.select("doc_id", F.explode(band).alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -219,8 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # What a document's own shingles leave bounds its partners' sizes; many have no possible partner.
     members = cut(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")))
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    texts = written(texts.join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = docs.select(docs[id_col].cast("long").alias("rep"), text_of(text_col).alias("text")).withColumn("rep_h", F.xxhash64("text"))
+    texts = texts.join(classes.join(members, classes["node"] == members["doc_id"]).select("rep", "rep_h", "doc_id"), ["rep", "rep_h"]).select("doc_id", "text")
+    texts = written(texts.dropDuplicates(["doc_id"]))
     least, whole = SIMILAR
     size = F.col("n_shingles")
     widest = F.floor((size - F.coalesce("own", F.lit(0))) * (least + whole) / least) - size
@@ -234,8 +252,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = None
 
     def merged(pairs: DataFrame) -> None:
+        pairs = cut(pairs)
+        hot = {k: hot_keys(pairs, k) for k in "ab"}
+        linked(cut(_confirmed(_pruned(pairs, sigs, hot), texts, hot)))
+
+    def linked(links: DataFrame) -> None:
         nonlocal labels
-        links = cut(_confirmed(_pruned(pairs, sigs), texts))
         if links.isEmpty():
             return
         if labels is None:
@@ -266,10 +288,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Then whatever a bucket still holds in different components, exactly.
     merged(_across(apart(), texts))
 
+    if many_texts:
+        linked(classes.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
     if labels is None:
         known = classes.select("key", F.col("rep").alias("component_id"))
     else:
-        known = cut(classes.join(labels, classes["rep"] == labels["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id")))
+        known = cut(classes.join(labels, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component_id")))
+        if many_texts:  # a name that is no doc_id may be the smallest
+            least_id = known.groupBy("component_id").agg(F.min("rep").alias("least_id"))
+            known = spread_join(known, least_id, "component_id", hot_keys(known, "component_id")).select("key", F.col("least_id").alias("component_id"))
+        known = known.select("key", "component_id")
     out = base.select("doc_id", "key", "n_shingles").join(known, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

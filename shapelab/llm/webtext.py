@@ -4,17 +4,23 @@ The DOMs of a host's pages are merged: an element node is a path of tags with th
 sequence of children seen below it. Presentation that varies from page to page, and content that differs from
 page to page, is important; what repeats is not. The importance of an element is the entropy of its styles,
 and, below it, that of its children weighted by how often each style occurs; a leaf's is the entropy of its
-texts over the pages. A branch is left out if it and all elements in it are under THRESHOLD.
+texts over the pages, without the share of them that is links (links inside an article count as its text).
+A branch is left out if it and all elements in it are under THRESHOLD.
 
-A host with fewer than PAGES pages says too little about what repeats; a prior by the role of a tag stands for
-pages that are missing (copies of one page count once; menus, headers, footers, sidebars, notices, adverts, forms and comments are noise by
-their tag, role or class name; articles are content). Scripts, styles and the head never hold text.
+A host with few pages says too little about what repeats; a prior by the role of a tag stands for PAGES pages that
+are missing, or ROLE_PAGES inside an article or main element. Branches that a tag, role or class name calls a menu,
+header, footer, sidebar, notice, advert, form or comments are believed to be noise, unless next to all of the host's
+text lies in them: then the one that holds most of it is judged like any other. Pages of a host whose longest
+texts, half of all their text, are the same are copies, and together count as one page. Scripts, styles and the head never hold text.
 
-The merge is an aggregate by host, path and style, so a page is never met by another one; a host's node table
-grows with its templates, not with its pages. Pages are read once for the counts and once for the text.
+The importance of a node is linear in that of its children, so it is the sum over all elements below it of their own
+parts, each times the product of the factors on the way: two shuffles over the nodes and their ancestors, however
+deep the pages are. Nothing is grouped by host; nodes that very many others lie below are dealt over several tasks.
+Elements nested deeper than DEPTH are taken as children of the element at that depth, as browsers do.
 
 Defined results: a null or empty html has the empty text; broken markup is read as far as it goes (open tags end
-with the page); a null or odd url is the host ""; repeated pages get equal texts. Other columns are ignored.
+with the page); a null or odd url is the host ""; repeated pages get equal texts, whatever their page_id; time and
+memory grow with a page's length; an empty table has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,28 +29,26 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shapelab.operators.skew import hot_keys, spread_join
 from shapelab.session import cut
 
-from .common import small
-
 THRESHOLD, DAMPING = 0.3, 0.9
-#: Weight of the prior, in pages.
-PAGES = 8
-#: Up to so many page ids and hosts are sent to every executor; more are joined by key.
-BROADCAST_PAGES, BROADCAST_HOSTS = 500_000, 20_000
-#: Bits of a text's hash that count as one feature value of a leaf.
-FEATURE_BITS = 40
+#: Weight of the prior, in pages, and inside what a page declares to be its content.
+PAGES, ROLE_PAGES = 2, 50
+#: Names are not believed on a host with less than this share of its text outside of what they call noise.
+CLEAN = 0.15
+DEPTH = 512
+#: Groups of copies, and unimportant paths by host and in all, that are sent to every executor at most; more are joined by key.
+BROADCAST_COPIES, LOW_OF_HOST, BROADCAST_LOW = 100_000, 500, 100_000
 
 # Tags by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "form", "canvas", "audio", "video"}
+SILENT = {"script", "style", "head", "title", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "button", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title"}
 NOISE = {"nav", "header", "footer", "aside", "menu", "form", "dialog"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -64,28 +68,35 @@ CONTENT_ROLES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OWN_HEADER = re.compile(r"(?:article|post|entry|story|content)[-_]+(?:header|head|title|body|text)", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAME = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Names of noise that may be the article's own inside of one.
+MILD_NAMES = re.compile(r"(?:^|[-_ ])(?:notice\w*|alert|warning|announcement|legal|disclaimer|feedback|copyright|popular|side|rail|header|search|dialog|discussion|announcement|skip|form)(?:$|[-_ ])", re.I)
+
+# A quote opens a value only right after =; every character is read once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?""")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "depth", "name", "noise", "path", "tag")
+    __slots__ = ("children", "depth", "inner", "name", "noise", "parent", "path", "role", "tag", "top")
 
-    def __init__(self, tag: str, name: str, path: str, depth: int, noise: bool) -> None:
-        self.tag, self.name, self.path, self.depth, self.noise = tag, name, path, depth, noise
+    def __init__(self, tag: str, name: str, parent: Node | None, noise: bool) -> None:
+        self.tag, self.name, self.parent, self.noise = tag, name, parent, noise
+        self.path = child_path(parent.path, name) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
 
 
-def child_path(path: str, name: str) -> str:
-    """A path of any depth has a key of one length."""
-    return xxhash.xxh3_64_hexdigest(f"{path}/{name}")
+def child_path(path: int, name: str) -> int:
+    """A path of any depth has a key of one length, a signed 64-bit value."""
+    x = xxhash.xxh3_64_intdigest(f"{path}/{name}")
+    return x - (1 << 64) if x >> 63 else x
 
 
 def parse(page: str) -> Node:
     """The page's elements below a root; what a browser would close by itself is closed."""
-    root = Node("", "", "", 0, False)
+    root = Node("", "", None, False)
     stack, at, end = [root], 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -126,15 +137,15 @@ def parse(page: str) -> Node:
             if stack[k].tag in BLOCK:
                 break
         names, hidden = [], False
-        for key, a, b, c in _NAME.findall(m[3] or ""):
-            value = (a or b or c).strip()
+        for key, x, y, z in _ATTRIBUTE.findall(m[3]) if m[3] else ():
             key = key.lower()
-            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                hidden = True
-            elif value:
+            if key in ("class", "id", "role") and (value := (x or y or z).strip()):
                 names.append(value)
+            elif key == "hidden" or key == "aria-hidden" and (x or y or z).strip().lower() == "true":
+                hidden = True
         name = _DIGITS.sub("#", " ".join(names).lower()).replace(">", "")
-        noise = hidden or tag in NOISE or bool(NOISE_NAMES.search(name))
+        inside = any(x.tag in CONTENT_ROLES for x in stack)
+        noise = hidden or tag in NOISE or bool(NOISE_NAMES.search(MILD_NAMES.sub(" ", name) if inside else name))
         if tag in HEADINGS or tag in ("html", "body", *CONTENT_ROLES) or OWN_HEADER.search(name):
             noise = hidden
         if tag in CONTENT_ROLES:
@@ -143,14 +154,13 @@ def parse(page: str) -> Node:
                     x.noise = False
         if tag == "header" and stack[-1].tag in CONTENT_ROLES and not NOISE_NAMES.search(name):
             noise = False  # an article's own heading
-        full = f"{tag}.{name}" if name else tag
-        node = Node(tag, full, child_path(stack[-1].path, full), stack[-1].depth + 1, noise)
+        node = Node(tag, f"{tag}.{name}" if name else tag, stack[-1], noise)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             node.children.append(page[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID and not (m[3] or "").endswith("/") and len(stack) <= DEPTH:
             stack.append(node)
     return root
 
@@ -164,31 +174,31 @@ def elements(root: Node) -> Iterator[Node]:
         todo += [c for c in reversed(x.children) if isinstance(c, Node) and c.tag not in SILENT and c.tag not in VOID]
 
 
-def own_text(x: Node) -> str:
-    """The text right below an element, with that of inline elements."""
-    out, todo = [], list(reversed(x.children))
+def own_text(x: Node) -> tuple[str, int]:
+    """The text right below an element, with that of inline elements, and how many of its characters are links."""
+    out, linked, todo = [], 0, [(c, x.tag == "a") for c in reversed(x.children)]
     while todo:
-        c = todo.pop()
+        c, link = todo.pop()
         if isinstance(c, str):
             out.append(c)
+            linked += len(c) if link else 0
         elif c.tag not in SILENT and c.tag not in BLOCK:
-            todo += reversed(c.children)
-    return _SPACE.sub(" ", "".join(out)).strip()
+            todo += [(y, link or c.tag == "a") for y in reversed(c.children)]
+    text = _SPACE.sub(" ", "".join(out)).strip()
+    return text, min(linked, len(text))
 
 
-def style_of(x: Node) -> str:
-    """The children's tags in order, runs of one tag once."""
-    tags: list[str] = []
+def style_of(x: Node) -> list[str]:
+    """The names of the children in order, runs of one name once."""
+    names: list[str] = []
     for c in x.children:
-        if isinstance(c, Node) and c.tag not in SILENT and c.tag not in VOID:
-            name = c.name
-            if not tags or tags[-1] != name:
-                tags.append(name)
-    return ">".join(tags)
+        if isinstance(c, Node) and c.tag not in SILENT and c.tag not in VOID and (not names or names[-1] != c.name):
+            names.append(c.name)
+    return names
 
 
-def blocks(root: Node, drop: set[str], noisy: bool = True) -> list[str]:
-    """Texts of the blocks in page order without the branches in `drop`, or those of noise tags."""
+def blocks(root: Node, drop: set[int], keep: int | None = None, noisy: bool = True) -> list[str]:
+    """Texts of the blocks in page order without the branches in `drop`, or those called noise (but for `keep`)."""
     out: list[str] = []
     line: list[str] = []
 
@@ -207,7 +217,7 @@ def blocks(root: Node, drop: set[str], noisy: bool = True) -> list[str]:
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x.tag in SILENT or (x.path in drop and x.tag in BLOCK) or (x.noise and noisy):  # words inside a block stay together
+        elif x.tag in SILENT or (x.path in drop and x.tag in BLOCK) or (x.noise and noisy and x.path != keep):  # words inside a block stay together
             if x.tag in BLOCK:
                 flush()
         else:
@@ -223,100 +233,187 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x) >> 1
+
+
+def described(page: str) -> Iterator[tuple[str, int, int, float, int, int, bool, bool, Node]]:
+    """(kind, path, value, n, chars, linked, noise, role, element) of a page's elements, each path and value once.
+
+    Kind s: a style of the path. e: how much of its parent's children the path is, a style's children sharing one.
+    t: a text of the path. m: characters by the topmost branch that is called noise (0: none)."""
+    root = parse(page)
+    root.top, root.inner, root.role = 0, False, False
+    seen: set[tuple] = set()
+    mass: dict[int, int] = {}
+    for x in elements(root):
+        if x.parent:
+            up = x.parent
+            x.top, x.inner = (up.top or (x.path if x.noise else 0)), up.inner or (x.noise and up.top != 0)
+            x.role = up.role or x.tag in CONTENT_ROLES
+        names = style_of(x)
+        value = _hash(">".join(names))
+        if x.parent and ("s", x.path, value) not in seen:
+            seen.add(("s", x.path, value))
+            yield "s", x.path, value, 1.0, 0, 0, bool(x.top), x.role, x
+        if names and ("e", x.path, value) not in seen:
+            seen.add(("e", x.path, value))
+            own = list(dict.fromkeys(names))
+            for name in own if x.parent else ():
+                yield "e", child_path(x.path, name), 0, 1 / len(own), 0, 0, False, False, x
+        text, linked = own_text(x)
+        if text:
+            if x.tag in BLOCK or not x.parent:
+                mass[x.top] = mass.get(x.top, 0) + len(text)
+            key = ("t", x.path, _hash(text))
+            if x.parent and key not in seen:
+                seen.add(key)
+                yield *key, 1.0, len(text), 0 if x.role else linked, bool(x.top), x.role, x
+    for top, chars in mass.items():
+        yield "m", top, 0, 1.0, chars, 0, False, False, root
+
+
+def chain(x: Node) -> list[int]:
+    """The paths from the outermost element to x."""
+    out = []
+    while x.parent:
+        out.append(x.path)
+        x = x.parent
+    return out[::-1]
+
+
+_COUNTS = {"host": pa.int64(), "kind": pa.string(), "path": pa.int64(), "value": pa.int64(), "n": pa.float64(), "chars": pa.float64(), "linked": pa.float64(), "noise": pa.bool_(), "role": pa.bool_(), "top": pa.int64(), "inner": pa.bool_(), "chain": pa.list_(pa.int64())}
+
+
+def _pages(pages: DataFrame, page_col: str, url_col: str) -> DataFrame:
+    """page_id, url, host (hashed), page and copies: a key of the host and the longest texts, that make up half of the page's text."""
+    p = pages.select("page_id", F.col(url_col).alias("url"), F.xxhash64(host_of(F.col(url_col))).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
+    texts = F.split(F.regexp_replace("page", r"(?is)<(script|style)\b.*?</\1\s*>", "<>"), "<[^>]*>")
+    texts = F.array_sort(F.transform(F.filter(texts, lambda x: F.trim(x) != ""), lambda x: F.struct((-F.length(x)).alias("k"), x.alias("t"))))
+    half = F.aggregate(texts, F.lit(0), lambda acc, x: acc - x["k"]) / 2
+    step = lambda acc, x: F.when(acc["left"] > 0, F.struct((acc["left"] + x["k"]).alias("left"), F.xxhash64(acc["h"], x["t"]).alias("h"))).otherwise(acc)
+    return p.withColumn("copies", F.aggregate(texts, F.struct(half.alias("left"), F.col("host").alias("h")), step, lambda acc: acc["h"]))
+
+
 def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
-    """The merged trees: (host, path, depth, noise, kind, value, n). kind 's' counts pages by style, 't' by text."""
+    """The merged trees: what `described` says, summed over the pages of each host; copies of a page weigh one together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                counts: dict[tuple, int] = {}
-                for host, page in zip(b.column(0).slice(at, 200).to_pylist(), b.column(1).slice(at, 200).to_pylist()):
-                    seen = set()
-                    for x in elements(parse(page)):
-                        if not x.path:
-                            continue
-                        seen.add((host, x.path, x.depth, x.noise, "s", style_of(x)))
-                        text = own_text(x)
-                        if text:
-                            seen.add((host, x.path, x.depth, x.noise, "t", f"{xxhash.xxh3_64_intdigest(text) >> (64 - FEATURE_BITS):x}"))
-                    for key in seen:
-                        counts[key] = counts.get(key, 0) + 1
-                cols = list(zip(*counts)) or [[]] * 6
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
-                yield pa.record_batch([*[pa.array(list(c), k) for c, k in zip(cols, kinds)], pa.array(list(counts.values()), pa.int64())], ["host", "path", "depth", "noise", "kind", "value", "n"])
-
-    p = pages.select("page_id", host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
-    # copies of one page on a host say nothing about what its pages share
-    ids = p.select("page_id", "host", F.xxhash64("page").alias("h"))
-    often = ids.groupBy("host", "h").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = ids.join(often, ["host", "h"]).where("page_id <> first").select("page_id").distinct()
-    p = p.join(small(again, BROADCAST_PAGES), "page_id", "left_anti").select("host", "page")
-    counted = p.mapInArrow(run, "host string, path string, depth int, noise boolean, kind string, value string, n long")
-    return counted.groupBy("host", "path", "depth", "noise", "kind", "value").agg(F.sum("n").alias("n"))
-
-
-def node_table(counts: DataFrame) -> DataFrame:
-    """A row per host, path and style: how many pages have the path and the style, and the entropies of styles and texts, in units of the largest possible."""
-    each = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("plogp"), F.max("noise").alias("noise"), F.max("depth").alias("depth"))
-    entropy = F.when(F.col("m") > 1, (F.ln("m") - F.col("plogp") / F.col("m")) / F.ln("m")).otherwise(1.0)
-    each = each.withColumn("entropy", entropy)
-    texts = each.where("kind = 't'").select("host", "path", F.col("m").alias("n_text"), F.col("entropy").alias("text_entropy"))
-    nodes = each.where("kind = 's'").select("host", "path", "depth", "m", "noise", F.col("entropy").alias("style_entropy"))
-    styles = counts.where("kind = 's'").select("host", "path", F.col("value").alias("style"), "n")
-    return styles.join(nodes, ["host", "path"]).join(texts, ["host", "path"], "left")
-
-
-def importance(rows: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of every element of one host, from the leaves up, and the largest one in its branch."""
-    rows = rows.sort_values(["path", "style"])
-    known: dict[str, float] = {}
-    branch: dict[str, float] = {}
-    out = []
-    for path, g in sorted(rows.groupby("path"), key=lambda x: (-int(x[1]["depth"].iloc[0]), x[0])):
-        first = g.iloc[0]
-        m, noise = int(first["m"]), bool(first["noise"])
-        share = g["n"].to_numpy(float) / g["n"].sum()
-        n_text = 0 if pd.isna(first["n_text"]) else int(first["n_text"])
-        parts, weights = [], []
-        if n_text:  # content: texts that differ from page to page
-            parts.append(float(first["text_entropy"]))
-            weights.append(min(n_text / m, 1.0))
-        below = 0.0
-        any_child, most = False, 0.0
-        for p, style in zip(share, g["style"]):
-            own = [c for t in style.split(">") if t and (c := child_path(path, t)) in known]
-            any_child |= bool(own)
-            below += p * (float(np.mean([known[c] for c in own])) if own else 0.0)
-            most = max([most, *(branch[c] for c in own)])
-        if any_child:
-            decay = DAMPING ** len(g)
-            node = float(first["style_entropy"]) if m > 1 else 1.0
-            parts.append((1 - decay) * node + decay * below)
-            weights.append(1.0)
-        seen = float(np.average(parts, weights=weights)) if parts and sum(weights) else 0.0
-        prior = 0.0 if noise else 1.0
-        known[path] = (m * seen + PAGES * prior) / (m + PAGES)
-        branch[path] = max(most, known[path])
-        out.append((first["host"], path, known[path], branch[path], noise))
-    return pd.DataFrame(out, columns=["host", "path", "importance", "branch", "noise"])
-
-
-def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
-    """(host, path, importance, branch, noise) of the site style trees."""
-    nodes = node_table(cut(style_counts(pages, page_col, url_col)))
-    return nodes.groupBy("host").applyInPandas(importance, "host string, path string, importance double, branch double, noise boolean")
+                counts: dict[tuple, list] = {}
+                for host, w, page in zip(*(b.column(k).slice(at, 200).to_pylist() for k in range(3))):
+                    for kind, path, value, n, chars, linked, noise, role, x in described(page):
+                        old = counts.get((host, kind, path, value))
+                        if old is None:
+                            of = x if kind == "s" else None
+                            counts[host, kind, path, value] = [n * w, chars * w, linked * w, noise, role, of and of.top, of and of.inner, of and chain(of)]
+                        else:
+                            old[0] += n * w
+                            old[1] += chars * w
+                            old[2] += linked * w
+                            old[3] |= noise
+                            old[4] |= role
+                cols = [*(zip(*counts) if counts else [[]] * 4), *(zip(*counts.values()) if counts else [[]] * 8)]
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, _COUNTS.values())], list(_COUNTS))
+
+    p = _pages(pages, page_col, url_col)
+    often = cut(p.groupBy("copies").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    p = p.select("host", "page", "copies")
+    if often.count() <= BROADCAST_COPIES:
+        p = p.join(F.broadcast(often), "copies", "left")
+    else:
+        p = spread_join(p, often, "copies", hot_keys(p, "copies"), "left")
+    p = p.select("host", (F.lit(1.0) / F.coalesce("k", F.lit(1))).alias("w"), "page")
+    counted = p.mapInArrow(run, "host long, kind string, path long, value long, n double, chars double, linked double, noise boolean, role boolean, top long, inner boolean, chain array<long>")
+    return counted.groupBy("host", "kind", "path", "value").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked")], F.max("noise").alias("noise"), F.max("role").alias("role"), F.min("top").alias("top"), F.min("inner").alias("inner"), F.min("chain").alias("chain"))
+
+
+def unbelieved(counts: DataFrame) -> DataFrame:
+    """(host, keep): the branch called noise that holds most of the text, of hosts that have next to none elsewhere."""
+    mass = counts.where("kind = 'm'").groupBy("host").agg(F.sum("chars").alias("all"), F.sum(F.when(F.col("path") == 0, F.col("chars")).otherwise(0)).alias("clean"), F.max(F.when(F.col("path") != 0, F.struct("chars", "path"))).alias("most"))
+    return mass.where((F.col("clean") < CLEAN * F.col("all")) & F.col("most").isNotNull()).select("host", F.col("most.path").alias("keep"))
+
+
+def nodes(counts: DataFrame) -> DataFrame:
+    """A row per host and path with what is its own in its importance, and the factor of what lies below.
+
+    own + factor * sum over children of share(child) * importance(child) is the importance of a node: its evidence,
+    weighted by its pages, and the prior."""
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    n, plogp = F.col("n"), F.col("n") * F.ln("n")
+    x = counts.where("kind <> 'm'").groupBy("host", "path").agg(
+        of("s", n).alias("m"), of("s", plogp).alias("m_plogp"), of("s", F.lit(1)).alias("styles"), of("t", n).alias("texts"), of("t", plogp).alias("t_plogp"),
+        of("t", F.col("chars")).alias("chars"), of("t", F.col("linked")).alias("linked"), of("e", n).alias("share"), F.max("noise").alias("noise"), F.max("role").alias("role"),
+        F.min("top").alias("top"), F.min("inner").alias("inner"), F.min("chain").alias("chain"))
+    x = x.where("chain is not null").join(F.broadcast(unbelieved(counts)) if unbelieved(counts).count() <= BROADCAST_COPIES else unbelieved(counts), "host", "left")
+    noise = F.col("noise") & ~(F.col("top").eqNullSafe(F.col("keep")) & ~F.col("inner"))
+    entropy = lambda m, p: F.when(F.col(m) > 1 + 1e-6, F.least(F.greatest((F.ln(m) - F.col(p) / F.col(m)) / F.ln(m), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+    content = entropy("texts", "t_plogp") * (1 - F.coalesce(F.col("linked") / F.col("chars"), F.lit(0.0)))
+    weight = F.when(F.col("texts") > 0, F.least(F.col("texts") / F.col("m"), F.lit(1.0))).otherwise(0.0)
+    decay = F.pow(F.lit(DAMPING), "styles")
+    return x.select("host", "path", "chain", "m", noise.alias("noise"), "role", weight.alias("weight"), F.when(weight > 0, content).otherwise(0.0).alias("content"), decay.alias("decay"), entropy("m", "m_plogp").alias("variety"), F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
+def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(host, path, importance, branch, noise) of the site style trees, branch being the largest importance of the element and those below it; and `unbelieved`."""
+    counts = cut(style_counts(pages, page_col, url_col))
+    x = cut(nodes(counts))
+    each = cut(x.select("host", F.col("path").alias("node"), F.posexplode("chain").alias("at", "path")).withColumn("key", F.struct("host", "path")).drop("host", "path"))
+    inner = each.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("inner"))
+    x = cut(x.join(inner.select("key.host", "key.path", "inner"), ["host", "path"]))
+    prior = F.when(F.col("role"), F.lit(ROLE_PAGES)).otherwise(F.lit(PAGES))
+    known = F.when(F.col("noise"), 0.0).otherwise(F.col("m") / (F.col("m") + prior))
+    rest = F.when(F.col("noise"), 0.0).otherwise(prior / (F.col("m") + prior))
+    evidence = F.when(F.col("inner"), (F.col("weight") * F.col("content") + (1 - F.col("decay")) * F.col("variety")) / (F.col("weight") + 1)).otherwise(F.when(F.col("weight") > 0, F.col("content")).otherwise(0.0))
+    parts = x.select(F.struct("host", "path").alias("key"), (known * evidence + rest).alias("own"), F.when(F.col("inner"), known * F.col("decay") / (F.col("weight") + 1)).otherwise(0.0).alias("factor"), "m", "share")
+    along = spread_join(each, parts, "key", hot_keys(each, "key"))
+    # product of factor(a) * share(child of a) / m(a) from each ancestor a down to the node
+    below = Window.partitionBy("key.host", "node").orderBy(F.desc("at"))
+    step = F.log(F.greatest(F.col("factor") / F.col("m"), F.lit(1e-300)))
+    links = F.sum(F.log(F.greatest(F.col("share"), F.lit(1e-300)))).over(below.rowsBetween(Window.unboundedPreceding, -1))
+    ways = F.sum(step).over(below) - F.first(step).over(below)
+    deep = F.first("own").over(below)
+    sums = along.select("key", (deep * F.exp(F.coalesce(links, F.lit(0.0)) + ways)).alias("part")).groupBy("key").agg(F.sum("part").alias("importance"))
+    sums = cut(sums)
+    up = each.join(sums.select(F.col("key.host").alias("h"), F.col("key.path").alias("p"), "importance"), (F.col("key.host") == F.col("h")) & (F.col("node") == F.col("p")))
+    branch = up.groupBy("key").agg(F.max("importance").alias("branch"))
+    out = sums.join(branch, "key").select("key.host", "key.path", "importance", "branch").join(x.select("host", "path", "noise"), ["host", "path"])
+    return out, unbelieved(counts)
+
+
+def page_paths(p: DataFrame) -> DataFrame:
+    """(page_id, host, path) of the elements that each page has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                rows = [(i, h, x) for i, h, page in zip(*(b.column(k).slice(at, 100).to_pylist() for k in range(3))) for x in {y.path for y in elements(parse(page)) if y.parent}]
+                yield pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], ["copies", "host", "path"])
+
+    return p.select("copies", "host", "page").mapInArrow(run, "copies long, host long, path long")
 
 
 def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds `text` to the columns page_id and url."""
-    low = tree(pages, page_col, url_col).where(F.col("branch") < THRESHOLD)
-    low = small(low.groupBy(F.col("host").alias("at")).agg(F.sort_array(F.collect_set("path")).alias("low")), BROADCAST_HOSTS)  # a host's templates
-    p = pages.select("page_id", url_col, host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(page_col).cast("string"), F.lit("")).alias("page"))
-    p = p.join(low, F.col("host") == F.col("at"), "left").select("page_id", F.col(url_col).alias("url"), "page", "low")
+    nodes_, keeps = tree(pages, page_col, url_col)
+    low = cut(nodes_.where((F.col("branch") < THRESHOLD) & ~F.col("noise")).select("host", "path"))
+    keeps = cut(keeps)
+    p = _pages(pages, page_col, url_col).drop("copies").withColumn("copies", F.xxhash64("host", "page"))
+    keep_fits = keeps.count() <= BROADCAST_COPIES
+    p = p.join(F.broadcast(keeps), "host", "left") if keep_fits else spread_join(p, keeps, "host", hot_keys(p, "host"), "left")
+    widest = low.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (widest[0] or 0) <= LOW_OF_HOST and (widest[1] or 0) <= BROADCAST_LOW:
+        lists = low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low"))  # of a checked size
+        p = p.join(F.broadcast(lists), "host", "left")
+    else:  # every page gets what of it is low, by key
+        has = page_paths(p.dropDuplicates(["copies"])).join(low, ["host", "path"], "left_semi").groupBy("copies").agg(F.collect_set("path").alias("low"))
+        p = p.join(has, "copies", "left")
+    p = p.select("page_id", "url", "page", "low", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["\n".join(blocks(parse(page.as_py()), set(low.as_py() or ()))) for page, low in zip(b.column(2), b.column(3))]
+            texts = ["\n".join(blocks(parse(page.as_py()), set(low.as_py() or ()), keep.as_py())) for page, low, keep in zip(b.column(2), b.column(3), b.column(4))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return p.mapInArrow(run, "page_id long, url string, text string")

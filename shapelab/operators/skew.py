@@ -15,11 +15,16 @@ def hot_keys(many: DataFrame, on: str) -> DataFrame | None:
     Fewer than KEYS keys can have so many rows, whatever the table's size, so that the result can be broadcast.
     Counts are combined before they are shuffled. `many` is read twice: let it be a table or a checkpoint."""
     rows = many.count()
-    most = max(LEAST, rows // KEYS)
-    if rows <= most:
+    if rows <= LEAST:
         return None
-    hot = many.where(F.col(on).isNotNull()).groupBy(on).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")).where("_parts > 1").collect()  # fewer than KEYS rows
-    return many.sparkSession.createDataFrame([tuple(r) for r in hot], many.select(on, F.lit(0).alias("_parts")).schema) if hot else None
+    return hot_of(many.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n")), on, rows)
+
+
+def hot_of(counts: DataFrame, on: str, rows: int) -> DataFrame | None:
+    """The same from counts (on, n) of a table of so many rows."""
+    most = max(LEAST, rows // KEYS)
+    hot = counts.where(F.col("n") > most).select(on, F.ceil(F.col("n") / most).cast("int").alias("_parts")).collect()  # fewer than KEYS rows
+    return counts.sparkSession.createDataFrame([tuple(r) for r in hot], counts.select(on, F.lit(0).alias("_parts")).schema) if hot else None
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -1,103 +1,148 @@
 """Sharding by balanced label propagation.
 
-Documents start in shards of even size. In each round every document wants the shard where most of its linked
-documents are; moves between two shards are granted in equal numbers both ways (capacity quotas), those with
-the largest gain first. At the end the shards' order is cut into runs of even size, linked documents side by
-side, so that the counts are at most one apart and a group is cut only where a run ends.
+Rows with equal texts are a group; groups that share a line of LINE characters or more are linked, a line that many
+rows hold all the more weakly. A group is a unit; one that is larger than a part of a shard is several. Units start
+in shards by their hash. In each round every unit wants the shard where most of what it is linked with is; moves between
+two shards are granted in equal numbers both ways (capacity quotas), those with the largest gain first, until none is
+granted or ROUNDS are over. What propagation leaves is the placement: at the end a shard with too many rows gives as
+many as it has too much to shards that have too few, unlinked single rows first, so that counts are at most one apart.
 
-Links are given as groups (here: equal texts): a document's neighbours are counted through the group's counts
-by shard, never as pairs. A group too large for one shard is dealt out over several; ranks inside it come from
-counts by salted part, so no group is ordered in one task.
+Neighbours are counted through the lines' counts by shard, never as pairs. Lines and groups that very many rows
+have are dealt over several tasks; ranks come from counts by class and slice, so nothing is ordered in one task.
 
 Defined results: a null text has size 1 and the group of the empty text; rows are placed one by one, repeated
-rows too; a null doc_id is placed like any other; an empty table gives no rows. Other columns are ignored.
+rows too; a null doc_id is placed like any other; a very long text is as many lines as it has; an empty table gives no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shapelab.operators.skew import KEYS, hot_keys, hot_of, spread_join
 from shapelab.session import cut
 
 from .common import documents, text_of
 
-SHARDS, ROUNDS = 16, 4
-#: Rows of one group that are ordered in one task, about, and parts of the order of all groups.
-PART, SLICES = 20_000, 256
+SHARDS, ROUNDS = 16, 8
+#: Characters of a line that links.
+LINE = 20
+#: Units of a full shard at least, rows of a unit if it can, and parts of the order of a shard.
+UNITS, PART, SLICES = 4, 20_000, 256
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32 and the group key of equal texts."""
+    """doc_id, size, text_crc32 and the group g of equal texts."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
-    return d.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.xxhash64(text_of("text")).alias("g1"), F.xxhash64(F.lit(1), raw).alias("g2"))
+    return d.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.xxhash64(text_of("text")).alias("g"))
 
 
-def propagated(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(g1, g2, shard, n): how many documents of each group are in each shard after the rounds.
+def units(nodes: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """nodes with the unit u of each row; and units (u, g, n, shard), those of one group in as few shards as hold them.
 
-    Documents of one group and one shard are alike to the method, so the rounds move counts of them."""
-    start = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(shards)).cast("int")
-    state = cut(nodes.groupBy("g1", "g2", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")))
-    room = F.lit(0) + nodes.count() / shards
+    Groups of more than a UNITS-th of a shard are split; fewer than UNITS * shards, or KEYS, of them can be that large."""
+    total = nodes.count()
+    most = max(1, min(total // (UNITS * shards), max(PART, total // KEYS)))
+    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    large = F.broadcast(cut(sizes.where(F.col("n") > most).select("g", F.ceil(F.col("n") / most).cast("int").alias("parts"))))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts"))).otherwise(0).cast("int")
+    rows = nodes.join(large, "g", "left").withColumn("part", part).withColumn("u", F.xxhash64("g", "part"))
+    start = F.pmod(F.xxhash64("g", F.lit(3)) + F.floor(F.col("part") / UNITS), F.lit(shards)).cast("int")
+    found = rows.groupBy("u", "g", "part").agg(F.count(F.lit(1)).alias("n")).select("u", "g", "n", start.alias("shard"))
+    return rows.drop("parts", "part", "g"), cut(found)
+
+
+def links(docs: DataFrame, state: DataFrame, text_col: str = "text") -> DataFrame:
+    """(u, f, w): lines f that units of different groups share, each with the weight of one row that holds it."""
+    line = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= LINE)
+    lines = docs.select(text_of(text_col).alias("text")).select(F.xxhash64("text").alias("g"), F.explode(F.array_distinct(F.transform(line, lambda x: F.xxhash64(x)))).alias("f")).distinct()
+    shared = cut(lines.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = shared.agg(F.sum("n")).first()[0] or 0
+    pairs = cut(spread_join(lines, shared.select("f"), "f", hot_of(shared, "f", rows) if rows else None))
+    sized = cut(spread_join(pairs, state.select("g", "u", "n"), "g", hot_keys(pairs, "g")))
+    weight = sized.groupBy("f").agg((F.lit(1.0) / F.sum("n")).alias("w"))
+    return cut(spread_join(sized.select("u", "f"), weight, "f", hot_keys(sized, "f")))
+
+
+def votes(state: DataFrame, linked: DataFrame, shards: int, hot_u: DataFrame | None, hot_f: DataFrame | None) -> DataFrame:
+    """(u, votes): of each linked unit, the weight of its neighbours in each shard; the unit itself is none."""
+    each = spread_join(linked, state.select("u", "n", "shard"), "u", hot_u)
+    by_line = each.groupBy("f").agg(*[F.sum(F.when(F.col("shard") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(shards)])
+    counted = spread_join(each, by_line, "f", hot_f)
+    own = lambda k: F.when(F.col("shard") == k, F.col("n")).otherwise(0)
+    sums = counted.groupBy("u").agg(*[F.sum((F.col(f"n{k}") - own(k)) * F.col("w")).alias(f"v{k}") for k in range(shards)])
+    return sums.select("u", F.array(*[f"v{k}" for k in range(shards)]).alias("votes"))
+
+
+def propagated(state: DataFrame, linked: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """state (u, n, shard) after the rounds."""
+    state = state.select("u", "n", "shard")
+    hot_u, hot_f = hot_keys(linked, "u"), hot_keys(linked, "f")
+    room = total / shards
     for _ in range(rounds):
-        linked = state.groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("k"))).alias("best"), F.sum("n").alias("all"))
-        # gain: neighbours found in the wanted shard against those left behind
-        wish = state.join(linked, ["g1", "g2"]).where("all > 1").withColumn("to", -F.col("best.k")).where("to <> shard")
-        wish = wish.select("g1", "g2", "shard", "to", "n", (F.col("best.n") - F.col("n")).alias("gain")).where(F.col("gain") >= 0)
-        wish = cut(wish.withColumn("slice", F.pmod(F.xxhash64("g1", "g2"), F.lit(SLICES))))
+        best = F.array_position("votes", F.array_max("votes")).cast("int") - 1
+        wish = votes(state, linked, shards, hot_u, hot_f).join(state, "u").withColumn("to", best).where("to <> shard")
+        wish = wish.select("u", "n", "shard", "to", (F.get("votes", F.col("to")) - F.get("votes", F.col("shard"))).alias("gain")).where("gain > 1e-9")
+        klass = F.floor(F.log2(F.col("gain") * 1024 + 1)).cast("int")
+        wish = cut(wish.withColumn("klass", klass).withColumn("slice", F.pmod(F.xxhash64("u", F.lit(5)), F.lit(SLICES))))
         if wish.isEmpty():
             break
         # quotas between two shards are even both ways; the free room of the wanted shard comes on top
         asked = wish.groupBy("shard", "to").agg(F.sum("n").alias("asked"))
         back = asked.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("asked").alias("back"))
-        loads = state.groupBy("shard").agg(F.sum("n").alias("load")).select(F.col("shard").alias("to"), (F.greatest(room - F.col("load"), F.lit(0)) / shards).alias("free"))
-        quota = asked.join(back, ["shard", "to"], "left").join(loads, "to", "left").select("shard", "to", (F.least("asked", F.coalesce("back", F.lit(0))) + F.floor(F.coalesce("free", room / shards))).alias("quota"))
+        loads = state.groupBy("shard").agg(F.sum("n").alias("load")).select(F.col("shard").alias("to"), (F.greatest(F.lit(room) - F.col("load"), F.lit(0)) / shards).alias("free"))
+        quota = asked.join(back, ["shard", "to"], "left").join(loads, "to", "left").select("shard", "to", (F.least("asked", F.coalesce("back", F.lit(0))) + F.ceil(F.coalesce("free", F.lit(room / shards)))).alias("quota"))
         # largest gains first: counts before a wish by gain class, then by slice, then inside the slice
-        klass = F.floor(F.log2(F.col("gain") + 1)).cast("int")
-        wish = wish.withColumn("klass", klass)
-        cells = wish.groupBy("shard", "to", "klass", "slice").agg(F.sum("n").alias("m"))
-        cells = cells.withColumn("before", F.sum("m").over(Window.partitionBy("shard", "to").orderBy(F.desc("klass"), "slice")) - F.col("m")).drop("m")
-        inside = Window.partitionBy("shard", "to", "klass", "slice").orderBy("g1", "g2")
-        ranked = wish.withColumn("inner", F.sum("n").over(inside) - F.col("n")).join(cells, ["shard", "to", "klass", "slice"]).join(quota, ["shard", "to"])
-        moved = F.greatest(F.least(F.col("n"), F.col("quota") - F.col("before") - F.col("inner")), F.lit(0))
-        moves = cut(ranked.select("g1", "g2", "shard", "to", moved.cast("long").alias("n")).where("n > 0"))
+        cells = wish.groupBy("shard", "to", "klass", "slice").agg(F.sum("n").alias("cell"))
+        cells = cells.withColumn("before", F.sum("cell").over(Window.partitionBy("shard", "to").orderBy(F.desc("klass"), "slice")) - F.col("cell")).drop("cell")
+        inside = Window.partitionBy("shard", "to", "klass", "slice").orderBy("u")
+        ranked = wish.withColumn("inner", F.sum("n").over(inside)).join(cells, ["shard", "to", "klass", "slice"]).join(quota, ["shard", "to"])
+        moves = cut(ranked.where("before + inner <= quota").select("u", "to"))
         if moves.isEmpty():
             break
-        changes = moves.select("g1", "g2", "shard", (-F.col("n")).alias("n")).unionByName(moves.select("g1", "g2", F.col("to").alias("shard"), "n"))
-        state = cut(state.unionByName(changes).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        state = cut(state.join(moves, "u", "left").select("u", "n", F.coalesce("to", "shard").alias("shard")))
     return state
 
 
-def _ranks(parts: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds `before`: the rows of all parts that come before, by label, slice and `order` inside a slice."""
-    cells = parts.groupBy("label", "slice").agg(F.sum("n").alias("m"))
-    cells = cells.withColumn("outer", F.sum("m").over(Window.orderBy("label", "slice")) - F.col("m")).drop("m")  # at most shards x SLICES rows
-    inside = Window.partitionBy("label", "slice").orderBy(*order)
-    return parts.withColumn("inner", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(cells), ["label", "slice"]).withColumn("before", F.col("outer") + F.col("inner")).drop("outer", "inner")
-
-
 def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     nodes = cut(described(docs, id_col, text_col))
-    state = propagated(nodes, shards, rounds)
+    rows, state = units(nodes, shards)
     total = nodes.count()
-    # A group goes side by side, at the shard that holds most of it.
-    home = state.groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("k"))).alias("best"), F.sum("n").alias("all"))
-    home = cut(home.select("g1", "g2", (-F.col("best.k")).alias("label"), F.ceil(F.col("all") / PART).cast("int").alias("parts")))
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts"))).otherwise(0).cast("int")
-    rows = nodes.join(home, ["g1", "g2"]).withColumn("part", part)
-    counts = rows.groupBy("g1", "g2", "label", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("slice", F.pmod(F.col("g1"), F.lit(SLICES)))
-    before = cut(_ranks(counts, [F.col("g1"), F.col("g2"), F.col("part")]).select("g1", "g2", "part", "before"))
-    within = F.row_number().over(Window.partitionBy("g1", "g2", "part").orderBy("doc_id")) - 1
-    ranked = rows.withColumn("within", within).join(before, ["g1", "g2", "part"]).withColumn("rank", F.col("before") + F.col("within"))
-    # total = shards * least + more: the first `more` shards hold one row more
+    linked = links(docs, state, text_col)
+    state = propagated(state, linked, total, shards, rounds)
+    # who goes first where a shard has too many: single rows without links, then other single rows, then groups
+    tied = linked.select("u").distinct().withColumn("tied", F.lit(1))
+    order = F.when(F.col("n") > 1, 2).otherwise(F.coalesce("tied", F.lit(0)))
+    state = cut(state.join(tied, "u", "left").select("u", "n", "shard", order.alias("klass"), F.pmod(F.xxhash64("u", F.lit(5)), F.lit(SLICES)).alias("slice")))
+    loads = dict.fromkeys(range(shards), 0) | {r[0]: r[1] for r in state.groupBy("shard").agg(F.sum("n")).collect()}  # a row per shard
     least, more = divmod(total, shards)
-    edge = F.lit(more * (least + 1))
-    early = F.col("rank") < edge
-    shard = F.when(early, F.floor(F.col("rank") / (least + 1))).otherwise(more + F.floor((F.col("rank") - edge) / max(least, 1)))
-    first = F.when(early, shard * (least + 1)).otherwise(edge + (shard - more) * least)
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    fullest = sorted(loads, key=lambda s: (-loads[s], s))[:more]
+    want = {s: least + (s in fullest) for s in loads}
+    surplus, give, take = {}, 0, 0
+    gaps = []
+    for s in range(shards):
+        over = loads[s] - want[s]
+        surplus[s] = (max(over, 0), give)
+        give += max(over, 0)
+        if over < 0:
+            gaps.append((take, take - over, s, loads[s]))
+            take -= over
+    spark = docs.sparkSession
+    over = F.broadcast(spark.createDataFrame([(s, *surplus[s]) for s in surplus], "shard int, over long, first long"))
+    gap = F.broadcast(spark.createDataFrame(gaps or [(-1, -1, 0, 0)], "lo long, hi long, target int, has long"))
+    cells = state.groupBy("shard", "klass", "slice").agg(F.sum("n").alias("cell"))
+    cells = cells.withColumn("outer", F.sum("cell").over(Window.partitionBy("shard").orderBy("klass", "slice")) - F.col("cell")).drop("cell")  # at most 3 x SLICES rows a shard
+    inside = Window.partitionBy("shard", "klass", "slice").orderBy("u")
+    placed = state.withColumn("inner", F.sum("n").over(inside) - F.col("n")).join(F.broadcast(cells), ["shard", "klass", "slice"]).select("u", "shard", (F.col("outer") + F.col("inner")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("u").orderBy("doc_id", "text_crc32")) - 1
+    ranked = rows.withColumn("within", within).join(placed, "u").withColumn("rank", F.col("before") + F.col("within")).join(over, "shard")
+    goes = F.when(F.col("rank") < F.col("over"), F.col("first") + F.col("rank"))
+    moved = ranked.withColumn("goes", goes).join(gap, (F.col("goes") >= F.col("lo")) & (F.col("goes") < F.col("hi")), "left")
+    shard = F.coalesce("target", "shard")
+    slot = F.when(F.col("target").isNotNull(), F.col("has") + F.col("goes") - F.col("lo")).otherwise(F.col("rank") - F.col("over"))
+    return moved.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

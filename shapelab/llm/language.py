@@ -2,19 +2,22 @@
 
 A known word is scored by the logarithm of its frequency in each language. An unseen word is scored by its
 longest known n-grams, of LONGEST characters first, then one less, and so on; characters that are never seen
-score alike everywhere. The model is fitted on all documents that may be learned from; kept are words and n-grams
-seen MIN_COUNT times, at most MOST_WORDS and MOST_GRAMS of them, those first that are most frequent in a language of
-their own, so that what every task loads has a bound and every language has its share of it.
+score alike everywhere. The model is fitted on at most SAMPLE documents of each language that may be learned from,
+drawn by a hash; all their words and n-grams are counted, and those seen MIN_COUNT times are known.
 
 Defined results: a null text, or one without a letter, is `und` with score 1; without anything to learn from,
-every text is `und` with score 0; ties take the language that sorts first. Other columns are ignored.
+every text is `und` with score 0; ties take the language that sorts first; repeated rows are learned once and get equal
+results; a very long text is read whole; an empty table has no rows. Letters and marks make words, in training as in
+scoring. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +26,42 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
-from .common import documents, held_out, text_of
+from .common import documents, held_out, small, text_of
 
 LONGEST = 4
-MIN_COUNT, MOST_WORDS, MOST_GRAMS = 3, 60_000, 40_000
+MIN_COUNT = 3
+#: Documents of a language that are learned from, at most.
+SAMPLE = 2000
 UNKNOWN = "und"
+#: Drawn documents that are sent to every executor at most; more are joined by key.
+BROADCAST_ROWS = 100_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+@lru_cache
+def patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A run of letters and marks, and a letter."""
+
+    def runs(kinds: str) -> str:
+        out, first = [], None
+        for c in range(0x110000 + 1):
+            of = c < 0x110000 and unicodedata.category(chr(c))[0] in kinds
+            if of and first is None:
+                first = c
+            elif not of and first is not None:
+                out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+                first = None
+        return "".join(out)
+
+    return re.compile(f"[{runs('LM')}]+"), re.compile(f"[{runs('L')}]")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
-    """(lang, text) of the documents that may be learned from."""
-    return docs.where("text is not null and lang is not null").where(~held_out()).select("lang", F.lower("text").alias("text"))
+    """(lang, text) of the documents that are learned from."""
+    d = docs.where("text is not null and lang is not null").where(~held_out()).select("lang", F.lower("text").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    # of each task's rows of a language the first SAMPLE go on
+    drawn = d.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE)
+    drawn = small(drawn.select("lang", "h").distinct(), BROADCAST_ROWS)
+    return d.join(drawn, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def train(docs: DataFrame) -> dict:
@@ -51,20 +78,16 @@ def train(docs: DataFrame) -> dict:
     if not langs:
         return model
 
-    def logs(rows: DataFrame, most: int) -> dict[str, np.ndarray]:
+    def logs(rows: DataFrame) -> dict[str, np.ndarray]:
         share = [F.sum(F.when(F.col("lang") == g, F.col("n")).otherwise(0)).alias(f"n{i}") for i, g in enumerate(langs)]
-        # how many keys of its language are more frequent; what has `most` before it everywhere can't be kept
-        above = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-        ahead = rows.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("keys")).withColumn("ahead", F.coalesce(F.sum("keys").over(above), F.lit(0)))
-        ranked = rows.join(F.broadcast(ahead.where(F.col("ahead") < most).drop("keys")), ["lang", "n"], "left")
-        table = cut(ranked.groupBy("key").agg(F.sum("n").alias("all"), F.min("ahead").alias("ahead"), *share))
+        table = cut(rows.groupBy("key").agg(F.sum("n").alias("all"), *share))
         total = np.array(table.agg(*[F.sum(f"n{i}") for i in range(len(langs))]).first(), float)
-        kept = table.where(F.col("all") >= MIN_COUNT).orderBy(F.asc_nulls_last("ahead"), F.desc("all"), "key").limit(most).collect()
-        return {r[0]: np.log((np.array(r[3:], float) + 0.5) / (total + 500)).astype(np.float32) for r in kept}
+        known = sorted(tuple(r) for r in table.where(F.col("all") >= MIN_COUNT).drop("all").collect())  # of a sample that is bounded
+        return {r[0]: np.log((np.array(r[1:], float) + 0.5) / (total + 500)).astype(np.float32) for r in known}
 
-    model["words"] = logs(counts, MOST_WORDS)
+    model["words"] = logs(counts)
     for k in range(1, LONGEST + 1):
-        model["grams"] |= logs(grams.where(F.length("key") == k), MOST_GRAMS // LONGEST)
+        model["grams"] |= logs(grams.where(F.length("key") == k))
     return model
 
 
@@ -94,9 +117,10 @@ class Scorer:
         return out
 
     def __call__(self, text: str) -> tuple[str, float]:
-        words = _LETTERS.findall(text.lower())
-        if not words:
+        run, letter = patterns()
+        if not letter.search(text):
             return UNKNOWN, 1.0
+        words = run.findall(text.lower())
         if not self.langs:
             return UNKNOWN, 0.0
         known, grams, weights = [], [], []

@@ -165,15 +165,14 @@ def test_language(spark):
 
 
 def test_a_small_language_beside_a_large_one(spark, monkeypatch):
-    """Every document counts, and every language has its share of the tables."""
-    monkeypatch.setattr(language, "MOST_WORDS", 40)
-    monkeypatch.setattr(language, "MOST_GRAMS", 160)
+    """Every language has documents of its own in the sample, and all their words are counted."""
+    monkeypatch.setattr(language, "SAMPLE", 200)
     ids = spark.range(100_000, 110_000).where("crc32(cast(cast(id as string) as binary)) % 3 <> 1 and pmod(xxhash64(id), 1000000) >= 900000").limit(6)
     few = ids.selectExpr("id as doc_id", "'xx' as lang", "'жук лес дом' as text")
     many = spark.range(40_000).selectExpr("id as doc_id", "'en' as lang", "concat_ws(' ', transform(sequence(1, 5), k -> translate(cast((id * 5 + k) % 300 as string), '0123456789', 'abcdefghij'))) as text")
+    assert language.learnable(many.unionByName(few)).groupBy("lang").count().orderBy("lang").collect() == [("en", 200), ("xx", 6)]
     model = language.train(many.unionByName(few))
-    assert model["langs"] == ["en", "xx"] and {"жук", "лес", "дом"} <= set(model["words"]) and len(model["words"]) == 40
-    assert {"<жук"[:4], "лес>"} <= set(model["grams"]) and len(model["grams"]) <= 160
+    assert model["langs"] == ["en", "xx"] and {"жук", "лес", "дом"} <= set(model["words"]) and {"<жук"[:4], "лес>"} <= set(model["grams"])
     assert language.Scorer(model)("жук дом")[0] == "xx" and language.Scorer(model)("abc bcd")[0] == "en"
 
 
@@ -329,14 +328,27 @@ def test_sharding(spark):
 
 
 def test_linked_documents_come_together(spark):
-    rows = [(i, f"text {i % 40}", "en") for i in range(320)]
-    nodes = sharding.described(frame(spark, rows))
-    state = sharding.propagated(nodes).collect()
-    assert sum(r.n for r in state) == 320
-    assert sum(max(r.n for r in state if r.g1 == g) for g in {r.g1 for r in state}) >= 150  # of 320; about 75 before
-    got = sharding.sharded(frame(spark, rows)).collect()
-    cut = Counter(g for g, _ in {(r.text_crc32, r.shard) for r in got})
-    assert sum(n - 1 for n in cut.values()) <= 15
+    """Votes against a plain count; documents of one line family move together, equal texts are never cut."""
+    families = [f"a line that family {k} shares" for k in range(20)]
+    rows = [(i, f"own line of document {i}\n{families[i % 20]}\nshort", "en") for i in range(400)] + [(1000 + i, "the same text\nover and over again, twice", "en") for i in range(12)]
+    docs = frame(spark, rows)
+    located, state = sharding.units(sharding.described(docs).cache(), 16)
+    linked = sharding.links(docs, state)
+    unit = {r.doc_id: r.u for r in located.collect()}
+    at = {r.u: (r.shard, r.n) for r in state.collect()}
+    got = {r.u: r.votes for r in sharding.votes(state, linked, 16, None, None).collect()}
+    assert set(got) == {unit[i] for i, _, _ in rows if i < 1000}
+    for i in range(0, 400, 37):
+        want = [sum(at[unit[j]][1] for j in range(i % 20, 400, 20) if j != i and at[unit[j]][0] == k) / 20 for k in range(16)]
+        assert np.allclose(got[unit[i]], want)
+    kept = []
+    for rounds in (0, 8):
+        shard = {r.doc_id: r.shard for r in sharding.sharded(docs, rounds=rounds).collect()}
+        assert len({shard[i] for i, _, _ in rows if i >= 1000}) == 1
+        sizes = Counter(shard.values())
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        kept.append(sum(max(Counter(shard[j] for j in range(k, 400, 20)).values()) for k in range(20)))
+    assert kept[0] < 120 and kept[1] > 200  # of 400 that could be beside their family
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>

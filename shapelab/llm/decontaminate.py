@@ -4,14 +4,16 @@ Two strings within k edits share at least m - q + 1 - k q of the q-grams of the
 of them on k + 1 neighbouring diagonals. Per document the q-grams that the benchmark also has are counted in
 overlapping diagonal bands; bands that reach the bound are merged where they touch and verified by a banded
 alignment of the whole item within the region. The benchmark is the stated query set: its index is made of
-blocks of at most ITEMS_AT_ONCE items, each of which passes over all documents.
+blocks of about BLOCK_CHARS characters, each of which passes over all documents once. Where a text and an item repeat
+themselves so much that the pairs of their positions are too many, they are marked in a table of bands by positions,
+which is no larger than a few times the text, item by item.
 
 Compared are lower-cased texts in which runs of white space are one space; spans are code points of the
 original text. An item shorter than q characters counts only where it stands exactly.
 
 Defined results: null or empty texts and items match nothing; an item given twice is found twice under its
 ids; repeated documents are reported per row; the best alignment of each region is returned (ties: the one
-that ends first). Other columns are ignored.
+that ends first); a very long text is read in overlapping parts; an empty table has no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from .common import documents, text_of
 Q = 8
 #: Edits per character of an item that still count as the item.
 EDITS = 0.1
-ITEMS_AT_ONCE = 1000
+#: Characters of the items in an index.
+BLOCK_CHARS = 2_000_000
 #: Positions of a document looked at together, and pairs of positions held at once.
 SPAN, PAIRS = 1 << 16, 2_000_000
 
@@ -103,9 +106,8 @@ class Index:
         total = int(n.sum())
         if total < self.least.min():
             return []
-        if total > PAIRS and len(g) > 4 * self.reach:  # very repetitive text: halves that overlap by the longest item
-            half = len(g) // 2
-            return self.regions(g[: half + self.reach], start) + self.regions(g[half:], start + half)
+        if total > PAIRS:  # very repetitive text
+            return [x for i in range(len(self.m)) for x in self._repetitive(i, near, row, start)]
         each = np.repeat(self.first[row] - (np.cumsum(n) - n), n) + np.arange(total)
         item, pos = self.item[each], self.pos[each]
         few = np.bincount(item, minlength=len(self.m)) >= self.least
@@ -143,6 +145,38 @@ class Index:
         return found
 
 
+    def _repetitive(self, i: int, near: np.ndarray, row: np.ndarray, start: int) -> list[tuple[int, int, int, int]]:
+        """The same for one item, from a table of bands by positions that is filled part by part."""
+        own = self.item == i
+        rows, pos = np.repeat(np.arange(len(self.g)), self.n)[own], self.pos[own]
+        first, n = np.searchsorted(rows, row), np.searchsorted(rows, row, side="right")
+        n -= first
+        if n.sum() < self.least[i]:
+            return []
+        at, first, n = near[n > 0] + start, first[n > 0], n[n > 0]
+        wide, m = int(self.k[i]) + 1, int(self.m[i])
+        low = (int(at[0]) - m) // wide - 1
+        seen = np.zeros(((int(at[-1]) // wide) - low + 1, m), bool)
+        ends = np.cumsum(n)
+        done = 0
+        while done < len(n):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS // 4, side="right")))
+            k = n[done:stop]
+            p = pos[np.repeat(first[done:stop] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+            band = (np.repeat(at[done:stop], k) - p) // wide - low
+            seen[band, p] = True
+            done = stop
+        both = (seen[:-1] | seen[1:]).sum(axis=1)  # a band and the next, as bands overlap
+        found: list[tuple[int, int, int, int]] = []
+        for b in np.flatnonzero(both >= self.least[i]).tolist():
+            lo, hi, c = (b + low) * wide, (b + low + 2) * wide - 1, int(both[b])
+            if found and lo <= found[-1][2] + 1:
+                found[-1] = (i, found[-1][1], hi, max(c, found[-1][3]))
+            else:
+                found.append((i, lo, hi, c))
+        return found
+
+
 def exact(item: np.ndarray, text: np.ndarray) -> int | None:
     """Where the item first stands in text as it is."""
     a, b, s = item.tobytes(), text.tobytes(), -1
@@ -212,8 +246,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ITEMS_AT_ONCE, of which the driver holds one at a time."""
-    n = max(1, -(-items.count() // ITEMS_AT_ONCE))
+    """The items in blocks of about BLOCK_CHARS characters, of which the driver holds one at a time."""
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     for k in range(n):
         yield sorted((r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
 

@@ -6,7 +6,8 @@ finds spectral peaks and codes pairs of near peaks together with the frame at wh
 
 Defined results: a null text is the empty text; the empty text is one block of 192 spaces. Ties
 between equal bins make every one of them a peak. Equal texts give equal media and equal codes.
-Columns other than the named ones are ignored.
+A very long text is transformed
+a few thousand frames at once; an empty table has no rows. Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import documents, text_of
 BLOCK, HOP, RATE = 192, 96, 8000
 #: Half widths of the neighbourhood in which a peak is the largest value: frames and bins.
 NEAR_T, NEAR_F = 2, 5
-#: Partners of a peak, and the most frames between two partners.
+#: Partners of a peak, the next ones in later frames, and the most frames between two partners.
 FAN_OUT, REACH = 4, 32
 FRAMES_AT_ONCE = 4096
 
@@ -79,11 +80,14 @@ def codes(payload: bytes) -> np.ndarray:
     """Time-coded fingerprints: frame << 20 | bin << 13 | bin of the partner << 6 | frames between them."""
     x = levels(np.frombuffer(payload, np.uint8))
     t, f = np.nonzero((x == _largest_near(_largest_near(x, NEAR_T, 0), NEAR_F, 1)) & (x > 0))
+    after = np.searchsorted(t, t, side="right")  # the first peak of a later frame
     found = []
-    for k in range(1, FAN_OUT + 1):
-        gap = t[k:] - t[:-k]
-        ok = (gap > 0) & (gap <= REACH)
-        found.append((t[:-k].astype(np.int64) << 20 | f[:-k] << 13 | f[k:] << 6 | gap)[ok])
+    for k in range(FAN_OUT):
+        i = np.flatnonzero(after + k < len(t))
+        j = after[i] + k
+        gap = t[j] - t[i]
+        ok = gap <= REACH
+        found.append((t[i].astype(np.int64) << 20 | f[i] << 13 | f[j] << 6 | gap)[ok])
     return np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 

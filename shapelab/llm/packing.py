@@ -223,7 +223,7 @@ def pack(parts: DataFrame) -> DataFrame:
     b = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int").alias("bucket")
     rows = p.select("*", unit, b)
     before = rows.groupBy("unit", "bucket").count().select("unit", "bucket", (F.sum("count").over(Window.partitionBy("unit").orderBy("bucket")) - F.col("count")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("unit", "bucket").orderBy(F.desc("length"), "doc_id", "start")) - 1
+    within = F.row_number().over(Window.partitionBy("unit", "bucket").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")) - 1
     ranked = rows.withColumn("within", within).join(before, ["unit", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     placed = ranked.join(table, "unit").where("rank >= lo and rank < hi").withColumn("sequence_id", F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each")))
     order = Window.partitionBy("sequence_id").orderBy(F.desc("unit"), "rank").rowsBetween(Window.unboundedPreceding, -1)

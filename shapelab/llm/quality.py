@@ -6,7 +6,8 @@ probability. The model is fitted on a bounded sample of labelled rows: SAMPLE do
 out, of at most LINES lines each, whose lines all take the document's label.
 
 Defined results: null or empty texts are one empty line and are scored like any other; without labelled
-rows every score is 0.5; repeated rows get equal scores; labels given twice count once (the smaller).
+rows every score is 0.5; repeated rows get equal scores; labels given twice count once (the smaller); a very long text
+is scored over all its lines, though texts of more than LINES lines are no part of the sample; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -211,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sample = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("quality").cast("int"), "text")
     found = sample.mapInArrow(run, "doc_id long, quality int, x binary, n binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[2])))
-    return fit([(np.frombuffer(r[2], "<f4").reshape(-1, WIDTH).astype(float), np.frombuffer(r[3], "<f4").astype(float), r[1]) for r in found])
+    return fit([(np.frombuffer(r[2], "<f4").reshape(-1, WIDTH), np.frombuffer(r[3], "<f4"), r[1]) for r in found])
 
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,9 +22,11 @@ def builder(master: str = "local[8]", partitions: int = 8) -> SparkSession.Build
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a local one set (tests)."""
+    """The folder all executors share. Only a local session that names none gets one of its own (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shapelab-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -40,3 +40,22 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         sent = after.where("label <> was").select(F.col("a").alias("b"), "label")
         if sent.isEmpty():
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+
+
+def keep_first(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """The nodes that a scan in ascending order keeps, if it drops each one that is near to one kept before.
+
+    nodes: node. near: a, b, in any direction. In every round the nodes without an undecided smaller neighbour are
+    kept, and their larger neighbours dropped, until all are decided; the result is that of the scan."""
+    e = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    open_, e, kept = cut(nodes.select("node").distinct()), cut(e), None
+    while True:
+        waits = e.select(F.col("b").alias("node")).distinct()
+        now = cut(open_.join(waits, "node", "left_anti"))
+        kept = now if kept is None else kept.unionByName(now)
+        dropped = cut(e.join(now, e["a"] == now["node"], "left_semi").select(F.col("b").alias("node")).distinct())
+        open_ = cut(open_.join(now, "node", "left_anti").join(dropped, "node", "left_anti"))
+        if open_.isEmpty():
+            return kept
+        left = open_.select("node")
+        e = cut(e.join(left.withColumnRenamed("node", "a"), "a", "left_semi").join(left.withColumnRenamed("node", "b"), "b", "left_semi"))

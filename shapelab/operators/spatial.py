@@ -7,13 +7,16 @@ best k per query, and the best of those are merged by query. No pair of rows is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shapelab.session import cut
+
 QUERIES_AT_ONCE = 2000
 
 
@@ -34,6 +37,7 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float, point_id:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vector: str = "v") -> DataFrame:
     """(query, id, d, rank): the k nearest other rows of every query; ties by id. metric: l2 or chi2."""
+    queries = queries.where(F.col(vector).isNotNull())
     n = queries.count()
     blocks = max(1, -(-n // QUERIES_AT_ONCE))
     out = None
@@ -62,7 +66,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_
                 ok = np.isfinite(best_d)
                 yield pa.record_batch([pa.array(np.repeat(ids, best_d.shape[1])[ok.ravel()]), pa.array(best_i[ok]), pa.array(best_d[ok])], ["query", "id", "d"])
 
-        found = rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "query long, id long, d double")
+        found = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "query long, id long, d double")
         out = found if out is None else out.unionByName(found)
     by = Window.partitionBy("query").orderBy("d", "id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
@@ -80,3 +84,59 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         else:
             out[i : i + step] = np.sqrt((d * d).sum(axis=2))
     return out
+
+
+def within(points: DataFrame, queries: DataFrame, radius: float, most: int) -> DataFrame:
+    """(query, id, d, rank): of each query the nearest `most` other points within the radius; ties by id."""
+    near = radius_join(points, queries, radius).where("query <> id")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= most)
+
+
+def nearest_on_grid(points: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFrame:
+    """(query, id, d, rank): the k nearest other points of every query in space; ties by id.
+
+    Queries that have k points within the radius are done; the others try again with twice the radius, until it
+    spans all points. Every round is a join on grid cells, so that dense places never meet with a large radius."""
+    ends = [f(c) for c in "xyz" for f in (F.min, F.max)]
+    box, box_q = points.agg(*ends).first(), queries.agg(*ends).first()
+    if box[0] is None or box_q[0] is None:
+        return radius_join(points, queries, radius).withColumn("rank", F.lit(1)).where("false")
+    span = math.sqrt(sum((max(box[2 * i + 1], box_q[2 * i + 1]) - min(box[2 * i], box_q[2 * i])) ** 2 for i in range(3)))
+    left, out = queries.select("query", "x", "y", "z"), None
+    while True:
+        near = cut(within(points, left, radius, k))
+        done = near if radius >= span else near.join(near.groupBy("query").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select("query"), "query", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if radius >= span:
+            return out
+        left = cut(left.join(done.select("query").distinct(), "query", "left_anti"))
+        if left.isEmpty():
+            return out
+        radius *= 2
+
+
+def pair_sums(rows: DataFrame, queries: DataFrame, cells: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(query, cell, w): sums over all other rows of what each pair gives to one of `size` cells of its query.
+
+    queries: a stated query set, taken in blocks. cells(q, v): for one query and a block of rows the cell and the weight
+    of each row. Every task adds up its rows; the sums are added by query and cell."""
+    n = queries.count()
+    blocks, out = max(1, -(-n // QUERIES_AT_ONCE)), None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vector).collect()
+
+        def run(batches: Iterator[pa.RecordBatch], part: list = part) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(part), size))
+            qs = [np.array(r[1], float) for r in part]
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+                for i, r in enumerate(part):
+                    cell, w = cells(qs[i], v)
+                    sums[i] += np.bincount(cell, np.where(own == r[0], 0, w), size)
+            i, cell = np.nonzero(sums)
+            yield pa.record_batch([pa.array([part[k][0] for k in i], pa.int64()), pa.array(cell, pa.int32()), pa.array(sums[i, cell], pa.float64())], ["query", "cell", "w"])
+
+        found = rows.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "query long, cell int, w double")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query", "cell").agg(F.sum("w").alias("w"))

@@ -1,7 +1,8 @@
 """Exact ranks and quantiles that don't sort a group in one task.
 
-Equal values are counted before they are shuffled. A group's distinct values are dealt into bins over its range;
-running counts are taken over the bins (a fixed number per group) and inside each bin.
+Equal values are counted before they are shuffled, once, and kept. A group's distinct values are dealt into bins between
+its approximate quantiles, so that outliers don't gather the others in one bin; running counts are taken over the bins
+(a fixed number per group) and inside each bin.
 """
 
 from __future__ import annotations
@@ -9,19 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+from shapelab.session import cut
 
+#: Quantiles of a group, and bins of even width between two of them.
+QUANTILES, BINS = 64, 256
 
-def running(df: DataFrame, keys: list[str], order: str, weight: str, bins: int = BINS) -> DataFrame:
-    """Adds `before` and `total`: sums of `weight` over the rows of the keys with a smaller `order`, and over all. `order` is unique within the keys."""
-    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.sum(weight).alias("total"))
-    if keys:
-        d = df.join(ends, keys)
-    else:
-        d = df.crossJoin(F.broadcast(ends))  # one row
-    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    place = (F.col(order).cast("double") - F.col("_lo").cast("double")) / span * bins
-    d = d.withColumn("_bin", F.when(span > 0, F.least(F.floor(place), F.lit(bins - 1))).otherwise(0).cast("int")).drop("_lo", "_hi")
+
+def running(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
+    """Adds `before` and `total`: sums of `weight` over the rows of the keys with a smaller `order`, and over all. `order` is unique within the keys.
+
+    df is read several times: let it be a table or a checkpoint."""
+    at = F.col(order).cast("double")
+    marks = F.percentile_approx(at, F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)]), F.lit(1000))
+    ends = df.groupBy(*keys).agg(marks.alias("_marks"), F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.sum(weight).alias("total"))
+    # the ends of the approximate quantiles may lie inside of the range
+    ends = ends.withColumn("_marks", F.concat(F.array("_lo"), F.slice("_marks", 2, QUANTILES - 1), F.array("_hi"))).drop("_lo", "_hi")
+    d = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))  # one row
+    d = d.withColumn("_k", F.least(F.greatest(F.size(F.filter("_marks", lambda m: m <= at)), F.lit(1)), F.lit(QUANTILES)))
+    lo, hi = F.get("_marks", F.col("_k") - 1), F.get("_marks", F.col("_k"))
+    place = F.when(hi > lo, F.least(F.greatest(F.floor((at - lo) / (hi - lo) * BINS), F.lit(0)), F.lit(BINS - 1))).otherwise(0)
+    d = d.withColumn("_bin", (F.col("_k") * BINS + place).cast("int")).drop("_marks", "_k")
     cells = d.groupBy(*keys, "_bin").agg(F.sum(weight).alias("_m"))
     cells = cells.withColumn("_outer", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_m")).drop("_m")
     inner = F.sum(weight).over(Window.partitionBy(*keys, "_bin").orderBy(order)) - F.col(weight)
@@ -31,7 +39,7 @@ def running(df: DataFrame, keys: list[str], order: str, weight: str, bins: int =
 
 def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n, before, total): each distinct value holds the 0-based ranks before .. before + n - 1."""
-    return running(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), keys, value, "n")
+    return running(cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))), keys, value, "n")
 
 
 def nth(df: DataFrame, keys: list[str], value: str, at: Column, name: str) -> DataFrame:

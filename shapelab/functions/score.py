@@ -43,6 +43,6 @@ def energy_terms(distance: Column, sigma: float) -> tuple[Column, Column]:
 
 
 def log_normal(v: Column, lo: Column, hi: Column, alpha: float = 4.0) -> Column:
-    """log(alpha v' + 1) / log(alpha + 1) for v' from 0 to 1 between lo and hi; 1 where all values are equal."""
+    """log(alpha v' + 1) / log(alpha + 1) for v' from 0 to 1 between lo and hi; 1 where all values are equal; an exact 0 stays 0."""
     unit = (v - lo) / (hi - lo)
-    return F.when(hi == lo, 1.0).otherwise(F.log(unit * alpha + 1) / F.log(F.lit(alpha + 1)))
+    return F.when(hi == lo, 1.0).when(v == 0, 0.0).otherwise(F.log(unit * alpha + 1) / F.log(F.lit(alpha + 1)))

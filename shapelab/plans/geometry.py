@@ -60,11 +60,19 @@ def knn_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(v, queries_of(v), 5, metric="chi2").select("query", "id", "rank", F.round("d", 6).alias("d"))
 
 
-@register(f"select query, round(avg(1 - exp(-d / (1 + rank))), 6) as distinct_low from {_knn_sql(5, _CHI2, _ABS)} group by 1")
+@register(f"""select k.query, round(1 - exp(-avg(k.d / (1 + sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / s))), 6) as distinct_low from
+ (select query, id, d, rn, (select count(*) from embeddings) as n from (select q.id as query, r.id as id, {_CHI2} as d, row_number() over (partition by q.id order by {_CHI2}, r.id) as rn from {_ABS} q join {_ABS} r on q.id % 20 = 0 and q.id <> r.id)) k
+ join {_P} a on a.id = k.query join {_P} b on b.id = k.id, (select sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y)) + (max(z) - min(z)) * (max(z) - min(z))) as s from {_P})
+ where rn <= greatest(floor(n * 0.01) - 1, 1) group by 1""")
 def distinctness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).withColumn("v", F.transform("v", F.abs))
-    n = spatial.nearest(v, queries_of(v), 5, metric="chi2")
-    return n.groupBy("query").agg(F.round(F.avg(1 - F.exp(-F.col("d") / (1 + F.col("rank")))), 6).alias("distinct_low"))
+    """How unlike the most alike hundredth of the points, the point itself among them, a point is; near ones count more."""
+    v, p = vectors(spark, sf_dir).withColumn("v", F.transform("v", F.abs)), points(spark, sf_dir)
+    ends = p.agg(*[F.max(c) - F.min(c) for c in "xyz"], F.count(F.lit(1))).first()
+    scale = sum((e or 0) ** 2 for e in ends[:3]) ** 0.5 or 1.0
+    near = spatial.nearest(v, queries_of(v), max(int(ends[3] * 0.01) - 1, 1), metric="chi2").select("query", "id", "d")
+    near = near.join(p.select("id", "x", "y", "z"), "id").join(p.select(F.col("id").alias("query"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), "query")
+    gap = vec.length(tuple(F.col(c) - F.col(f"q{c}") for c in "xyz")) / scale
+    return near.groupBy("query").agg(F.round(1 - F.exp(-F.avg(F.col("d") / (1 + gap))), 6).alias("distinct_low"))
 
 
 @register(f"""select query, min(d) as bandwidth from (select query, round(d, 6) as d, sum(1.0 / n) over (partition by query order by d, id) as w from {_knn_sql(20)}, (select count(*) as n from embeddings)) where w > 0.01 group by 1""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelab.operators import cluster, spatial
+from shapelab.session import cut
 
 from .geometry import points, queries_of, vectors
 from .registry import register
@@ -15,29 +16,33 @@ GRAPH, LIMIT, BANDWIDTH = 0.05, 0.3, 0.15
 
 @register()
 def kmeans_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).select("id", F.slice("v", 1, 8).alias("v"))
-    return cluster.kmeans(v, 10, steps=10)[0].select("id", "cluster", F.round("d", 6).alias("d"))
+    v = cut(vectors(spark, sf_dir).select("id", "v"))
+    return cluster.kmeans(v, 10)[0].select("id", "cluster", F.round("d", 6).alias("d"))
 
 
 @register()
 def meanshift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).select("id", "x", "y", "z", F.lit(1.0).alias("w"))
-    return cluster.mean_shift(p, BANDWIDTH, steps=6).select("id", *[F.round(c, 4).alias(c) for c in "xyz"])
+    """Every point's mode; modes within a hundredth of the bandwidth are one, under the smallest id."""
+    p = cut(points(spark, sf_dir).select("id", "x", "y", "z", F.lit(1.0).alias("w")))
+    modes = cluster.merged_modes(cluster.mean_shift(p, BANDWIDTH), BANDWIDTH / 100)
+    return modes.select("id", "mode", *[F.round(c, 4).alias(c) for c in "xyz"])
 
 
 @register()
 def icp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's points are a shape; the even ids are aligned to the odd ones. Returns the moved points."""
+    """The even ids are one shape, the odd ones another, to which it is aligned. Returns the moved points."""
     p = points(spark, sf_dir).select("id", "x", "y", "z")
     source = p.where("id % 2 = 0")
-    t = cluster.affine_icp(source, p.where("id % 2 = 1"), 0.1, steps=5)
+    t = cluster.affine_icp(source, p.where("id % 2 = 1"), 0.1)
     return source.select("id", *[F.round(float(t[i, 0]) * F.col("x") + float(t[i, 1]) * F.col("y") + float(t[i, 2]) * F.col("z") + float(t[i, 3]), 6).alias(c) for i, c in enumerate("xyz")])
 
 
 @register()
 def geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean length of the shortest paths from the stated queries over the radius graph."""
-    p = points(spark, sf_dir)
-    e = spatial.radius_join(p, p.withColumnRenamed("id", "query"), GRAPH).where("query <> id").select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("d").alias("weight"))
-    d = cluster.shortest_paths(e, queries_of(p).select(F.col("id").alias("node")), LIMIT, steps=12)
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.round(F.avg("d"), 6).alias("mean_d"))
+    """Mean length of the shortest paths from the stated queries over the radius graph, and as a part of the largest mean."""
+    p = cut(points(spark, sf_dir))
+    e = cut(spatial.radius_join(p, p.withColumnRenamed("id", "query"), GRAPH).where("query <> id").select(F.col("query").alias("src"), F.col("id").alias("dst"), F.col("d").alias("weight")))
+    d = cluster.shortest_paths(e, queries_of(p).select(F.col("id").alias("node")), LIMIT)
+    m = cut(d.groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.avg("d").alias("mean")))
+    most = m.agg(F.max("mean")).first()[0] or 1.0
+    return m.select("source", "reached", F.round("mean", 6).alias("mean_d"), F.round(F.col("mean") / F.lit(most), 6).alias("centrality"))

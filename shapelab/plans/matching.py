@@ -212,7 +212,7 @@ def face_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("s"))
     f = cut(s.select(F.col("s")[0].alias("v0"), F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("v1"), F.element_at("s", -1).alias("v2")).where("v0 < v1 and v1 < v2").distinct())
     used = f.select(F.explode(F.array("v0", "v1", "v2")).alias("v")).distinct().withColumn("n", F.lit(1))
-    at = cut(rank.running(used, [], "v", "n").select("v", "before"))
+    at = cut(rank.running(cut(used), [], "v", "n").select("v", "before"))
     for k in ("v0", "v1", "v2"):
         f = f.join(at.select(F.col("v").alias(k), F.col("before").alias(f"at_{k}")), k)
     return f.select(*[F.col(f"at_{k}").cast("long").alias(k) for k in ("v0", "v1", "v2")])

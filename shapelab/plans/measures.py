@@ -134,7 +134,7 @@ def log_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def area_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, lo, hi): each part's share of the summed prices, as a piece of [0, 1)."""
     p = table(spark, sf_dir, "part").groupBy("p_partkey").agg(F.sum("p_retailprice").alias("w"))
-    r = rank.running(p, [], "p_partkey", "w")
+    r = rank.running(cut(p), [], "p_partkey", "w")
     return r.select("p_partkey", (F.col("before") / F.col("total")).alias("lo"), ((F.col("before") + F.col("w")) / F.col("total")).alias("hi"))
 
 

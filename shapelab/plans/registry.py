@@ -25,7 +25,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from . import descriptors, geometry, iterative, learning, matching, measures, relations  # noqa: F401
+    from . import descriptors, geometry, iterative, learning, matching, measures, relations, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -37,9 +37,9 @@ def union_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.groupBy(F.col("l_linestatus").alias("role")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
 
 
-@register("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@register("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' and o_custkey is not null)")
 def complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    taken = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return sets.complement(table(spark, sf_dir, "customer").select("c_custkey"), taken, ["c_custkey"])
 
 

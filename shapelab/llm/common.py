@@ -40,6 +40,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of a batch that a Python worker gets at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, for a session whose Arrow batches are no larger than BATCH_ROWS: Spark's own bound suits numbers, not texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that `df` doesn't have."""
     taken = {c.lower() for c in df.columns}

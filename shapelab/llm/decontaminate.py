@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 
 Q = 8
 #: Edits per character of an item that still count as the item.
@@ -254,6 +254,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per region of a document that holds a benchmark item: doc_id, item_id, start, end, edits, shared_grams."""
+    docs = small_batches(docs)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     items = _items(benchmark)
     schema = "doc_id long, item_id long, start long, end long, edits int, shared_grams int"
@@ -278,6 +279,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item."""
+    docs = small_batches(docs)
 
     def without(block: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shapelab.session import cut
 
-from .common import documents, held_out, small, text_of
+from .common import documents, held_out, small, small_batches, text_of
 
 LONGEST = 4
 MIN_COUNT = 3
@@ -141,6 +141,7 @@ class Scorer:
 
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
+    docs = small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(model)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, text_of
+from .common import documents, small_batches, text_of
 
 BLOCK, HOP, RATE = 192, 96, 8000
 #: Half widths of the neighbourhood in which a peak is the largest value: frames and bins.
@@ -93,6 +93,7 @@ def codes(payload: bytes) -> np.ndarray:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and the WAV file of each text."""
+    docs = small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,6 +105,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def fingerprint(media: DataFrame) -> DataFrame:
     """Reads the stored files of `encode` and adds digests and the time-coded array `codes`."""
+    media = small_batches(media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

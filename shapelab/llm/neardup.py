@@ -33,7 +33,7 @@ from shapelab.operators.graph import components
 from shapelab.operators.skew import hot_keys, spread_join
 from shapelab.session import cut
 
-from .common import documents, free, text_of, written
+from .common import documents, free, small_batches, text_of, written
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -102,6 +102,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, h (of the text), key (of the word sequence; null without words), n_shingles and the signature."""
+    docs = small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,6 +120,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
     """Candidates (a, b) that the signatures leave."""
+    pairs = small_batches(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,6 +139,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, hot: dict[str, DataFrame | None])
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, hot: dict[str, DataFrame | None]) -> DataFrame:
     """Pairs (a, b) whose full sets are similar."""
+    pairs = small_batches(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -164,6 +167,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, hot: dict[str, DataFrame | No
 
 def _shingle_rows(texts: DataFrame) -> DataFrame:
     """(doc_id, shingle) of every shingle of every text."""
+    texts = small_batches(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, small_batches, text_of, written
 
 SEQUENCE, UNIT, END = 4096, 16, 2
 #: Pieces of one class that are ordered in one task, about.
@@ -118,6 +118,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids as little-endian bytes."""
+    docs = small_batches(docs)
     path = tokenizer or default_tokenizer()
     end = np.array([END], "<u4").tobytes()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, text_of
+from .common import documents, held_out, small_batches, text_of
 
 #: Bounds of the training sample: documents, and lines of a document.
 SAMPLE, LINES = 6000, 400
@@ -201,6 +201,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> dict:
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fits the model on a sample of labelled rows that aren't held out, drawn by a hash of doc_id."""
+    docs = small_batches(docs)
     drawn = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
+    docs = small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,6 +232,7 @@ def scored(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
 def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't reject."""
+    docs = small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ from shapelab.session import cut
 
 from .common import documents, text_of
 
-SHARDS, ROUNDS = 16, 8
+SHARDS, ROUNDS = 16, 6
 #: Characters of a line that links.
 LINE = 20
 #: Units of a full shard at least, rows of a unit if it can, and parts of the order of a shard.

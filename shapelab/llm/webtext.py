@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from shapelab.operators.skew import hot_keys, spread_join
 from shapelab.session import cut
 
+from .common import small_batches
+
 THRESHOLD, DAMPING = 0.3, 0.9
 #: Weight of the prior, in pages, and inside what a page declares to be its content.
 PAGES, ROLE_PAGES = 2, 50
@@ -297,6 +299,7 @@ def _pages(pages: DataFrame, page_col: str, url_col: str) -> DataFrame:
 
 def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
     """The merged trees: what `described` says, summed over the pages of each host; copies of a page weigh one together."""
+    pages = small_batches(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -384,6 +387,7 @@ def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> tupl
 
 def page_paths(p: DataFrame) -> DataFrame:
     """(page_id, host, path) of the elements that each page has."""
+    p = small_batches(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,6 +400,7 @@ def page_paths(p: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
     """Adds `text` to the columns page_id and url."""
+    pages = small_batches(pages)
     nodes_, keeps = tree(pages, page_col, url_col)
     low = cut(nodes_.where((F.col("branch") < THRESHOLD) & ~F.col("noise")).select("host", "path"))
     keeps = cut(keeps)

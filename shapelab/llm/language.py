@@ -58,9 +58,12 @@ def patterns() -> tuple[re.Pattern, re.Pattern]:
 def learnable(docs: DataFrame) -> DataFrame:
     """(lang, text) of the documents that are learned from."""
     d = docs.where("text is not null and lang is not null").where(~held_out()).select("lang", F.lower("text").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    # of each task's rows of a language the first SAMPLE go on
-    drawn = d.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE)
-    drawn = small(drawn.select("lang", "h").distinct(), BROADCAST_ROWS)
+    # a share of each language by its count, of about twice as many, comes before the rank: no language is ranked whole
+    n = small(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), BROADCAST_ROWS)
+    share = F.col("h").bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    near = d.select("lang", "h").join(n, "lang").where(share * F.col("n") < 2.0 * SAMPLE).select("lang", "h").distinct()
+    drawn = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE)
+    drawn = small(drawn.select("lang", "h"), BROADCAST_ROWS)
     return d.join(drawn, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text")
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import documents, small_batches, text_of, written
 
 SEQUENCE, UNIT, END = 4096, 16, 2
-#: Pieces of one class that are ordered in one task, about.
-BUCKET = 50_000
+#: Pieces of one class that are ordered in one task: LEAST, or a PARTS-th of all pieces if that is more.
+LEAST, PARTS = 256, 10_000
 #: Bounds of the linear program: steps, and the gap to the lower bound at which it ends.
 STEPS, GAP = 3000, 5e-4
 CACHED_CHUNKS = 600_000
@@ -211,7 +211,8 @@ def pack(parts: DataFrame) -> DataFrame:
     unit = F.ceil(F.col("length") / UNIT).cast("int").alias("unit")
     full = SEQUENCE // UNIT
     histogram = {r[0]: r[1] for r in p.select(unit).groupBy("unit").count().collect()}
-    buckets = max(1, sum(histogram.values()) // BUCKET)
+    most = max(LEAST, sum(histogram.values()) // PARTS)
+    dealt = F.broadcast(spark.createDataFrame([(u, -(-n // most)) for u, n in histogram.items()] or [(full, 1)], "unit int, buckets int"))  # a row per class
     slots, first = [], 0
     taken: dict[int, int] = {}
     for times, own in patterns(histogram):
@@ -221,8 +222,8 @@ def pack(parts: DataFrame) -> DataFrame:
             taken[s] = lo + times * a
         first += times
     table = F.broadcast(spark.createDataFrame(slots or [(full + 1, 0, 0, 1, 0)], "unit int, lo long, hi long, each int, first long"))  # at most a few thousand rows: classes x patterns
-    b = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int").alias("bucket")
-    rows = p.select("*", unit, b)
+    b = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("buckets")).cast("int")
+    rows = p.select("*", unit).join(dealt, "unit").withColumn("bucket", b).drop("buckets")
     before = rows.groupBy("unit", "bucket").count().select("unit", "bucket", (F.sum("count").over(Window.partitionBy("unit").orderBy("bucket")) - F.col("count")).alias("before"))
     within = F.row_number().over(Window.partitionBy("unit", "bucket").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32")) - 1
     ranked = rows.withColumn("within", within).join(before, ["unit", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))

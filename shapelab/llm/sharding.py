@@ -94,11 +94,13 @@ def propagated(state: DataFrame, linked: DataFrame, total: int, shards: int = SH
         back = asked.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("asked").alias("back"))
         loads = state.groupBy("shard").agg(F.sum("n").alias("load")).select(F.col("shard").alias("to"), (F.greatest(F.lit(room) - F.col("load"), F.lit(0)) / shards).alias("free"))
         quota = asked.join(back, ["shard", "to"], "left").join(loads, "to", "left").select("shard", "to", (F.least("asked", F.coalesce("back", F.lit(0))) + F.ceil(F.coalesce("free", F.lit(room / shards)))).alias("quota"))
-        # largest gains first: counts before a wish by gain class, then by slice, then inside the slice
+        # largest gains first: counts before a wish by gain class, then by slice, then inside the slice. The quotas, a
+        # row per pair of shards, are joined with the counts, so that wishes meet by (shard, to, klass, slice) alone
         cells = wish.groupBy("shard", "to", "klass", "slice").agg(F.sum("n").alias("cell"))
         cells = cells.withColumn("before", F.sum("cell").over(Window.partitionBy("shard", "to").orderBy(F.desc("klass"), "slice")) - F.col("cell")).drop("cell")
+        cells = cells.join(F.broadcast(quota), ["shard", "to"])
         inside = Window.partitionBy("shard", "to", "klass", "slice").orderBy("u")
-        ranked = wish.withColumn("inner", F.sum("n").over(inside)).join(cells, ["shard", "to", "klass", "slice"]).join(quota, ["shard", "to"])
+        ranked = wish.withColumn("inner", F.sum("n").over(inside)).join(cells, ["shard", "to", "klass", "slice"])
         moves = cut(ranked.where("before + inner <= quota").select("u", "to"))
         if moves.isEmpty():
             break

@@ -23,9 +23,14 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def registered_sql(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _SQL[name]
+
+
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from . import descriptors, geometry, iterative, learning, matching, measures, relations, training  # noqa: F401
+    from . import descriptors, geometry, iterative, learning, matching, measures, relations, scores, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

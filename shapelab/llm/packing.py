@@ -64,14 +64,21 @@ class Encoder:
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.stops = {c: self._plain(c) for c in ".,"}
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Without the offsets, which nobody reads."""
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._each([text])[0]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(i, "<u4").tobytes() for i in self._ids(texts)]
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters alone: one run of tokens each, whose last one ends a word."""
         for i in range(0, len(words), 5000):
             part = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids([" ".join(part)])[0], "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(part):
                 self.kept.update((w, self._plain(w)) for w in part)
@@ -90,22 +97,18 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         chunks = [self._chunks(t) for t in texts]
         kept = self.kept
-        new = {c for x in chunks if x for c in x if c not in kept}
+        new = set().union(*filter(None, chunks)).difference(kept)
         if len(kept) + 2 * len(new) > CACHED_CHUNKS:
             for c in list(kept)[: len(kept) // 2]:
                 del kept[c]
-            new = {c for x in chunks if x for c in x if c not in kept}
+            new = set().union(*filter(None, chunks)).difference(kept)
         ended = {c: c[:-1] for c in new if c[-1] in ".," and c[:-1].isalpha()}
         simple = {c for c in new if c.isalpha()} | {w for w in ended.values() if w not in kept}
         self._learn([w for w in simple if not _WIDE.search(w)])
-        for c in simple:
-            if c not in kept:
-                kept[c] = self._plain(c)
-        for c in new:
-            if c in ended:
-                kept[c] = kept[ended[c]] + self.stops[c[-1]]
-            elif c not in kept:
-                kept[c] = self._plain(c)
+        others = [c for c in simple.union(new) if c not in kept and c not in ended]
+        kept.update(zip(others, self._each(others)))
+        for c, word in ended.items():
+            kept[c] = kept[word] + self.stops[c[-1]]
         get = kept.__getitem__
         return [self._plain(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, chunks)]
 

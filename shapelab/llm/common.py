@@ -64,3 +64,13 @@ def small(df: DataFrame, most: int) -> DataFrame:
     """`df`, computed once; broadcast if it has no more than `most` rows, else left to a join by key."""
     df = cut(df)
     return F.broadcast(df) if df.count() <= most else df
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8. It needs `crc_table` of CRC_SQL among the tables of its select."""
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda k: cast('0x' || hex(encode({text}))[2 * k + 1:2 * k + 2] as bigint))"
+    return f"xor(4294967295, list_reduce(list_concat([cast(4294967295 as bigint)], {data}), lambda c, b: xor(crc_table.entries[(xor(c, b) & 255) + 1], c >> 8)))"
+
+
+#: A common table expression with the remainders of the 256 bytes.
+CRC_SQL = "crc_table as (select list_transform(range(256), lambda v: list_reduce(list_concat([cast(v as bigint)], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as entries)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding, spelling, webtext
+from . import conversations, decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding, spelling, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": neardup.op8_neardup,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_repair": conversations.op11_repair,
     "op13_spelling": spelling.op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_licenses": licenses.SQL,
+    "op11_repair": conversations.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding, spelling, webtext
+from . import conversations, decontaminate, language, licenses, media, neardup, packing, pii, quality, repeats, sharding, spelling, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.op1_media,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_repair": conversations.op11_repair,
+    "op12_repeats": repeats.op12_repeats,
     "op13_spelling": spelling.op13_spelling,
 }
 

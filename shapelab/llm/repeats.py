@@ -9,8 +9,9 @@ are a run.
 * A run alone in its bucket at depth CORE is settled: none of its strings repeats.
 * Runs that are equal as a whole (from the first byte of their first string to the last byte of their last one) are
   settled: all of their strings repeat.
-* What is left meets other runs in its bucket, around the ends of repeated passages. Its strings, and those of one of each
-  set of equal runs in the bucket, are refined to depth SPAN one by one.
+* What is left meets other runs in its bucket, around the ends of repeated passages. It is cut in shorter runs, and so is
+  one of each set of equal runs in the bucket; these have deeper buckets, and the same is done again (STEPS), until a run
+  is a single string and its bucket has depth SPAN.
 
 Counts are combined before they are shuffled, and buckets of very many runs are dealt over tasks. Equal texts are one
 text with a number. Texts are written once, in buckets by key, so that later steps read them without a shuffle.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shapelab.operators.skew import hot_keys, hot_of, spread_join
+from shapelab.operators.skew import hot_of, spread_join
 from shapelab.session import checkpoint_folder
 
 from .common import documents, text_of, written
@@ -35,6 +36,8 @@ from .common import documents, text_of, written
 #: Bytes of a string that must not repeat, of the first buckets, and of those that hold a run; first q-grams of a string among which the smallest is taken.
 SPAN, Q, CORE = 400, 25, 200
 WINDOW = SPAN - CORE + 1
+#: Strings of a run at the later levels; SPAN - CORE + 1 at most at the first.
+STEPS = (25, 1)
 #: Strings of a text that are looked at together; a place in them has BITS bits.
 BITS = 21
 PIECE = (1 << BITS) - SPAN
@@ -56,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _deeper(here: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Buckets at twice the depth."""
+    """Buckets at up to twice the depth."""
     return _mixed(here * LATER + later)
 
 
@@ -70,19 +73,21 @@ class Buckets:
         if Buckets.powers is None or len(Buckets.powers[0]) < n:
             Buckets.powers = _powers(max(n, 1 << 16))
         up, down = Buckets.powers
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[x] * up[:n], out=sums[1:])
-        self.grams = _mixed((sums[Q:] - sums[:-Q]) * down[: n - Q + 1])
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTES[x] * up[:n], out=self.sums[1:])
+        self.grams = _mixed((self.sums[Q:] - self.sums[:-Q]) * down[: n - Q + 1])
         self.core, depth = self.grams, Q
         while depth < CORE:
             self.core, depth = _deeper(self.core[:-depth], self.core[depth:]), 2 * depth
 
-    def whole(self, at: np.ndarray) -> np.ndarray:
-        """Buckets at depth SPAN."""
-        return _deeper(self.core[at], self.core[at + CORE])
+    def _named(self, first: np.ndarray, size: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of runs as a whole a hash, which shares nothing with the buckets, and their places in the text: first string, strings, bytes from there to the run's place."""
+        whole = (self.sums[first + size - 1 + SPAN] - self.sums[first]) * Buckets.powers[1][first]
+        shape = (size - 1 << 8 | back).astype(np.uint64)
+        return _mixed(whole + shape * MIX), first << 16 | size - 1 << 8 | back
 
     def runs(self) -> tuple[np.ndarray, ...]:
-        """bucket, bucket of the run as a whole, first string, number of strings of every run."""
+        """bucket, hash, place of every run."""
         a = self.grams & ~np.uint64((1 << BITS) - 1) | np.arange(len(self.grams), dtype=np.uint64)
         strings, rows = len(self.core) - CORE, -(-len(a) // WINDOW)
         blocks = np.full(rows * WINDOW, np.iinfo(np.uint64).max)
@@ -92,10 +97,21 @@ class Buckets:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         place = (np.minimum(behind[:strings], ahead[WINDOW - 1 : WINDOW - 1 + strings]) & np.uint64((1 << BITS) - 1)).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        size = np.diff(np.append(first, strings))
         under = place[first]
-        run = _deeper(self.whole(first), self.whole(first + size - 1)) + (size << 20 | under - first).astype(np.uint64) * ODD
-        return self.core[under], _mixed(run), first, size
+        return self.core[under], *self._named(first, np.diff(np.append(first, strings)), under - first)
+
+    def shorter(self, place: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+        """The same of runs cut in shorter ones, of at most `step` strings: those whose bytes to the run's place have one quotient by step. The last value says which run each comes from."""
+        first, size, back = place >> 16, (place >> 8 & 255) + 1, place & 255
+        low = (back - size + 1) // step
+        parts = back // step - low + 1
+        of = np.repeat(np.arange(len(place)), parts)
+        part = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        far, near = np.minimum(back[of], part * step + step - 1), np.maximum((back - size + 1)[of], part * step)
+        under = (first + back)[of]
+        core = under - part * step
+        bucket = _deeper(self.core[core], self.core[core + SPAN - step + 1 - CORE])
+        return bucket, *self._named(under - far, far - near + 1, far), of
 
 
 def pieces(data: bytes) -> Iterator[tuple[int, Buckets]]:
@@ -120,47 +136,58 @@ def _keys(text: str) -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _arrays(cols: list, rows: list[int]) -> list[pa.Array]:
+    """List columns of so many values a row."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(rows)]).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).view(pa.int64())) for c in cols]
 
 
 def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, its runs in arrays."""
+    """Columns: k1, k2, w, text. A row for each text, its runs in arrays."""
     for batch in batches:
-        found, ends = [], [0]
-        for text in batch.column(2):
-            parts = [(g, f, s + at, n) for at, b in pieces(text.as_buffer().to_pybytes()) for g, f, s, n in [b.runs()]]
-            found += parts
-            ends.append(ends[-1] + sum(len(p[0]) for p in parts))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
-        offsets = pa.array(ends, pa.int32())
-        made = [pa.ListArray.from_arrays(offsets, _signed(c)) for c in cols[:2]] + [pa.ListArray.from_arrays(offsets, pa.array(c.astype(np.int32))) for c in cols[2:]]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *made], ["k1", "k2", "m", "g", "f", "s", "n"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets at depth SPAN of the strings of some runs of each text. Columns: k1, k2, text, runs (g, s, n, alone)."""
-    for batch in batches:
-        for k1, k2, text, runs in zip(*batch.columns, strict=True):
-            wanted = sorted((r["s"], r["n"], r["g"], r["alone"]) for r in runs.as_py())
-            s, n, g, alone = (np.array(c, np.int64) for c in zip(*wanted, strict=True))
-            at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for start, b in pieces(text.as_buffer().to_pybytes()):
-                own = (at >= start) & (at < start + PIECE)
-                if own.any():
-                    rows = int(own.sum())
-                    cols = [pa.array(np.full(rows, k1.as_py())), pa.array(np.full(rows, k2.as_py())), pa.array(np.repeat(g, n)[own]), _signed(b.whole(at[own] - start)), pa.array(at[own].astype(np.int32)), pa.array(np.repeat(alone, n)[own].astype(bool))]
-                    yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "g", "h", "s", "alone"])
+        g, f, place, rows = [], [], [], []
+        for text in batch.column(3):
+            own = [(*b.runs(), at) for at, b in pieces(text.as_buffer().to_pybytes())]
+            g += [r[0] for r in own]
+            f += [r[1] for r in own]
+            place += [r[2] + (r[3] << 16) for r in own]
+            rows.append(sum(len(r[0]) for r in own))
+        if rows:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _arrays([[np.full(n, w.as_py()) for n, w in zip(rows, batch.column(2), strict=True)]], rows)[0], *_arrays([g, f, place], rows)], ["k1", "k2", "w", "g", "f", "place"])
+
+
+def _shorter_runs(step: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns: k1, k2, text, runs (place, w). A row for each text, shorter runs in arrays."""
+        for batch in batches:
+            w, g, f, place, rows = [], [], [], [], []
+            for text, runs in zip(batch.column(2), batch.column(3), strict=True):
+                wanted, weight = (runs.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                first, n = wanted >> 16, 0
+                for at, b in pieces(text.as_buffer().to_pybytes()):
+                    own = np.flatnonzero((first >= at) & (first < at + PIECE))
+                    if len(own):
+                        a, c, d, of = b.shorter(wanted[own] - (at << 16), step)
+                        w.append(weight[own][of])
+                        g.append(a)
+                        f.append(c)
+                        place.append(d + (at << 16))
+                        n += len(of)
+                rows.append(n)
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_arrays([w, g, f, place], rows)], ["k1", "k2", "w", "g", "f", "place"])
+
+    return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text. Columns: k1, k2, text, marks (s << 32 | n)."""
+    """What is left of each text. Columns: k1, k2, text, marks (places of runs)."""
     for batch in batches:
         out = []
         for k1, k2, text, marks in zip(*batch.columns, strict=True):
             data = text.as_buffer().to_pybytes()
             m = marks.values.to_numpy(zero_copy_only=False)
-            s, n = m >> 32, m & 0xFFFFFFFF
+            s, n = m >> 16, (m >> 8 & 255) + 1
             edges = np.zeros(len(data) + 1, np.int64)
             np.add.at(edges, s, 1)
             np.add.at(edges, s + n - 1 + SPAN, -1)
@@ -171,24 +198,35 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["k1", "k2", "n_removed", "n_spans", "kept_sha256"])
 
 
-def marked(texts: DataFrame) -> DataFrame:
-    """(k1, k2, marks): of texts that occur once, the repeated strings as s << 32 | n: n of them from byte s on. texts: of `distinct_texts`."""
-    runs = written(texts.select("k1", "k2", "text", F.col("m").cast("long")).mapInArrow(_text_runs, "k1 long, k2 long, m long, g array<long>, f array<long>, s array<int>, n array<int>"))
-    each = runs.select("k1", "k2", F.least("m", F.lit(2)).alias("w"), F.explode(F.arrays_zip("g", "f", "s", "n")).alias("r")).select("k1", "k2", "w", "r.*")
+RUNS = "k1 long, k2 long, w array<long>, g array<long>, f array<long>, place array<long>"
+
+
+def _settled(runs: DataFrame) -> DataFrame:
+    """(k1, k2, w, place, alone, again): runs that repeat, as a whole (not alone) or perhaps in part. again: to be looked at once more.
+
+    runs: a row for each text, RUNS. w: 2 for a run that stands for several, of which none is marked."""
+    each = runs.select("k1", "k2", F.explode(F.arrays_zip("w", "g", "f", "place")).alias("r")).select("k1", "k2", "r.*")
     classes = written(each.groupBy("g", "f").agg(F.sum("w").alias("c"), F.min("k1").alias("one")))
-    shared = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max("c").alias("most"))
-    shared = shared.where("classes > 1 or most > 1").select("g", (F.col("classes") > 1).alias("contested"))
-    live = written(classes.join(shared, "g").select(F.col("g").alias("g2"), "f", "c", "one", "contested"))
-    most = live.where("c > 1").select("f", F.col("c").alias("n"))
-    met = spread_join(each, live, "f", hot_of(most, "f", classes.count()), "inner").where("g = g2")
-    met = written(met.where("(c > 1 and w = 1) or (contested and (c = 1 or k1 = one))").select("k1", "k2", "w", "g", "s", "n", "c", "contested", (F.col("k1") == F.col("one")).alias("first")))
-    ask = met.where("contested and (c = 1 or first)").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "s", "n", (F.col("c") == 1).alias("alone"))).alias("runs"))
-    strings = written(texts.select("k1", "k2", "text").join(ask.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_strings, "k1 long, k2 long, g long, h long, s int, alone boolean"))
-    counts = strings.groupBy("g", "h").agg(F.sum(F.when(F.col("alone"), 1).otherwise(2)).alias("c")).where("c > 1").select(F.col("g").alias("g2"), "h", "c")
-    alone = strings.where("alone")
-    single = spread_join(alone, counts.select("g2", "h"), "h", hot_keys(alone, "h"), "inner").where("g = g2").select("k1", "k2", "s", F.lit(1).alias("n"))
-    both = met.where("c > 1 and w = 1").select("k1", "k2", "s", "n").unionByName(single)
-    return both.groupBy("k1", "k2").agg(F.collect_list(F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("marks"))
+    shared = classes.groupBy("g").agg(F.count(F.lit(1)).alias("classes"), F.max("c").alias("most")).where("classes > 1 or most > 1")
+    live = written(classes.join(shared.select("g", (F.col("classes") > 1).alias("contested")), "g").select(F.col("g").alias("g2"), "f", "c", "one", "contested"))
+    hot = hot_of(live.where("c > 1").select("f", F.col("c").alias("n")), "f", classes.count())
+    met = spread_join(each, live, "f", hot).where("g = g2")
+    alone, first = F.col("c") == 1, F.col("k1") == F.col("one")
+    return written(met.select("k1", "k2", "w", "place", alone.alias("alone"), (F.col("contested") & (alone | first)).alias("again")).where("(w = 1 and not alone) or again"))
+
+
+def marked(texts: DataFrame) -> DataFrame:
+    """(k1, k2, marks): of texts that occur once, the places of runs whose strings repeat. texts: of `distinct_texts`."""
+    runs = written(texts.select("k1", "k2", F.least("m", F.lit(2)).cast("long"), "text").mapInArrow(_text_runs, RUNS))
+    marks = None
+    for step in (*STEPS, None):
+        met = _settled(runs)
+        found = met.where("w = 1 and not alone").select("k1", "k2", "place")
+        marks = found if marks is None else marks.unionByName(found)
+        if step:
+            ask = met.where("again").groupBy("k1", "k2").agg(F.collect_list(F.struct("place", F.when(F.col("alone"), 1).otherwise(2).alias("w"))).alias("runs"))
+            runs = written(texts.select("k1", "k2", "text").join(ask.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "runs").mapInArrow(_shorter_runs(step), RUNS))
+    return marks.groupBy("k1", "k2").agg(F.collect_list("place").alias("marks"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

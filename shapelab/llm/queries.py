@@ -27,4 +27,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op6_licenses": licenses.SQL,
     "op11_repair": conversations.SQL,
+    "op13_spelling": spelling.SQL,
 }

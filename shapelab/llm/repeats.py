@@ -114,11 +114,11 @@ class Buckets:
         return bucket, *self._named(under - far, far - near + 1, far), of
 
 
-def pieces(data: bytes) -> Iterator[tuple[int, Buckets]]:
-    """The text's pieces and where they begin; each string of SPAN bytes lies in one."""
+def pieces(data: bytes) -> Iterator[tuple[int, int, Buckets]]:
+    """The text's pieces, the first string of each and that of the next one."""
     x = np.frombuffer(data, np.uint8)
     for at in range(0, len(x) - SPAN + 1, PIECE):
-        yield at, Buckets(x[at : at + PIECE + SPAN - 1])
+        yield at, at + PIECE, Buckets(x[at : at + PIECE + SPAN - 1])
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -147,7 +147,7 @@ def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         g, f, place, rows = [], [], [], []
         for text in batch.column(3):
-            own = [(*b.runs(), at) for at, b in pieces(text.as_buffer().to_pybytes())]
+            own = [(*b.runs(), at) for at, _, b in pieces(text.as_buffer().to_pybytes())]
             g += [r[0] for r in own]
             f += [r[1] for r in own]
             place += [r[2] + (r[3] << 16) for r in own]
@@ -164,8 +164,8 @@ def _shorter_runs(step: int):  # noqa: ANN202
             for text, runs in zip(batch.column(2), batch.column(3), strict=True):
                 wanted, weight = (runs.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 first, n = wanted >> 16, 0
-                for at, b in pieces(text.as_buffer().to_pybytes()):
-                    own = np.flatnonzero((first >= at) & (first < at + PIECE))
+                for at, end, b in pieces(text.as_buffer().to_pybytes()):
+                    own = np.flatnonzero((first >= at) & (first < end))
                     if len(own):
                         a, c, d, of = b.shorter(wanted[own] - (at << 16), step)
                         w.append(weight[own][of])

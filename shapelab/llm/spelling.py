@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from shapelab.operators.skew import hot_of, spread_join
 from shapelab.session import cut
 
-from .common import documents, written
+from .common import CRC_SQL, LOWER, UPPER, crc32_sql, documents, written
 
 #: Code points of a word at least; its occurrences at least; how much more often its form is.
 LENGTH, OCCURS, TIMES = 7, 2, 10
@@ -234,3 +234,23 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    return f"""
+with {CRC_SQL},
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') as run from documents),
+counted as (select doc_id, run, count(*) as n from runs where length(run) >= {LENGTH} group by all),
+hashed as (select run, n, {crc32_sql("coalesce(cast(doc_id as varchar), '') || ':' || run")} as h from counted, crc_table),
+words as (select case when h % {DAMAGE} = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed),
+v as (select word, cast(sum(n) as bigint) as n from words where length(word) >= {LENGTH} group by word having sum(n) >= {OCCURS}),
+cuts as (select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from v)),
+pairs as (select a.word, b.word as near, b.n from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+ union select a.word, v.word, v.n from cuts a join v on a.rest = v.word union select v.word, a.word, a.n from cuts a join v on a.rest = v.word),
+best as (select word, count(*) as n_near, (min({{'m': -n, 'w': near}})).w as form, max(n) as form_n from pairs group by word),
+forms as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= {TIMES} * v.n then form end as form, case when form_n >= {TIMES} * v.n then form_n end as form_n from v left join best using (word)),
+chains as (select word, word as last, 0 as k from forms union all select c.word, f.form, k + 1 from chains c join forms f on f.word = c.last where f.form is not null)
+select word, form, root, n, n_near, form_n from forms join (select word, max_by(last, k) as root from chains group by word) using (word)"""
+
+
+SQL = _sql().replace("with crc_table", "with recursive crc_table")

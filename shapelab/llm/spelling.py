@@ -129,7 +129,8 @@ class Scan:
                 d += 1
                 rows[d] = row
             else:
-                if (row // 3 % 3 if len(w) == len(word) else row // 9) == 1:
+                longer = len(w) - len(word)
+                if longer == 0 and row // 3 % 3 == 1 or longer == 1 and row // 9 == 1:
                     found.append(i)
                 i += 1
                 continue

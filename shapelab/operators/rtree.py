@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from shapelab.session import cut
 
 #: Points of a leaf, and children of a node, at most.
 FAN = 32
+#: Nodes of a level that are sent to every task, at most.
+SENT = 4096
 #: A box may be further than the bound by this share and still be looked at: distances are rounded.
 SLACK = 1e-9
 
@@ -33,6 +36,7 @@ class Tree:
 
     levels: list[DataFrame]
     dims: int
+    counts: list[int]
 
 
 def morton(dims: int, lo: list[float], hi: list[float]) -> Column:
@@ -57,7 +61,7 @@ def _packed(sorted_rows: DataFrame, kid: str, box: str, key_type: str) -> DataFr
         from pyspark import TaskContext
 
         base, made, held = TaskContext.get().partitionId() << 40, 0, None
-        for batch in [*batches, None]:
+        for batch in chain(batches, [None]):
             rows = pa.table([], []) if batch is None else pa.Table.from_batches([batch])
             if held is not None:
                 rows = pa.concat_tables([held, rows]) if batch is not None else held
@@ -102,7 +106,7 @@ def build(points: DataFrame, dims: int) -> Tree:
         if few >= level.count():  # every task of a sort can leave one node of a key unfilled; then few are left, and one task can have them
             levels[-1] = cut(_packed(up.coalesce(1).sortWithinPartitions("key", "at"), "child", "struct<node: bigint, n: bigint, lo: array<double>, hi: array<double>>", types["key"]))
         level = levels[-1]
-    return Tree(levels, dims)
+    return Tree(levels, dims, [x.count() for x in levels])
 
 
 def _gaps(at: Column, kid: Column, dims: int) -> tuple[Column, Column]:
@@ -128,10 +132,13 @@ def _bound(kids: Column, k: int) -> Column:
     return F.when(taken["n"] >= k, taken["most"])
 
 
-def _visited(open_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """open_ (query, at, bound, on) with the kids of its node."""
+def _visited(open_: DataFrame, tree: Tree, level: int) -> DataFrame:
+    """open_ (query, at, bound, on) with the kids of its nodes."""
     on = F.concat_ws("/", F.col("key").cast("string"), F.col("node").cast("string"))
-    kids = nodes.select(on.alias("on"), "kids")
+    kids = tree.levels[level].select(on.alias("on"), "kids")
+    if tree.counts[level] <= SENT:
+        return open_.join(F.broadcast(kids), "on")
+    open_ = cut(open_)
     return spread_join(open_, kids, "on", hot_keys(open_, "on"))
 
 
@@ -141,11 +148,13 @@ def search(tree: Tree, queries: DataFrame, k: int | None = None, radius: Column
     queries: query (one row each), key, at (array of doubles), and what `radius` names, a column or a number (inclusive). A query whose key has no points has no rows."""
     root = tree.levels[-1].select(F.col("key").cast("string").alias("_k"), F.col("node").alias("_n"))
     limit = F.lit(float("inf")) if radius is None else radius * radius
+    # by query, so that what is found by it needs no other shuffle while levels are sent; so many parts, as a query is work whatever its size
+    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query")
     open_ = queries.select("query", F.col("key").cast("string").alias("_k"), "at", limit.cast("double").alias("bound")).join(root, "_k")
     open_ = open_.select("query", "_k", "at", "bound", F.concat_ws("/", "_k", F.col("_n").cast("string")).alias("on"))
     for level in range(len(tree.levels) - 1, 0, -1):
         gaps = F.transform("kids", lambda c: F.struct(*[g.alias(name) for g, name in zip(_gaps(F.col("at"), c, tree.dims), ("least", "most"), strict=True)], c["node"].alias("node"), c["n"].alias("n")))
-        seen = _visited(cut(open_), tree.levels[level]).withColumn("kids", gaps)
+        seen = _visited(open_, tree, level).withColumn("kids", gaps)
         bound = F.col("bound") if k is None else F.least("bound", F.coalesce(_bound(F.col("kids"), k), F.lit(float("inf"))))
         seen = seen.withColumn("bound", bound).withColumn("kids", F.filter("kids", lambda c: c["least"] <= F.col("bound") * (1 + SLACK)))
         open_ = seen.select("query", "_k", "at", "bound", F.explode("kids").alias("kid"))
@@ -153,18 +162,19 @@ def search(tree: Tree, queries: DataFrame, k: int | None = None, radius: Column
             best = open_.groupBy("query").agg(F.min("bound").alias("best"))
             open_ = open_.join(best, "query").where(F.col("kid.least") <= F.col("best") * (1 + SLACK)).withColumn("bound", F.col("best"))
         open_ = open_.select("query", "_k", "at", "bound", F.concat_ws("/", "_k", F.col("kid.node").cast("string")).alias("on"))
-    leaves = _visited(cut(open_), tree.levels[0])
+    leaves = _visited(open_, tree, 0)
     square = lambda c: sum(((c["v"][d] - F.col("at")[d]) * (c["v"][d] - F.col("at")[d]) for d in range(tree.dims)), F.lit(0.0))
-    points = F.transform("kids", lambda c: F.struct(F.sqrt(square(c)).alias("d"), c["id"].alias("id"), c["w"].alias("w"), c["v"].alias("v")))
+    points = F.transform("kids", lambda c, i: F.struct(F.sqrt(square(c)).alias("d"), c["id"].alias("id"), i.alias("i")))
     if radius is not None:
         points = F.filter(points, lambda p: p["d"] * p["d"] <= F.col("bound") * (1 + SLACK))
+    whole = lambda p: F.struct(p["d"].alias("d"), p["id"].alias("id"), F.get("kids", p["i"])["w"].alias("w"), F.get("kids", p["i"])["v"].alias("v"))
+    columns = ["query", "p.id", "p.d", "p.w", "p.v"]
     if k is None:
-        return leaves.select("query", "at", F.explode(points).alias("p")).select("query", "p.id", "p.d", "p.w", "p.v")
-    # one array for each leaf that a query visits, with k points at most; those of its leaves are merged
-    by = lambda a, b: F.when(a["d"] < b["d"], -1).when(a["d"] > b["d"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    kept = leaves.select("query", F.slice(F.array_sort(points, by), 1, k).alias("p"))
+        return leaves.select("query", "kids", F.explode(points).alias("p")).select("query", whole(F.col("p")).alias("p")).select(columns)
+    # one array for each leaf that a query visits, with k points at most; those of its leaves are merged. Structs are compared by d, then id
     if k == 1:
-        one = kept.where(F.size("p") > 0).select("query", F.col("p")[0].alias("p"))
-        return one.groupBy("query").agg(F.min_by("p", F.struct("p.d", "p.id")).alias("p")).select("query", "p.id", "p.d", "p.w", "p.v")
-    merged = kept.groupBy("query").agg(F.flatten(F.collect_list("p")).alias("p")).select("query", F.slice(F.array_sort("p", by), 1, k).alias("p"))
-    return merged.select("query", F.explode("p").alias("p")).select("query", "p.id", "p.d", "p.w", "p.v")
+        one = leaves.select("query", "kids", F.array_min(points).alias("p")).where(F.col("p").isNotNull()).select("query", whole(F.col("p")).alias("p"))
+        return one.groupBy("query").agg(F.min_by("p", F.struct("p.d", "p.id")).alias("p")).select(columns)
+    kept = leaves.select("query", F.transform(F.slice(F.array_sort(points), 1, k), whole).alias("p"))
+    merged = kept.groupBy("query").agg(F.flatten(F.collect_list("p")).alias("p")).select("query", F.slice(F.array_sort("p"), 1, k).alias("p"))
+    return merged.select("query", F.explode("p").alias("p")).select(columns)

@@ -28,8 +28,10 @@ def brute(rows, queries, k=None, radius=None):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("dims", "k", "radius"), [(3, 1, None), (3, 5, None), (9, 40, None), (3, None, 0.5), (9, None, 2.0), (3, 3, 0.3)])
-def test_search(spark, dims, k, radius):
+@pytest.mark.parametrize("sent", [rtree.SENT, 1])
+@pytest.mark.parametrize(("dims", "k", "radius"), [(3, 1, None), (9, 40, None), (3, None, 0.5), (3, 3, 0.3)])
+def test_search(spark, monkeypatch, dims, k, radius, sent):
+    monkeypatch.setattr(rtree, "SENT", sent)
     rows = cloud(dims, 900, dims)
     queries = [(q, "abc"[q % 3], v) for q, (_, _, v, _) in enumerate(cloud(7, 60, dims))]
     tree = rtree.build(spark.createDataFrame(rows, SCHEMA), dims)

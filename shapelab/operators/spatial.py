@@ -1,7 +1,7 @@
 """Nearest-neighbour and radius joins.
 
 A radius join is an equi-join on grid cells: each point is met in its own cell, each query in the cells around
-it. A nearest-neighbour search takes a stated query set in blocks against all rows: every task keeps its own
+it; where a cell is crowded, packed boxes take the place of the grid. A nearest-neighbour search takes a stated query set in blocks against all rows: every task keeps its own
 best k per query, and the best of those are merged by query. No pair of rows is made that isn't kept.
 """
 
@@ -18,14 +18,41 @@ from pyspark.sql import functions as F
 from shapelab.session import cut
 
 QUERIES_AT_ONCE = 2000
+#: Points of a grid cell at most; a table with a cell of more is searched by packed boxes (`rtree`), which density doesn't crowd.
+CROWDED = 4096
 
 
 def cells(x: list[Column], radius: float) -> Column:
     return F.array(*[F.floor(c / radius).cast("long") for c in x])
 
 
+def crowded(points: DataFrame, radius: float) -> bool:
+    """Whether a cell of the grid has more than CROWDED points. Counts are combined before they are shuffled."""
+    most = points.groupBy(*[F.floor(F.col(c) / radius) for c in "xyz"]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > CROWDED
+
+
+def _by_boxes(points: DataFrame, queries: DataFrame, k: int | None, radius: float | None, point_id: str = "id", query_id: str = "query") -> DataFrame:
+    """(query_id, point_id, d) as the grid gives them, by packed boxes."""
+    from shapelab.operators import rtree
+
+    at = F.array(*[F.col(c).cast("double") for c in "xyz"])
+    tree = rtree.build(points.select(F.lit(0).alias("key"), F.col(point_id).alias("id"), at.alias("v"), F.lit(True).alias("w")), 3)
+    # equal rows of queries are searched once each
+    q = queries.select(F.struct(F.col(query_id).alias("q"), at.alias("at")).alias("query"), F.lit(0).alias("key"), at.alias("at"))
+    near = rtree.search(tree, q, k, None if radius is None else F.lit(radius))
+    near = near if radius is None else near.where(F.col("d") <= radius)
+    return near.select(F.col("query.q").alias(query_id), F.col("id").alias(point_id), "d")
+
+
 def radius_join(points: DataFrame, queries: DataFrame, radius: float, point_id: str = "id", query_id: str = "query") -> DataFrame:
-    """(query_id, point_id, d) of pairs within the radius. Both sides have columns x, y, z."""
+    """(query_id, point_id, d) of pairs within the radius. Both sides have columns x, y, z; a point's id is its own."""
+    if crowded(points, radius):
+        return _by_boxes(points, queries, None, radius, point_id, query_id)
+    return _grid_join(points, queries, radius, point_id, query_id)
+
+
+def _grid_join(points: DataFrame, queries: DataFrame, radius: float, point_id: str = "id", query_id: str = "query") -> DataFrame:
     p = points.select(point_id, "x", "y", "z", *[F.floor(F.col(c) / radius).cast("long").alias(f"c{c}") for c in "xyz"])
     around = F.sequence(F.lit(-1), F.lit(1))
     q = queries.select(query_id, *[F.col(c).alias(f"q{c}") for c in "xyz"])
@@ -88,7 +115,10 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 def within(points: DataFrame, queries: DataFrame, radius: float, most: int) -> DataFrame:
     """(query, id, d, rank): of each query the nearest `most` other points within the radius; ties by id."""
-    near = radius_join(points, queries, radius).where("query <> id")
+    if crowded(points, radius):
+        near = _by_boxes(points, queries, most + 1, radius).where("query <> id")
+    else:
+        near = _grid_join(points, queries, radius).where("query <> id")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= most)
 
 
@@ -102,6 +132,9 @@ def nearest_on_grid(points: DataFrame, queries: DataFrame, k: int, radius: float
     if box[0] is None or box_q[0] is None:
         return radius_join(points, queries, radius).withColumn("rank", F.lit(1)).where("false")
     span = math.sqrt(sum((max(box[2 * i + 1], box_q[2 * i + 1]) - min(box[2 * i], box_q[2 * i])) ** 2 for i in range(3)))
+    if crowded(points, radius):
+        near = _by_boxes(points, queries, k + 1, None).where("query <> id")
+        return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("rank") <= k)
     left, out = queries.select("query", "x", "y", "z"), None
     while True:
         near = cut(within(points, left, radius, k))

@@ -163,14 +163,14 @@ def _product(a: str, b: str) -> list[Column]:
 def icp(state: DataFrame, source: DataFrame, tree: rtree.Tree, steps: int = STEPS) -> DataFrame:
     """The keys' transforms after `steps` steps, or when they stay.
 
-    state: as of `begun`. source: a segment's points, of which the median of a key's distances is taken in one array: MOST bounds it."""
+    state: as of `begun`. source: the segments' points; a key has as many matches as its segment has points."""
+    by = Window.partitionBy("vote")
     columns, types = state.columns, state.schema.simpleString()[len("struct<") : -1]
     open_, done = state, None
     for _ in range(steps):
-        near = stored(matches(open_, source, tree))
-        upper = F.get(F.sort_array(F.collect_list("d")), F.floor(F.count(F.lit(1)) / 2).cast("int"))
-        far = near.groupBy("vote").agg((upper * REJECT).alias("far"))
-        kept = near.join(far, "vote").where((F.col("d") < F.col("far")) & (F.col("cosine") > 0))
+        near = matches(open_, source, tree).withColumn("at", F.row_number().over(by.orderBy("d", "id"))).withColumn("n", F.count(F.lit(1)).over(by))
+        upper = F.max(F.when(F.col("at") == F.floor(F.col("n") / 2) + 1, F.col("d"))).over(by)
+        kept = near.withColumn("far", upper * REJECT).where((F.col("d") < F.col("far")) & (F.col("cosine") > 0))
         sums = kept.groupBy("vote").agg(F.count(F.lit(1)).alias("size"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in "xy" for i in AXES], *_product("x", "x"), *_product("x", "y"))
         step = stored(open_.join(sums, "vote", "left").mapInPandas(_solved, types.replace(":", " ").replace(",", ", ") + ", done boolean"))
         settled = step.where("done").select(columns)

@@ -167,11 +167,15 @@ def nearest_both_ways(source: DataFrame, target: DataFrame, transforms: DataFram
     return out
 
 
+def turns(spark: SparkSession) -> DataFrame:
+    """(mode, seg, a, r): five turns about the third axis, with shifts along the first."""
+    c, s, zero, one = F.cos(F.col("mode") * 0.4), F.sin(F.col("mode") * 0.4), F.lit(0.0), F.lit(1.0)
+    t = spark.range(_M).select(F.col("id").cast("int").alias("mode"))
+    return t.select("mode", F.lit(0).alias("seg"), F.array(c, -s, zero, F.col("mode") * 0.02, s, c, zero, zero, zero, zero, one, zero).alias("a"), F.array(c, -s, zero, s, c, zero, zero, zero, one).alias("r"))
+
+
 @register(_both_ways_sql())
 def both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest points of the even shape in the odd one, and back, under five transforms."""
     o = oriented(spark, sf_dir).select(F.lit(0).alias("seg"), "id", F.array("p.x", "p.y", "p.z").alias("v"), F.array("n.x", "n.y", "n.z").alias("n"))
-    c, s, zero, one = F.cos(F.col("mode") * 0.4), F.sin(F.col("mode") * 0.4), F.lit(0.0), F.lit(1.0)
-    t = spark.range(_M).select(F.col("id").cast("int").alias("mode"))
-    t = t.select("mode", F.lit(0).alias("seg"), F.array(c, -s, zero, F.col("mode") * 0.02, s, c, zero, zero, zero, zero, one, zero).alias("a"), F.array(c, -s, zero, s, c, zero, zero, zero, one).alias("r"))
-    return nearest_both_ways(o.where("id % 2 = 0"), o.where("id % 2 = 1"), t).withColumn("d", F.round("d", 6))
+    return nearest_both_ways(o.where("id % 2 = 0"), o.where("id % 2 = 1"), turns(spark)).withColumn("d", F.round("d", 6))

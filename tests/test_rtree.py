@@ -54,3 +54,23 @@ def test_empty_tables(spark):
     one = rtree.build(spark.createDataFrame([("a", 5, [1.0, 0.0, 0.0], 1.0)], SCHEMA), 3)
     assert [tuple(r) for r in rtree.search(one, q, 2).select("query", "id", "d").collect()] == [(1, 5, 1.0)]
     assert rtree.search(one, q.where("false"), 2).count() == 0
+
+
+def test_crowded_grids_give_the_same_rows(spark, monkeypatch):
+    """The joins on grid cells, with the grid and with packed boxes in its place."""
+    from shapelab.operators import spatial
+
+    points = spark.createDataFrame([(i, *v) for _, i, v, _ in cloud(4, 300, 3)], "id long, x double, y double, z double")
+    queries = points.withColumnRenamed("id", "query")
+
+    def rows(df):
+        return sorted((r.query, r.id, round(r.d, 9), r["rank"] if "rank" in df.columns else 0) for r in df.collect())
+
+    def all_three():
+        return [rows(spatial.radius_join(points, queries, 0.05)), rows(spatial.within(points, queries, 0.4, 5)), rows(spatial.nearest_on_grid(points, queries.where("query % 7 = 0"), 3, 0.1))]
+
+    assert not spatial.crowded(points, 0.05)
+    grid = all_three()
+    monkeypatch.setattr(spatial, "CROWDED", 10)
+    assert spatial.crowded(points, 0.05)
+    assert all_three() == grid and all(grid)

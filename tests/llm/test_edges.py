@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shapelab.llm import decontaminate, language, licenses, media, neardup, packing, pii, quality, sharding, webtext
 
@@ -76,6 +77,17 @@ def test_wrapped_and_distant_notices(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(1, "mit", 1.0), (2, "mit", 1.0), (3, "", 0.0), (1, "mit", 1.0), (None, "mit", 1.0), (4, "", 0.0)]))
 
 
+def test_long_secrets(spark):
+    """Secrets of any length are found, and their information is that of a plain count."""
+    r = random.Random(3)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (40, 512, 513, 600, 20_000)]
+    found = pii.private_spans(frame(spark, [(i, f"key {k} end", "en") for i, k in enumerate(keys)])).select("doc_id", "secrets").collect()
+    assert {x.doc_id: [(s.s, s.e) for s in x.secrets] for x in found} == {i: [(4, 4 + len(k))] for i, k in enumerate(keys)}
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", pii.bits(F.col("k")).alias("b")).collect()
+    for x in got:
+        assert math.isclose(x.b, -sum(n * math.log2(n / len(x.k)) for n in Counter(x.k).values()), rel_tol=1e-9)
+
+
 def test_secrets_and_very_long_texts(spark):
     r = random.Random(4)
     long = "".join(r.choice(["a@b.cd ", "1.2.3.4 ", "é\U0001f600 ", "word\n", "+1 555 123 4567\n", "x" * 40 + " "]) for _ in range(20_000))

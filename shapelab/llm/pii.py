@@ -2,11 +2,12 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by patterns, and so are secrets: runs of letters and
 digits that no word is, whose characters carry SECRET_BITS or more. Every value found is a protected
-entity. Words that stand near an entity are judged by the corpus: their pointwise mutual information with the
-entity, as a share of the entity's own information content, says how far the word alone reveals it. Words at
-or over DISCLOSES of it, seen with the entity in at least SUPPORT different texts (copies of one text are
-one), are generalised; words that occur nowhere else are removed. A word that reveals does so wherever it stands,
-so all its places in all texts are found, with or without the entity beside them.
+entity, and so is every class of values: that a text holds a secret at all is disclosed by a word that stands beside
+secrets only, however few of them repeat. Words that stand near an entity are judged by the corpus: their pointwise
+mutual information with the entity, as a share of the entity's own information content, says how far the word alone
+reveals it. Words at or over DISCLOSES of a value, or CLASS_DISCLOSES of a class, seen with it in at least SUPPORT
+different texts (copies of one text are one), are generalised; words that occur nowhere else are removed. A word that
+reveals does so wherever it stands, so all its places in all texts are found, with or without the entity beside them.
 
 A term's count over all documents is bounded from below by its documents beside entities, and then by a part of all
 documents; a term that these already make too common cannot reveal, so only the others are counted in all documents.
@@ -50,6 +51,9 @@ FOLD, CHUNK = 256, 2048
 #: Code points on either side of an entity that are its context.
 WINDOW = 80
 DISCLOSES, SUPPORT = 0.8, 3
+#: A class is in many texts, so that its share of information grows slowly with the word's certainty: at 0.8, a class in a
+#: tenth of all texts would give away words that stand beside it in three texts of five.
+CLASS_DISCLOSES = 0.95
 #: Up to so many candidate terms are sent to every executor; more are joined by key.
 BROADCAST_TERMS = 20_000
 #: The first part of the documents that bounds the counts of terms is one in so many.
@@ -163,7 +167,9 @@ def _context(parts: Column, span: Column) -> Column:
 
 
 def _value(span: Column) -> Column:
-    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), _digits(span["hit"])).otherwise(F.lower(span["hit"])))
+    """Name of a value; that of a class is its kind alone. Secrets have any length, so a hash names them."""
+    plain = F.when(span["kind"].isin("card", "phone"), _digits(span["hit"])).when(span["kind"] == "secret", F.md5(span["hit"])).otherwise(F.lower(span["hit"]))
+    return F.concat(span["kind"], F.lit(":"), plain)
 
 
 def _low(text: Column) -> Column:
@@ -198,16 +204,17 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = d.select("doc_id", "text", F.xxhash64("text").alias("h"), *[hits(k).alias(f"hit_{k}") for k in PATTERNS])
     of = {k: _spans(F.col("text"), k, F.col(f"hit_{k}")) for k in PATTERNS}
     d = d.select("doc_id", "text", "h", F.concat(*[of[k] for k in KINDS]).alias("spans"), of["secret"].alias("secrets"))
-    d = d.select("doc_id", "h", "spans", "secrets", F.when(F.size("spans") > 0, chunks(F.col("text"))).alias("parts"))
-    context = F.transform("spans", lambda x: F.struct(_value(x).alias("entity"), _context(F.col("parts"), x).alias("words")))
+    some = F.size("spans") + F.size("secrets") > 0
+    d = d.select("doc_id", "h", "spans", "secrets", F.when(some, chunks(F.col("text"))).alias("parts"))
+    context = F.transform(F.concat("spans", "secrets"), lambda x: F.struct(_value(x).alias("entity"), x["kind"].alias("kind"), _context(F.col("parts"), x).alias("words")))
     bare = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))).alias(c)
-    return d.select("doc_id", "h", bare("spans"), bare("secrets"), F.when(F.size("spans") > 0, context).alias("context"))
+    return d.select("doc_id", "h", bare("spans"), bare("secrets"), F.when(some, context).alias("context"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     """(entity, term, only): terms that reveal an entity; None if none has the support.
 
-    near: doc_id, h, entity, term. Counted are documents: n of all, of the entity, of the term, of both. Everything is
+    near: doc_id, h, entity (a value, or a class), term. Counted are documents: n of all, of the entity, of the term, of both. Everything is
     aggregated before it is joined, so that a common entity or term is one row where it meets others."""
     each = near.distinct()
     both = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.min("h").alias("h0"), F.max("h").alias("h1"))
@@ -217,12 +224,16 @@ def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
     if both.isEmpty():
         return None
     n = docs.count()
+    is_class = F.col("entity").isin(*PATTERNS)
+    least_share = F.when(is_class, CLASS_DISCLOSES).otherwise(DISCLOSES)
     share = lambda n_term: F.ln(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col(n_term))) / F.ln(F.lit(float(n)) / F.col("n_entity"))
     entity = each.select("entity", "doc_id", "h").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # a term is in no fewer documents than it has beside entities
     least = each.select("term", "doc_id", "h").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
-    pairs = both.join(entity, "entity").join(least, "term").where(f"n_entity < {n}")
-    pairs = cut(pairs.where(share("n_least") >= DISCLOSES - 1e-9).select("entity", "term", "n_both", "n_entity"))
+    # classes are a handful of very frequent keys, values are many
+    sized = both.where(is_class).join(F.broadcast(entity.where(is_class)), "entity").unionByName(both.where(~is_class).join(entity.where(~is_class), "entity"))
+    pairs = sized.join(least, "term").where(f"n_entity < {n}")
+    pairs = cut(pairs.where(share("n_least") >= least_share - 1e-9).select("entity", "term", "n_both", "n_entity"))
 
     def counted(of: DataFrame) -> DataFrame:
         """Documents of `of` with each term of the pairs left."""
@@ -231,9 +242,9 @@ def disclosing(near: DataFrame, docs: DataFrame, text_col: str = "text") -> Data
 
     # nor in fewer than a part of all documents has: what that part makes too common isn't counted in all
     some = counted(docs.where(F.pmod(F.xxhash64(text_of(text_col)), F.lit(PART)) == 0))
-    pairs = cut(pairs.join(some, "term", "left").where(F.col("n_term").isNull() | (share("n_term") >= DISCLOSES - 1e-9)).drop("n_term"))
+    pairs = cut(pairs.join(some, "term", "left").where(F.col("n_term").isNull() | (share("n_term") >= least_share - 1e-9)).drop("n_term"))
     counts = pairs.join(counted(docs), "term")
-    return cut(counts.where(share("n_term") >= DISCLOSES).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("only")))
+    return cut(counts.where(share("n_term") >= least_share).select("entity", "term", (F.col("n_both") >= F.col("n_term")).alias("only")))
 
 
 def term_places(docs: DataFrame, revealing: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,8 +262,9 @@ def term_places(docs: DataFrame, revealing: DataFrame, id_col: str = "doc_id", t
 def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, h, base spans, secrets and term spans, arrays of (kind, s, e)."""
     base = written(base_spans(docs, id_col, text_col))
-    each = base.where("size(spans) > 0").select("doc_id", "h", F.explode("context").alias("x")).select("doc_id", "h", "x.entity", "x.words")
-    near = cut(each.select("doc_id", "h", "entity", F.explode("words").alias("term")))
+    each = base.where("context is not null").select("doc_id", "h", F.explode("context").alias("x")).select("doc_id", "h", F.array("x.entity", "x.kind").alias("of"), "x.words")
+    each = each.select("doc_id", "h", "of", F.explode("words").alias("term"))
+    near = cut(each.select("doc_id", "h", F.explode("of").alias("entity"), "term"))
     revealing = disclosing(near, docs, text_col)
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     if revealing is None or revealing.isEmpty():

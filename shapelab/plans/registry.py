@@ -30,7 +30,7 @@ def registered_sql(name: str) -> str:
 
 def _load() -> None:
     """Imports the modules whose queries register themselves."""
-    from . import descriptors, elements, geometry, iterative, learning, matching, measures, metrics, relations, scores, training, voting  # noqa: F401
+    from . import descriptors, elements, geometry, grid, iterative, learning, matching, measures, metrics, relations, scores, training, voting  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -129,12 +129,8 @@ def element_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in "ax":
         pair = pair.join(shape.select(F.col("p").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("cells", "els", "price", "size")]), k)
 
-    def patch(name):  # noqa: ANN001, ANN202
-        a, x = F.col("els_a")[name], F.col("els_x")[name]
-        return F.when(a.isNotNull() & x.isNotNull(), sig(F.abs(a["price"] - x["price"]), F.abs(a["tax"] - x["tax"]), W["d"], W["db"]))
-
-    names = ("fA", "fN", "fR", "sF", "sO")  # the values that a return flag and a line status have
-    pair = pair.withColumn("m", F.create_map(*[y for n in names for y in (F.lit(n), patch(F.lit(n)))]))
+    patch = lambda _, a, x: F.when(a.isNotNull() & x.isNotNull(), sig(F.abs(a["price"] - x["price"]), F.abs(a["tax"] - x["tax"]), W["d"], W["db"]))
+    pair = pair.withColumn("m", F.map_zip_with("els_a", "els_x", patch))
 
     def part(c):  # noqa: ANN001, ANN202
         df, ds = F.col("m")[F.concat(F.lit("f"), c["f"])], F.col("m")[F.concat(F.lit("s"), c["s"])]

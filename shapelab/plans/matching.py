@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shapelab.functions import rank, vec
 from shapelab.operators import spatial
 from shapelab.operators.graph import components, keep_first
+from shapelab.operators.skew import hot_keys, spread_join
 from shapelab.session import cut, table
 
 from .descriptors import _O, oriented, subsample
@@ -159,13 +160,12 @@ def vote_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vote_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Gaussian of the vote's distance in units of its pair's upper median, times its area, as a share of the pair's."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_extendedprice")
-    own = Window.partitionBy("l_orderkey")
-    # a pair has few votes: its median is taken from the sorted array of them
-    ordered = F.sort_array(F.collect_list("l_discount").over(own))
-    median = F.get(ordered, F.floor(F.size(ordered) * 0.5).cast("int"))
+    s = rank.upper_median(li, ["l_orderkey"], "l_discount", "s")
+    hot = hot_keys(li, "l_orderkey")
     x = F.col("l_discount") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
-    w = li.withColumn("s", median).withColumn("w", F.exp(-x * x) * F.col("l_extendedprice"))
-    return w.select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("vote"), F.round(F.col("w") / F.sum("w").over(own), 9).alias("w"))
+    w = cut(spread_join(li, s, "l_orderkey", hot).withColumn("w", F.exp(-x * x) * F.col("l_extendedprice")))
+    w = spread_join(w, w.groupBy("l_orderkey").agg(F.sum("w").alias("whole")), "l_orderkey", hot)
+    return w.select(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("vote"), F.round(F.col("w") / F.col("whole"), 9).alias("w"))
 
 
 @register("select l_orderkey as pair, l_linenumber as mode, (row_number() over (partition by l_orderkey order by case when l_linenumber = 1 then 0 else 1 end, l_quantity desc, l_linenumber))::int as rank from lineitem")

@@ -432,7 +432,7 @@ def test_align_by_full_table():
 def test_queries_and_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -4,11 +4,14 @@ The DOMs of a host's pages are merged: an element node is a path of tags with th
 sequence of children seen below it. Presentation that varies from page to page, and content that differs from
 page to page, is important; what repeats is not. The importance of an element is the entropy of its styles,
 and, below it, that of its children weighted by how often each style occurs; a leaf's is the entropy of its
-texts over the pages, without the share of them that is links (links inside an article count as its text).
-A branch is left out if it and all elements in it are under THRESHOLD.
-
-A host with few pages says too little about what repeats; a prior by the role of a tag stands for PAGES pages that
-are missing, or ROLE_PAGES inside an article or main element. Branches that a tag, role or class name calls a menu,
+texts over the pages, without the share of them that is links (links inside an article count as its text), and by
+their presentation: texts of one length that hold little of the host's text (an advert, a footer) are of little
+importance though every page has others. The latter doesn't count against headings, and elements beside what holds
+most of the host's text: a short line in an article is part of it. A branch is left out if it and all elements in it are under THRESHOLD.
+
+A host with few pages says too little about what repeats: an element with text backs off to the same path on all
+other hosts, by the weight of PAGES pages, and these to full importance; inside an article or main element ROLE_PAGES pages of
+full importance are added. The tree knows no names. Besides, and unless `names` is off, branches that a tag, role or class name calls a menu,
 header, footer, sidebar, notice, advert, form or comments are believed to be noise, unless next to all of the host's
 text lies in them: then the one that holds most of it is judged like any other. Pages of a host whose longest
 texts, half of all their text, are the same are copies, and together count as one page. Scripts, styles and the head never hold text.
@@ -42,6 +45,8 @@ from .common import small_batches
 THRESHOLD, DAMPING = 0.3, 0.9
 #: Weight of the prior, in pages, and inside what a page declares to be its content.
 PAGES, ROLE_PAGES = 2, 50
+#: Share of a host's text from which short texts of one length count in full; share that the children of an element hold if all in it is content.
+BULK, HOLDS = 0.25, 0.5
 #: Names are not believed on a host with less than this share of its text outside of what they call noise.
 CLEAN = 0.15
 DEPTH = 512
@@ -81,7 +86,7 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "depth", "inner", "name", "noise", "parent", "path", "role", "tag", "top")
+    __slots__ = ("children", "depth", "name", "noise", "parent", "path", "role", "tag", "top")
 
     def __init__(self, tag: str, name: str, parent: Node | None, noise: bool) -> None:
         self.tag, self.name, self.parent, self.noise = tag, name, parent, noise
@@ -245,13 +250,13 @@ def described(page: str) -> Iterator[tuple[str, int, int, float, int, int, bool,
     Kind s: a style of the path. e: how much of its parent's children the path is, a style's children sharing one.
     t: a text of the path. m: characters by the topmost branch that is called noise (0: none)."""
     root = parse(page)
-    root.top, root.inner, root.role = 0, False, False
+    root.top, root.role = 0, False
     seen: set[tuple] = set()
     mass: dict[int, int] = {}
     for x in elements(root):
         if x.parent:
             up = x.parent
-            x.top, x.inner = (up.top or (x.path if x.noise else 0)), up.inner or (x.noise and up.top != 0)
+            x.top = up.top or (x.path if x.noise else 0)
             x.role = up.role or x.tag in CONTENT_ROLES
         names = style_of(x)
         value = _hash(">".join(names))
@@ -284,7 +289,7 @@ def chain(x: Node) -> list[int]:
     return out[::-1]
 
 
-_COUNTS = {"host": pa.int64(), "kind": pa.string(), "path": pa.int64(), "value": pa.int64(), "n": pa.float64(), "chars": pa.float64(), "linked": pa.float64(), "noise": pa.bool_(), "role": pa.bool_(), "top": pa.int64(), "inner": pa.bool_(), "chain": pa.list_(pa.int64())}
+_COUNTS = {"host": pa.int64(), "kind": pa.string(), "path": pa.int64(), "value": pa.int64(), "n": pa.float64(), "chars": pa.float64(), "linked": pa.float64(), "noise": pa.bool_(), "role": pa.bool_(), "heading": pa.bool_(), "chain": pa.list_(pa.int64())}
 
 
 def _pages(pages: DataFrame, page_col: str, url_col: str) -> DataFrame:
@@ -310,14 +315,14 @@ def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url")
                         old = counts.get((host, kind, path, value))
                         if old is None:
                             of = x if kind == "s" else None
-                            counts[host, kind, path, value] = [n * w, chars * w, linked * w, noise, role, of and of.top, of and of.inner, of and chain(of)]
+                            counts[host, kind, path, value] = [n * w, chars * w, linked * w, noise, role, x.tag in HEADINGS, of and chain(of)]
                         else:
                             old[0] += n * w
                             old[1] += chars * w
                             old[2] += linked * w
                             old[3] |= noise
                             old[4] |= role
-                cols = [*(zip(*counts) if counts else [[]] * 4), *(zip(*counts.values()) if counts else [[]] * 8)]
+                cols = [*(zip(*counts) if counts else [[]] * 4), *(zip(*counts.values()) if counts else [[]] * 7)]
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, _COUNTS.values())], list(_COUNTS))
 
     p = _pages(pages, page_col, url_col)
@@ -328,8 +333,8 @@ def style_counts(pages: DataFrame, page_col: str = "html", url_col: str = "url")
     else:
         p = spread_join(p, often, "copies", hot_keys(p, "copies"), "left")
     p = p.select("host", (F.lit(1.0) / F.coalesce("k", F.lit(1))).alias("w"), "page")
-    counted = p.mapInArrow(run, "host long, kind string, path long, value long, n double, chars double, linked double, noise boolean, role boolean, top long, inner boolean, chain array<long>")
-    return counted.groupBy("host", "kind", "path", "value").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked")], F.max("noise").alias("noise"), F.max("role").alias("role"), F.min("top").alias("top"), F.min("inner").alias("inner"), F.min("chain").alias("chain"))
+    counted = p.mapInArrow(run, "host long, kind string, path long, value long, n double, chars double, linked double, noise boolean, role boolean, heading boolean, chain array<long>")
+    return counted.groupBy("host", "kind", "path", "value").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "linked")], F.max("noise").alias("noise"), F.max("role").alias("role"), F.max("heading").alias("heading"), F.min("chain").alias("chain"))
 
 
 def unbelieved(counts: DataFrame) -> DataFrame:
@@ -347,29 +352,47 @@ def nodes(counts: DataFrame) -> DataFrame:
     n, plogp = F.col("n"), F.col("n") * F.ln("n")
     x = counts.where("kind <> 'm'").groupBy("host", "path").agg(
         of("s", n).alias("m"), of("s", plogp).alias("m_plogp"), of("s", F.lit(1)).alias("styles"), of("t", n).alias("texts"), of("t", plogp).alias("t_plogp"),
-        of("t", F.col("chars")).alias("chars"), of("t", F.col("linked")).alias("linked"), of("e", n).alias("share"), F.max("noise").alias("noise"), F.max("role").alias("role"),
-        F.min("top").alias("top"), F.min("inner").alias("inner"), F.min("chain").alias("chain"))
-    x = x.where("chain is not null").join(F.broadcast(unbelieved(counts)) if unbelieved(counts).count() <= BROADCAST_COPIES else unbelieved(counts), "host", "left")
-    noise = F.col("noise") & ~(F.col("top").eqNullSafe(F.col("keep")) & ~F.col("inner"))
+        of("t", F.col("chars")).alias("chars"), of("t", F.col("linked")).alias("linked"), of("t", F.col("chars") * F.col("chars") / n).alias("squares"), of("e", n).alias("share"),
+        F.max("noise").alias("noise"), F.max("role").alias("role"), F.max("heading").alias("heading"), F.min("chain").alias("chain"))
+    x = cut(x.where("chain is not null").withColumn("up", F.when(F.size("chain") > 1, F.element_at("chain", F.greatest(F.size("chain") - 1, F.lit(1)))).otherwise(0)))
+    total = counts.where("kind = 'm'").groupBy("host").agg(F.sum("chars").alias("total"))
+    holds = x.groupBy("host", "up").agg(F.sum("chars").alias("chars")).join(total, "host").where(F.col("chars") >= HOLDS * F.col("total"))
+    hosts = cut(total.join(holds.groupBy("host").agg(F.collect_list("up").alias("holders")), "host", "left"))  # few of a host hold so much
+    x = x.join(F.broadcast(hosts), "host", "left") if hosts.count() <= BROADCAST_COPIES else spread_join(x, hosts, "host", hot_keys(x, "host"), "left")
+
     entropy = lambda m, p: F.when(F.col(m) > 1 + 1e-6, F.least(F.greatest((F.ln(m) - F.col(p) / F.col(m)) / F.ln(m), F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
-    content = entropy("texts", "t_plogp") * (1 - F.coalesce(F.col("linked") / F.col("chars"), F.lit(0.0)))
+    part = F.coalesce(F.arrays_overlap(F.concat(F.array(F.lit(0).cast("long")), F.slice("chain", 1, F.size("chain") - 1)), "holders"), F.lit(False)) | F.col("role")
+    mean = F.col("chars") / F.col("texts")
+    spread = F.when(F.col("texts") > 1 + 1e-6, F.greatest(F.col("squares") / F.col("texts") / (mean * mean) - 1, F.lit(0.0))).otherwise(0.0)
+    bulk = F.when(part | F.col("heading"), 1.0).otherwise(F.least(F.col("chars") / F.col("total") / BULK + spread, F.lit(1.0)))
+    content = entropy("texts", "t_plogp") * (1 - F.coalesce(F.col("linked") / F.col("chars"), F.lit(0.0))) * F.coalesce(bulk, F.lit(1.0))
     weight = F.when(F.col("texts") > 0, F.least(F.col("texts") / F.col("m"), F.lit(1.0))).otherwise(0.0)
     decay = F.pow(F.lit(DAMPING), "styles")
-    return x.select("host", "path", "chain", "m", noise.alias("noise"), "role", weight.alias("weight"), F.when(weight > 0, content).otherwise(0.0).alias("content"), decay.alias("decay"), entropy("m", "m_plogp").alias("variety"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    x = cut(x.select("host", "path", "up", "chain", "m", "noise", "role", part.alias("part"), weight.alias("weight"), F.when(weight > 0, content).otherwise(0.0).alias("content"), decay.alias("decay"), entropy("m", "m_plogp").alias("variety"), F.coalesce("share", F.lit(0.0)).alias("share")))
+    return _with_elsewhere(x)
+
+
+def _with_elsewhere(x: DataFrame) -> DataFrame:
+    """Adds `elsewhere`: the importance of a path's texts on other hosts, backing off to 1."""
+    texts = (F.col("weight") > 0) & ~F.col("part")
+    all_hosts = cut(x.where(texts).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("pages"), F.sum(F.col("m") * F.col("content")).alias("mass")).where("n > 1").drop("n"))
+    x = x.join(F.broadcast(all_hosts), "path", "left") if all_hosts.count() <= BROADCAST_LOW else spread_join(x, all_hosts, "path", hot_keys(x, "path"), "left")
+    others = (F.col("mass") - F.col("m") * F.col("content") + PAGES) / (F.col("pages") - F.col("m") + PAGES)
+    return x.withColumn("elsewhere", F.coalesce(F.when(texts, others), F.lit(1.0))).drop("pages", "mass", "part")
 
 
 def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(host, path, importance, branch, noise) of the site style trees, branch being the largest importance of the element and those below it; and `unbelieved`."""
+    """(host, path, importance, branch, has_text, noise, up: the parent) of the site style trees, branch being the largest importance of the element and those below it; and `unbelieved`."""
     counts = cut(style_counts(pages, page_col, url_col))
     x = cut(nodes(counts))
     each = cut(x.select("host", F.col("path").alias("node"), F.posexplode("chain").alias("at", "path")).withColumn("key", F.struct("host", "path")).drop("host", "path"))
     inner = each.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("inner"))
     x = cut(x.join(inner.select("key.host", "key.path", "inner"), ["host", "path"]))
-    prior = F.when(F.col("role"), F.lit(ROLE_PAGES)).otherwise(F.lit(PAGES))
-    known = F.when(F.col("noise"), 0.0).otherwise(F.col("m") / (F.col("m") + prior))
-    rest = F.when(F.col("noise"), 0.0).otherwise(prior / (F.col("m") + prior))
+    prior = F.when(F.col("weight") == 0, 0.0).when(F.col("role"), F.lit(ROLE_PAGES)).otherwise(F.lit(PAGES))  # what has no text of its own is as important as what it holds
+    known = F.col("m") / (F.col("m") + prior)
+    rest = prior / (F.col("m") + prior) * F.col("elsewhere")
     evidence = F.when(F.col("inner"), (F.col("weight") * F.col("content") + (1 - F.col("decay")) * F.col("variety")) / (F.col("weight") + 1)).otherwise(F.when(F.col("weight") > 0, F.col("content")).otherwise(0.0))
-    parts = x.select(F.struct("host", "path").alias("key"), (known * evidence + rest).alias("own"), F.when(F.col("inner"), known * F.col("decay") / (F.col("weight") + 1)).otherwise(0.0).alias("factor"), "m", "share")
+    parts = x.select(F.struct("host", "path").alias("key"), (known * evidence + rest).alias("own"), F.when(F.col("inner"), known * F.col("decay") / (F.col("weight") + 1)).otherwise(0.0).alias("factor"), "m", "share", (F.col("weight") > 0).alias("text"))
     along = spread_join(each, parts, "key", hot_keys(each, "key"))
     # product of factor(a) * share(child of a) / m(a) from each ancestor a down to the node
     below = Window.partitionBy("key.host", "node").orderBy(F.desc("at"))
@@ -377,11 +400,11 @@ def tree(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> tupl
     links = F.sum(F.log(F.greatest(F.col("share"), F.lit(1e-300)))).over(below.rowsBetween(Window.unboundedPreceding, -1))
     ways = F.sum(step).over(below) - F.first(step).over(below)
     deep = F.first("own").over(below)
-    sums = along.select("key", (deep * F.exp(F.coalesce(links, F.lit(0.0)) + ways)).alias("part")).groupBy("key").agg(F.sum("part").alias("importance"))
+    sums = along.select("key", (deep * F.exp(F.coalesce(links, F.lit(0.0)) + ways)).alias("part"), F.first("text").over(below).alias("text")).groupBy("key").agg(F.sum("part").alias("importance"), F.max("text").alias("has_text"))
     sums = cut(sums)
     up = each.join(sums.select(F.col("key.host").alias("h"), F.col("key.path").alias("p"), "importance"), (F.col("key.host") == F.col("h")) & (F.col("node") == F.col("p")))
     branch = up.groupBy("key").agg(F.max("importance").alias("branch"))
-    out = sums.join(branch, "key").select("key.host", "key.path", "importance", "branch").join(x.select("host", "path", "noise"), ["host", "path"])
+    out = sums.join(branch, "key").select("key.host", "key.path", "importance", "branch", "has_text").join(x.select("host", "path", "noise", "up"), ["host", "path"])
     return out, unbelieved(counts)
 
 
@@ -398,11 +421,26 @@ def page_paths(p: DataFrame) -> DataFrame:
     return p.select("copies", "host", "page").mapInArrow(run, "copies long, host long, path long")
 
 
-def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
-    """Adds `text` to the columns page_id and url."""
+def agreement(pages: DataFrame, page_col: str = "html", url_col: str = "url") -> DataFrame:
+    """By host: n_named branches called noise (the topmost), n_low those the tree leaves out, n_both in both; recall and precision of the tree.
+
+    The tree knows no names, so that this measures it against them; a branch inside of another one that counts isn't counted again."""
+    nodes_, _ = tree(pages, page_col, url_col)
+    x = nodes_.select("host", "path", "up", "noise", (F.col("branch") < THRESHOLD).alias("low"), "has_text")
+    over = x.select("host", F.col("path").alias("up"), F.col("noise").alias("up_noise"), F.col("low").alias("up_low"))
+    x = x.join(over, ["host", "up"], "left").na.fill(False, ["up_noise", "up_low"]).where("has_text")
+    named, low = F.col("noise") & ~F.col("up_noise"), F.col("low") & ~F.col("up_low")
+    count = lambda c: F.count(F.when(c, 1))
+    # what is low inside of what is called noise, or the other way round, agrees
+    x = x.groupBy("host").agg(count(named).alias("n_named"), count(low).alias("n_low"), count(named & F.col("low")).alias("named_low"), count(low & F.col("noise")).alias("low_named"))
+    return x.withColumns({"recall": F.when(F.col("n_named") > 0, F.col("named_low") / F.col("n_named")), "precision": F.when(F.col("n_low") > 0, F.col("low_named") / F.col("n_low"))})
+
+
+def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url", names: bool = True) -> DataFrame:
+    """Adds `text` to the columns page_id and url. Without `names` the tree alone decides."""
     pages = small_batches(pages)
     nodes_, keeps = tree(pages, page_col, url_col)
-    low = cut(nodes_.where((F.col("branch") < THRESHOLD) & ~F.col("noise")).select("host", "path"))
+    low = cut(nodes_.where(F.col("branch") < THRESHOLD).select("host", "path"))
     keeps = cut(keeps)
     p = _pages(pages, page_col, url_col).drop("copies").withColumn("copies", F.xxhash64("host", "page"))
     keep_fits = keeps.count() <= BROADCAST_COPIES
@@ -418,7 +456,7 @@ def main_text(pages: DataFrame, page_col: str = "html", url_col: str = "url") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = ["\n".join(blocks(parse(page.as_py()), set(low.as_py() or ()), keep.as_py())) for page, low, keep in zip(b.column(2), b.column(3), b.column(4))]
+            texts = ["\n".join(blocks(parse(page.as_py()), set(low.as_py() or ()), keep.as_py(), names)) for page, low, keep in zip(b.column(2), b.column(3), b.column(4))]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return p.mapInArrow(run, "page_id long, url string, text string")

@@ -195,8 +195,10 @@ def test_a_table_of_repetition_finds_what_pairs_find(monkeypatch):
     assert [{(m[0], m[3]) for m in x} for x in plain] == [{(m[0], m[3]) for m in x} for x in table]
 
 
-def brute_importance(pages):
-    """The site style tree of one host by recursion over its nodes."""
+def brute_importance(pages, elsewhere=None):
+    """The site style tree of one host by recursion over its nodes, and {path: (pages, content)} of its texts.
+
+    `elsewhere` holds such figures of another host."""
     counts: dict = {}
     chains, flags = {}, {}
     for page in pages:
@@ -205,7 +207,7 @@ def brute_importance(pages):
             old[0], old[1], old[2] = old[0] + n, old[1] + chars, old[2] + linked
             if kind == "s":
                 chains[path] = webtext.chain(x)
-                flags[path] = (noise, role)
+                flags[path] = (x.tag in webtext.HEADINGS, role)
     below: dict = {}
     for p, c in chains.items():
         if len(c) > 1:
@@ -216,20 +218,37 @@ def brute_importance(pages):
         m = sum(ns)
         return -sum(n / m * math.log(n / m) for n in ns) / math.log(m) if m > 1 else 1.0
 
+    chars = lambda p: sum(v[1] for v in of("t", p))
+    total = sum(v[1] for (k, _, _), v in counts.items() if k == "m")
+    direct = Counter()
+    for p, c in chains.items():
+        direct[c[-2] if len(c) > 1 else 0] += chars(p)
+    contents = {}
+
     def importance(p):
-        m, noise, role = sum(v[0] for v in of("s", p)), *flags[p]
+        m, heading, role = sum(v[0] for v in of("s", p)), *flags[p]
         texts = of("t", p)
-        content = entropy([v[0] for v in texts]) * (1 - sum(v[2] for v in texts) / sum(v[1] for v in texts)) if texts else 0.0
+        content = entropy([v[0] for v in texts]) * (1 - sum(v[2] for v in texts) / chars(p)) if texts else 0.0
+        part = role or any(direct[a] >= webtext.HOLDS * total for a in [0, *chains[p][:-1]])
+        prior_mean = 1.0
+        if texts and not part:
+            times, lengths = [v[0] for v in texts], [v[1] / v[0] for v in texts]
+            mean = sum(t * x for t, x in zip(times, lengths)) / sum(times)
+            spread = sum(t * (x - mean) ** 2 for t, x in zip(times, lengths)) / sum(times) / mean**2 if sum(times) > 1 else 0.0
+            content *= 1 if heading else min(1, chars(p) / total / webtext.BULK + spread)
+            contents[p] = (m, content)
+            if elsewhere and p in elsewhere:
+                prior_mean = (elsewhere[p][0] * elsewhere[p][1] + webtext.PAGES) / (elsewhere[p][0] + webtext.PAGES)
         weight = min(sum(v[0] for v in texts) / m, 1.0)
         seen = content
         if p in below:
             decay = webtext.DAMPING ** len(of("s", p))
             inner = sum(of("e", c)[0][0] / m * importance(c) for c in below[p])
             seen = (weight * content + (1 - decay) * entropy([v[0] for v in of("s", p)]) + decay * inner) / (weight + 1)
-        prior = webtext.ROLE_PAGES if role else webtext.PAGES
-        return 0.0 if noise else (m * seen + prior) / (m + prior)
+        prior = 0 if not texts else webtext.ROLE_PAGES if role else webtext.PAGES
+        return (m * seen + prior * prior_mean) / (m + prior)
 
-    return {p: importance(p) for p in chains}
+    return {p: importance(p) for p in chains}, contents
 
 
 SITE = """<body><div class="strip"><ul><li><a href=1>Word {n}</a></li><li><a href=2>More {m}</a></li></ul></div><div class="box">The same words stand on every page here</div>
@@ -245,7 +264,7 @@ def test_style_tree_by_recursion_and_against_names(spark):
     pages = site(12)
     df = spark.createDataFrame([(k, f"http://a.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
     nodes, keep = webtext.tree(df)
-    want = brute_importance(pages)
+    want, _ = brute_importance(pages)
     got = {r.path: r.importance for r in nodes.collect()}
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-9 for p in want) and keep.count() == 0
     for r in webtext.main_text(df).collect():
@@ -253,6 +272,57 @@ def test_style_tree_by_recursion_and_against_names(spark):
         assert "every page" in "\n".join(webtext.blocks(webtext.parse(pages[r.page_id]), set()))
 
 
+UNNAMED = """<body><div class="q{h}"><a href=1>{a}</a> <a href=2>{b}</a></div><div class="zk">{ad}</div><h1>{head}</h1>
+<div class="body-x"><p>{p1}</p><h2>{b}</h2><p>{p2}</p><p>{p3}</p></div><section class="vv"><span>{foot}</span></section></body>"""
+
+
+def unnamed(h, k):
+    """A page whose class names no list knows, and whose texts differ from page to page."""
+    fill = {"h": h, "a": WORDS[k % 20] + str(k), "b": WORDS[k % 17] + str(h), "ad": prose(900 + 31 * k + h, 8), "head": prose(2000 + k + h, 5), "foot": prose(3000 + 7 * k + h, 9)}
+    fill |= {f"p{j}": prose(4000 + 50 * k + j + h, 20 + (37 * k + 91 * j) % 90) for j in (1, 2, 3)}
+    return UNNAMED.format(**fill), "\n".join((fill["head"], fill["p1"], fill["b"], fill["p2"], fill["p3"]))
+
+
+def test_presentation_takes_out_what_no_name_gives_away(spark):
+    """Links, advert and foot never repeat a text and have no telling name: their length and links give them away."""
+    made = {(h, k): unnamed(h, k) for h in range(3) for k in range(9)}
+    rows = [(h * 100 + k, f"http://{h}.example/{k}", page) for (h, k), (page, _) in made.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for names in (True, False):
+        assert {r.page_id: r.text for r in webtext.main_text(df, names=names).collect()} == {h * 100 + k: text for (h, k), (_, text) in made.items()}
+    by_names = {"\n".join(webtext.blocks(webtext.parse(page), set())) for page, _ in made.values()}
+    assert not by_names & {text for _, text in made.values()}
+
+
+def test_a_host_of_one_page_backs_off_to_other_hosts(spark):
+    """Against recursion: what a host lacks comes from the same paths on another one, and from nothing if there are none."""
+    many, one = [unnamed(1, k)[0].replace("q1", "q0") for k in range(9)], [unnamed(0, 50)[0]]
+    df = spark.createDataFrame([(k, f"http://{'b' if k < 9 else 'a'}.example/{k}", p) for k, p in enumerate(many + one)], "page_id long, url string, html string")
+    nodes, _ = webtext.tree(df)
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.host, {})[r.path] = r.importance
+    by_host = (brute_importance(many)[1], brute_importance(one)[1])
+    wants = [brute_importance(many, by_host[1])[0], brute_importance(one, by_host[0])[0]]
+    assert len(got) == 2
+    for have in got.values():
+        assert any(set(have) == set(want) and all(abs(have[p] - want[p]) < 1e-9 for p in want) for want in wants)
+    alone = brute_importance(one)[0]
+    assert any(abs(wants[1][p] - alone[p]) > 0.1 for p in alone)
+
+
+def test_the_tree_agrees_with_names_on_given_pages(spark):
+    """With names off, next to all pages get the text they get with names, none gets a shorter one, and agreement says so."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: r.text for r in webtext.main_text(df).collect()}
+    got = {r.page_id: r.text for r in webtext.main_text(df, names=False).collect()}
+    assert sum(got[k] == want[k] for k in want) > 0.9 * len(want) and all(len(got[k]) >= len(want[k]) for k in want)
+    plain = {k: "\n".join(webtext.blocks(webtext.parse(r.html), set(), None, False)) for k, r in ((r.page_id, r) for r in df.collect())}
+    assert all(got[k] != plain[k] for k in got if got[k] == want[k])
+    hosts = webtext.agreement(df).collect()
+    assert sum(r.recall == 1 for r in hosts) > 0.9 * len(hosts) and all(r.precision in (1, None) for r in hosts)
+
+
 def test_names_are_not_believed_where_they_hold_the_page(spark):
     page = '<body><div class="content has-sidebar"><h1>T{n}</h1><p>{text}</p><div class="ad">Buy</div></div></body>'
     df = spark.createDataFrame([(k, "http://a.example", page.replace("{n}", str(k)).replace("{text}", prose(k, 40))) for k in range(3)] + [(10, "http://b.example", f"<form><p>{prose(5, 20)}</p></form>")], "page_id long, url string, html string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shapelab.operators.graph import components
-from shapelab.operators.skew import hot_keys, spread_join
+from shapelab.operators.skew import hot_keys, hot_of, spread_join
 from shapelab.session import cut
 
 from .common import documents, free, small_batches, text_of, written
@@ -199,7 +199,8 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     docs = cut(rest.groupBy("doc_id", "c", "size", "widest").agg(F.min("smallest").alias("smallest")))
     rows = cut(_shingle_rows(texts.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", "c"), "doc_id"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "n")
-    rows = rows.join(shared, "shingle").withColumn("rare", F.col("n") <= RARE)
+    shared = cut(shared)
+    rows = spread_join(rows, shared, "shingle", hot_of(shared, "shingle", rows.count())).withColumn("rare", F.col("n") <= RARE)
     own = Window.partitionBy("doc_id")
     often = F.sum(F.when(F.col("rare"), 0).otherwise(1)).over(own)
     place = F.row_number().over(Window.partitionBy("doc_id", "rare").orderBy("n", "shingle"))
@@ -221,8 +222,10 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     base = written(sketches(docs, id_col, text_col))
-    classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("key", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"))
+    classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.count(F.lit(1)).alias("n")).select("key", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "n")
     classes = cut(classes)
+    hot = hot_of(classes, "key", base.count())  # many copies of one text
+    classes = classes.drop("n")
     # A class is named by its smallest doc_id; where one doc_id has several texts, all but one of their classes need names of their own.
     again = cut(classes.groupBy("rep").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     many_texts = not again.isEmpty()
@@ -302,7 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             least_id = known.groupBy("component_id").agg(F.min("rep").alias("least_id"))
             known = spread_join(known, least_id, "component_id", hot_keys(known, "component_id")).select("key", F.col("least_id").alias("component_id"))
         known = known.select("key", "component_id")
-    out = base.select("doc_id", "key", "n_shingles").join(known, "key", "left")
+    rows = base.select("doc_id", "key", "n_shingles")
+    out = spread_join(rows.where("key is not null"), known, "key", hot)
+    out = out.unionByName(rows.where("key is null").withColumn("component_id", F.lit(None).cast("long")))  # without words: linked with nothing
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -267,3 +267,20 @@ def test_rows_of_the_edit_matrix():
         near = {words[i] for i in scan.near(w)}
         want = {x for x in words if len(x) == len(w) and sum(a != b for a, b in zip(x, w, strict=True)) == 1 or len(x) == len(w) + 1 and any(x[:i] + x[i + 1 :] == w for i in range(len(x)))}
         assert near == want
+
+
+def test_near_duplicates_of_hot_keys(spark):
+    """Many copies of one text are dealt over tasks, many rows without words stay alone, and so do rows without an id."""
+    from shapelab.llm import neardup
+
+    words = " ".join(f"w{k}" for k in range(40))
+    rows = [(k, words) for k in range(600, 0, -1)] + [(k, None if k % 2 else " \n") for k in range(1000, 1300)] + [(2000, words + " more"), (None, words)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept and r.n_shingles == 36
+        elif 1000 <= r.doc_id < 1300:
+            assert r.component_id == r.doc_id and r.kept and r.n_shingles == 0
+        else:
+            assert r.component_id == 1 and r.kept == (r.doc_id == 1) and r.n_shingles == (37 if r.doc_id == 2000 else 36)

@@ -1,6 +1,6 @@
 """Alignments of segments by affine iterated closest points: every pair and start is a key, and all keys take a step in one job.
 
-A step finds the nearest target point of each moved source point (`rtree`), rejects those that are far or face
+Sampled segments are small: a pair of them takes all of its steps in one task (`icp_of_samples`). For shapes of any size (`icp`) a step finds the nearest target point of each moved source point (`rtree`), rejects those that are far or face
 another way, adds up 22 moments by key, and solves a key's normal equations from them in a task. Keys whose
 transform stays are settled and take no further step. Transforms are 12 numbers, the rows of a 3 x 4 matrix.
 """
@@ -135,24 +135,30 @@ def matches(state: DataFrame, points: DataFrame, tree: rtree.Tree) -> DataFrame:
     return near.select("query.vote", "query.id", "query.x", F.col("id").alias("target"), F.col("v").alias("y"), "d", sum((F.col("query.n")[i] * F.col("w")[i] for i in AXES), F.lit(0.0)).alias("cosine"))
 
 
+def _fitted(a: np.ndarray, first: np.ndarray, n: np.ndarray, sx: np.ndarray, sy: np.ndarray, xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(transforms, whether each is done): the least squares fits on moments, after the transforms a; one that isn't finite is `first`."""
+    some = np.where(n > 0, n, 1)
+    xx, xy = _cov(xx, some, sx, sx), _cov(xy, some, sx, sy)
+    fit = np.stack([np.linalg.lstsq(p, q, rcond=1e-10)[0].T for p, q in zip(xx, xy, strict=True)])
+    shift = sy / some[:, None] - np.einsum("nij,nj->ni", fit, sx / some[:, None])
+    new = np.einsum("nij,njk->nik", fit, a)
+    new[:, :, 3] += shift
+    new = np.where((n > 0)[:, None, None], new, a)
+    bad = ~np.isfinite(new).all(axis=(1, 2))
+    done = (n == 0) | bad | (np.abs(new - a).max(axis=(1, 2)) <= 1e-10)
+    new[bad] = first[bad]
+    return new, done
+
+
 def _solved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each key's least squares fit on its moments, after its transform so far."""
     for g in parts:
         if not len(g):
             continue
         a, first = (np.stack(g[c].to_numpy()).reshape(-1, 3, 4) for c in ("a", "first"))
-        n = g["size"].fillna(0).to_numpy(float)
-        some = np.where(n > 0, n, 1)
         sx, sy = (g[[f"{c}{i}" for i in AXES]].fillna(0).to_numpy(float) for c in "xy")
-        xx, xy = (_cov(g[[f"{c}{i}{j}" for i, j in PAIRS]].fillna(0).to_numpy(float), some, sx, right) for c, right in (("xx", sx), ("xy", sy)))
-        fit = np.stack([np.linalg.lstsq(p, q, rcond=1e-10)[0].T for p, q in zip(xx, xy, strict=True)])
-        shift = sy / some[:, None] - np.einsum("nij,nj->ni", fit, sx / some[:, None])
-        new = np.einsum("nij,njk->nik", fit, a)
-        new[:, :, 3] += shift
-        new = np.where((n > 0)[:, None, None], new, a)
-        bad = ~np.isfinite(new).all(axis=(1, 2))
-        done = (n == 0) | bad | (np.abs(new - a).max(axis=(1, 2)) <= 1e-10)
-        new[bad] = first[bad]
+        xx, xy = (g[[f"{c}{i}{j}" for i, j in PAIRS]].fillna(0).to_numpy(float) for c in ("xx", "xy"))
+        new, done = _fitted(a, first, g["size"].fillna(0).to_numpy(float), sx, sy, xx, xy)
         yield pd.DataFrame({"vote": g["vote"], "s": g["s"], "t": g["t"], "start": g["start"], "a": list(new.reshape(-1, 12)), "r": list(rotations(new[:, :, :3]).reshape(-1, 9)), "first": g["first"], "done": done})
 
 
@@ -181,6 +187,48 @@ def icp(state: DataFrame, source: DataFrame, tree: rtree.Tree, steps: int = STEP
     return open_ if done is None else done.unionByName(open_)
 
 
+def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hit, d): of each x the nearest y (ties: the first)."""
+    square = np.zeros((len(x), len(y)))
+    for i in AXES:
+        gap = y[:, i][None] - x[:, i][:, None]
+        square += gap * gap
+    hit = np.sqrt(square, out=square).argmin(axis=1)
+    return hit, square[np.arange(len(x)), hit]
+
+
+def icp_of_samples(state: DataFrame, source: DataFrame, target: DataFrame, steps: int = STEPS) -> DataFrame:
+    """What `icp` gives, for segments of at most MOST points (`sample`): a pair of segments with its starts is a group, and takes all steps in its task.
+
+    Its distances are MOST x MOST numbers at most. source, target: seg, id, v, n."""
+
+    def packed(points: DataFrame, seg: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("id", "v", "n")))
+        return points.groupBy(F.col("seg").alias(seg)).agg(rows.alias(f"_{seg}")).select(seg, *[F.flatten(f"_{seg}.{c}").alias(f"{seg}_{c}") for c in "vn"])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        px, pn, qx, qn = (np.asarray(g[c].iloc[0], float).reshape(-1, 3) for c in ("s_v", "s_n", "t_v", "t_n"))
+        found = []
+        for begin in g["a"]:
+            a = first = np.asarray(begin, float).reshape(1, 3, 4)
+            for _ in range(steps):
+                x = sum(px[:, j][:, None] * a[0, :, j][None] for j in AXES) + a[0, :, 3]
+                turned = pn @ rotations(a[:, :, :3])[0].T
+                hit, d = _nearest(x, qx)
+                keep = (d < np.partition(d, len(d) // 2)[len(d) // 2] * REJECT) & ((turned * qn[hit]).sum(axis=1) > 0)
+                x, y = x[keep], qx[hit[keep]]
+                moments = (x.sum(axis=0), y.sum(axis=0), x.T @ x, x.T @ y)
+                a, done = _fitted(a, first, np.array([float(keep.sum())]), *[m.reshape(1, -1) for m in moments])
+                if done[0]:
+                    break
+            found.append(a[0])
+        a = np.stack(found)
+        return pd.DataFrame({"vote": g["vote"], "s": g["s"], "t": g["t"], "start": g["start"], "a": list(a.reshape(-1, 12)), "r": list(rotations(a[:, :, :3]).reshape(-1, 9)), "first": g["first"]})
+
+    types = state.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
+    return state.join(packed(source, "s"), "s").join(packed(target, "t"), "t").groupBy("s", "t").applyInPandas(run, types)
+
+
 def matched_distances(state: DataFrame, points: DataFrame, tree: rtree.Tree) -> DataFrame:
     """(vote, position, normal, n): mean distance of a key's moved points to the nearest target points, and one less the mean cosine of their normals."""
     return matches(state, points, tree).groupBy("vote").agg(F.avg("d").alias("position"), (1 - F.avg("cosine")).alias("normal"), F.count(F.lit(1)).alias("n"))
@@ -192,4 +240,4 @@ def votes(source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     Segments of fewer than LEAST points give none. Repeated rows count each time; an empty table gives no rows."""
     some, other = cut(sample(source)), cut(sample(target))
     pairs = similar_pairs(frames(some, radius), frames(other, radius))
-    return icp(begun(pairs), some, tree_of(other)).drop("first")
+    return icp_of_samples(begun(pairs), some, other).drop("first")

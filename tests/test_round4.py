@@ -46,3 +46,15 @@ def test_cells_of_a_hundred_points_are_crowded(spark):
     """A grid cell of thousands made millions of pairs of each few rows before boxes took its place."""
     v = np.random.default_rng(3).random((100, 3)) * 0.09
     assert spatial.crowded(spark.createDataFrame([tuple(map(float, x)) for x in v], "x double, y double, z double"), 0.1)
+
+
+def test_pairs_of_samples_take_all_steps_in_a_task(spark):
+    """The transforms are those of steps over all pairs at once."""
+    from shapelab.operators import voting
+    from tests.test_voting import POINTS, shape
+
+    a, b = (voting.sample(spark.createDataFrame(shape(k, 2, 30), POINTS)) for k in (2, 3))
+    state = voting.begun(voting.similar_pairs(voting.frames(a, 0.1), voting.frames(b, 0.1)))
+    one, other = ({(r.s, r.t, r.start): np.array(r.a) for r in x.collect()} for x in (voting.icp_of_samples(state, a, b, 2), voting.icp(state, a, voting.tree_of(b), 2)))
+    assert set(one) == set(other) and len(one) >= 5
+    assert all(np.allclose(one[k], other[k], atol=1e-9) for k in one)

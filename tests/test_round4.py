@@ -58,3 +58,15 @@ def test_pairs_of_samples_take_all_steps_in_a_task(spark):
     one, other = ({(r.s, r.t, r.start): np.array(r.a) for r in x.collect()} for x in (voting.icp_of_samples(state, a, b, 2), voting.icp(state, a, voting.tree_of(b), 2)))
     assert set(one) == set(other) and len(one) >= 5
     assert all(np.allclose(one[k], other[k], atol=1e-9) for k in one)
+
+
+def test_groups_are_scanned_and_searched_alike(spark, monkeypatch):
+    from shapelab.operators import modes
+
+    r = np.random.default_rng(4)
+    rows = [(int(k), i, i % 40 == 0, float(r.integers(0, 9)), r.random(3).tolist(), [0.0, float(np.sin(x)), 0.0, float(np.cos(x))], [float(s), 1.0, 1.0]) for i, (k, x, s) in enumerate(zip(r.integers(0, 9, 200), r.choice([0.0, 0.03, 0.06], 200), r.choice([1.0, 1.06, 1.2, 6.0], 200), strict=True))]
+    df = spark.createDataFrame(rows, "key int, id int, pinned boolean, weight double, t array<double>, q array<double>, s array<double>")
+    monkeypatch.setattr(modes, "GROUPS", 2)
+    scanned = sorted(modes.pruned(df, 0.15).collect())
+    monkeypatch.setattr(modes, "SCANNED", 20)
+    assert sorted(modes.pruned(df, 0.15).collect()) == scanned and 20 < len(scanned) < 190

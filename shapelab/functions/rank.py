@@ -14,12 +14,32 @@ from shapelab.session import cut
 
 #: Quantiles of a group, and bins of even width between two of them.
 QUANTILES, BINS = 64, 256
+#: Rows of a group up to which a task adds them up in order; groups that are sent to every task, at most.
+FEW, SENT = 4096, 10_000
 
 
 def running(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
     """Adds `before` and `total`: sums of `weight` over the rows of the keys with a smaller `order`, and over all. `order` is unique within the keys.
 
+    Groups of FEW rows or fewer are added up in order; only larger ones get quantiles and bins, whose marks would be many times such a small group.
     df is read several times: let it be a table or a checkpoint."""
+    if keys:
+        large = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys))
+        n = large.count()
+        if not n:
+            return _in_order(df, keys, order, weight)
+        large = F.broadcast(large) if n <= SENT else large
+        small = _in_order(df.join(large, keys, "left_anti"), keys, order, weight)
+        return small.unionByName(_in_bins(df.join(large, keys, "left_semi"), keys, order, weight))
+    return _in_bins(df, keys, order, weight)
+
+
+def _in_order(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
+    by = Window.partitionBy(*keys)
+    return df.withColumn("before", F.sum(weight).over(by.orderBy(order)) - F.col(weight)).withColumn("total", F.sum(weight).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+
+def _in_bins(df: DataFrame, keys: list[str], order: str, weight: str) -> DataFrame:
     at = F.col(order).cast("double")
     marks = F.percentile_approx(at, F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)]), F.lit(1000))
     ends = df.groupBy(*keys).agg(marks.alias("_marks"), F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.sum(weight).alias("total"))

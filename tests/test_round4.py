@@ -70,3 +70,20 @@ def test_groups_are_scanned_and_searched_alike(spark, monkeypatch):
     scanned = sorted(modes.pruned(df, 0.15).collect())
     monkeypatch.setattr(modes, "SCANNED", 20)
     assert sorted(modes.pruned(df, 0.15).collect()) == scanned and 20 < len(scanned) < 190
+
+
+def test_small_groups_get_no_quantiles(spark):
+    from shapelab.functions import rank
+
+    df = spark.range(6).selectExpr("id % 2 as k", "id as v")
+    got = rank.upper_median(df, ["k"], "v")
+    assert "percentile" not in got._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 2), (1, 3)]
+
+
+def test_small_and_large_groups_have_exact_ranks(spark, monkeypatch):
+    from shapelab.functions import rank
+
+    monkeypatch.setattr(rank, "FEW", 5)
+    df = spark.range(60).selectExpr("case when id < 4 then 1 else 2 end as k", "cast(id as double) as v")
+    assert sorted(tuple(r) for r in rank.upper_median(df, ["k"], "v").collect()) == [(1, 2.0), (2, 32.0)]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shapelab.operators.graph import components
 from shapelab.operators.skew import hot_keys, hot_of, spread_join
-from shapelab.session import cut
+from shapelab.session import stored
 
 from .common import documents, free, small_batches, text_of, written
 
@@ -196,10 +196,10 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     of the first `often - common + 1` of those (the prefix filter, twice). A rare shingle makes at most RARE pairs
     for each document that has it."""
     least, whole = SIMILAR
-    docs = cut(rest.groupBy("doc_id", "c", "size", "widest").agg(F.min("smallest").alias("smallest")))
-    rows = cut(_shingle_rows(texts.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", "c"), "doc_id"))
+    docs = stored(rest.groupBy("doc_id", "c", "size", "widest").agg(F.min("smallest").alias("smallest")))
+    rows = stored(_shingle_rows(texts.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", "c"), "doc_id"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle", "n")
-    shared = cut(shared)
+    shared = stored(shared)
     rows = spread_join(rows, shared, "shingle", hot_of(shared, "shingle", rows.count())).withColumn("rare", F.col("n") <= RARE)
     own = Window.partitionBy("doc_id")
     often = F.sum(F.when(F.col("rare"), 0).otherwise(1)).over(own)
@@ -208,7 +208,7 @@ def _across(rest: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.join(docs.drop("c"), "doc_id").withColumn("often", often).withColumn("some", F.count(F.lit(1)).over(own) - F.col("often")).withColumn("place", place).withColumn("common", common)
     lack = F.greatest(F.col("common") - F.col("often"), F.lit(1))
     last = F.when(F.col("rare"), F.col("some") - lack + 1).otherwise(F.col("often") - F.col("common") + 1)
-    rows = cut(rows.where(F.col("place") <= last).select("shingle", "doc_id", "c", "size", "widest", "rare", "place", "often", "some"))
+    rows = stored(rows.where(F.col("place") <= last).select("shingle", "doc_id", "c", "size", "widest", "rare", "place", "often", "some"))
     x, y = (rows.select("shingle", *[F.col(v).alias(f"{v}_{k}") for v in rows.columns[1:]]) for k in ("a", "b"))
     # the same bounds with what this pair must have in common
     both = F.ceil((F.col("size_a") + F.col("size_b")) * least / (least + whole))
@@ -223,15 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     base = written(sketches(docs, id_col, text_col))
     classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.count(F.lit(1)).alias("n")).select("key", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "n")
-    classes = cut(classes)
+    classes = stored(classes)
     hot = hot_of(classes, "key", base.count())  # many copies of one text
     classes = classes.drop("n")
     # A class is named by its smallest doc_id; where one doc_id has several texts, all but one of their classes need names of their own.
-    again = cut(classes.groupBy("rep").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    again = stored(classes.groupBy("rep").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     many_texts = not again.isEmpty()
     if many_texts:
         named = F.when(F.col("key") == F.coalesce("first", "key"), F.col("rep")).otherwise(F.xxhash64("key"))
-        classes = cut(spread_join(classes, again, "rep", hot_keys(classes, "rep"), "left").select("key", "rep", "rep_h", named.alias("node")))
+        classes = stored(spread_join(classes, again, "rep", hot_keys(classes, "rep"), "left").select("key", "rep", "rep_h", named.alias("node")))
     else:
         classes = classes.withColumn("node", F.col("rep"))
     sigs = base.join(classes, "key").where("doc_id = rep and h = rep_h").select(F.col("node").alias("doc_id"), "n_shingles", "sig")
@@ -239,10 +239,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {4 * ROWS * i + 1}, {4 * ROWS})")) for i in range(BANDS)])
     bands = sigs.select("doc_id", F.explode(band).alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(bands.join(buckets, "bucket").select("bucket", "doc_id", "n"))  # buckets of one are gone
+    shared = stored(bands.join(buckets, "bucket").select("bucket", "doc_id", "n"))  # buckets of one are gone
 
     # What a document's own shingles leave bounds its partners' sizes; many have no possible partner.
-    members = cut(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")))
+    members = stored(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")))
     texts = docs.select(docs[id_col].cast("long").alias("rep"), text_of(text_col).alias("text")).withColumn("rep_h", F.xxhash64("text"))
     texts = texts.join(classes.join(members, classes["node"] == members["doc_id"]).select("rep", "rep_h", "doc_id"), ["rep", "rep_h"]).select("doc_id", "text")
     texts = written(texts.dropDuplicates(["doc_id"]))
@@ -250,31 +250,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = F.col("n_shingles")
     widest = F.floor((size - F.coalesce("own", F.lit(0))) * (least + whole) / least) - size
     able = sigs.select("doc_id", "n_shingles").join(members, "doc_id").join(_unique_counts(texts), "doc_id", "left").select("doc_id", size.alias("size"), widest.alias("widest"), "weight")
-    able = cut(able.where(F.col("widest") * whole >= F.col("size") * least))  # a partner has at least that share of the size
+    able = stored(able.where(F.col("widest") * whole >= F.col("size") * least))  # a partner has at least that share of the size
     sigs = written(sigs.select("doc_id", "sig").join(able.select("doc_id"), "doc_id", "left_semi"))
     rows = shared.select("bucket", "doc_id").join(able, "doc_id")
     # A bucket's pivot is the document with the largest buckets: that from which a group of copies was made, or one like it.
     pivots = rows.groupBy("bucket").agg(F.max(F.struct("weight", "doc_id", "size", "widest")).alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest")).where("n > 1").drop("n")
-    shared = cut(rows.join(pivots, "bucket").where("smallest <= widest").select("bucket", "doc_id", "size", "widest", "smallest", "pivot"))
+    shared = stored(rows.join(pivots, "bucket").where("smallest <= widest").select("bucket", "doc_id", "size", "widest", "smallest", "pivot"))
     labels = None
 
     def merged(pairs: DataFrame) -> None:
-        pairs = cut(pairs)
+        pairs = stored(pairs)
         hot = {k: hot_keys(pairs, k) for k in "ab"}
-        linked(cut(_confirmed(_pruned(pairs, sigs, hot), texts, hot)))
+        linked(stored(_confirmed(_pruned(pairs, sigs, hot), texts, hot)))
 
     def linked(links: DataFrame) -> None:
         nonlocal labels
         if links.isEmpty():
             return
         if labels is None:
-            labels = cut(components(links, "a", "b"))
+            labels = components(links, "a", "b")
             return
         c = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
         ends = links.join(c("a"), "a", "left").join(c("b"), "b", "left").select(F.coalesce("c_a", "a").alias("u"), F.coalesce("c_b", "b").alias("v"))
         over = components(ends).select(F.col("node").alias("component"), F.col("component").alias("least"))
         known = labels.unionByName(over.select(F.col("component").alias("node"), "component")).distinct()
-        labels = cut(known.join(over, "component", "left").groupBy("node").agg(F.min(F.coalesce("least", "component")).alias("component")))
+        labels = stored(known.join(over, "component", "left").groupBy("node").agg(F.min(F.coalesce("least", "component")).alias("component")))
 
     def apart() -> DataFrame:
         """Rows of the buckets that still hold more than one component."""
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if labels is not None:
             x = shared.join(labels, shared["doc_id"] == labels["node"], "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component")
         mixed = x.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        return cut(x.join(mixed, "bucket"))
+        return stored(x.join(mixed, "bucket"))
 
     fits = "pivot.doc_id <> doc_id and pivot.size <= widest and size <= pivot.widest"
     # Each document meets the one pivot that comes first in order.
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if labels is None:
         known = classes.select("key", F.col("rep").alias("component_id"))
     else:
-        known = cut(classes.join(labels, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component_id")))
+        known = stored(classes.join(labels, "node", "left").select("key", "rep", F.coalesce("component", "node").alias("component_id")))
         if many_texts:  # a name that is no doc_id may be the smallest
             least_id = known.groupBy("component_id").agg(F.min("rep").alias("least_id"))
             known = spread_join(known, least_id, "component_id", hot_keys(known, "component_id")).select("key", F.col("least_id").alias("component_id"))

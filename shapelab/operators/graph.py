@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shapelab.session import cut
+from shapelab.session import cut, stored
 
 from .skew import hot_keys, spread_join
 
@@ -19,12 +19,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Every round takes the smallest label among a node's neighbours and then the label of that label
     (pointer jumping), so that long chains shrink by about half a round. Nodes with very many neighbours, and
     labels of very many nodes, are dealt over several tasks (`skew`). Only nodes that changed send their label again.
-    Null ends and loops give no edges; an empty table gives no nodes.
+    Null ends and loops give no edges; an empty table gives no nodes. Rounds are Parquet tables: a checkpoint of so
+    few rows would run all tasks of a shuffle twice, and the driver keeps a record of each task.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
-    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     hubs = hot_keys(e, "b")
-    labels = cut(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    labels = stored(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     few = labels.count() <= SENT
 
     def meet(many: DataFrame, one: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
@@ -33,9 +34,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     sent = labels.select(F.col("a").alias("b"), "label")
     while True:
         near = meet(e, sent, "b", hubs).groupBy("a").agg(F.min("label").alias("near"))
-        step = cut(labels.join(F.broadcast(near) if few else near, "a", "left").select("a", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("now")))
+        step = stored(labels.join(F.broadcast(near) if few else near, "a", "left").select("a", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("now")))
         jump = step.select(F.col("a").alias("now"), F.col("now").alias("next"))
-        after = cut(meet(step, jump, "now", None if few else hot_keys(step, "now")).select("a", "was", F.least("now", "next").alias("label")))
+        after = stored(meet(step, jump, "now", None if few else hot_keys(step, "now")).select("a", "was", F.least("now", "next").alias("label")))
         labels = after.select("a", "label")
         sent = after.where("label <> was").select(F.col("a").alias("b"), "label")
         if sent.isEmpty():

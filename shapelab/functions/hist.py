@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Deviation of the smoothing, in bins; values further than three of them give a bin nothing.
 SIGMA = 2.0
 
 
-def _place(value: str, bins: int, lo: float, hi: float):  # noqa: ANN202
+def _place(value: str, bins: int | Column, lo: float, hi: float):  # noqa: ANN202
     return (F.col(value) - lo) / (hi - lo) * bins
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 32, lo: float = 0.0, hi: float = 1.0, smooth: bool = True, weight: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, keys: list[str], value: str, bins: int | Column = 32, lo: float = 0.0, hi: float = 1.0, smooth: bool = True, weight: str | None = None) -> DataFrame:
     """(keys, bin, p): a normalised histogram per group with a row for every bin.
 
-    Equal values are counted first, so smoothing spreads distinct values alone; weight names a column of counts. lo = hi gives the uniform histogram; nulls don't count."""
+    Equal values are counted first, so smoothing spreads distinct values alone; weight names a column of counts; bins may be one of the keys. lo = hi gives the uniform histogram; nulls don't count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     groups = df.select(*keys).distinct()
     every = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -25,61 +25,67 @@ CURVES, LOST, SMALL = 4, (5.0, 2.0), 0.01
 
 
 def alignment(asks: DataFrame, held: DataFrame, radius: float) -> DataFrame:
-    """(key, position, normal): mean distance of a key's moved points to the nearest held ones, in radii, and one less the mean cosine of their normals. asks, held: key, id, v, n."""
-    tree = rtree.build(held.select("key", "id", "v", F.col("n").alias("w")), 3)
-    near = rtree.search(tree, asks.select(F.struct("key", "id", "n").alias("query"), "key", F.col("v").alias("at")), 1)
+    """(key, type, position, normal): mean distance of the moved points of a key and type to the nearest held ones, in radii, and one less the mean cosine of their normals.
+
+    One search for all types. asks, held: key, type, id, v, n."""
+    group = F.concat_ws(":", "key", "type")
+    tree = rtree.build(held.select(group.alias("key"), "id", "v", F.col("n").alias("w")), 3)
+    near = rtree.search(tree, asks.select(F.struct("key", "type", "id", "n").alias("query"), group.alias("key"), F.col("v").alias("at")), 1)
     cosine = sum((F.col("query.n")[i] * F.col("w")[i] for i in range(3)), F.lit(0.0))
-    return near.groupBy(F.col("query.key").alias("key")).agg((F.avg("d") / radius).alias("position"), (1 - F.avg(cosine)).alias("normal"))
+    return near.groupBy(F.col("query.key").alias("key"), F.col("query.type").alias("type")).agg((F.avg("d") / radius).alias("position"), (1 - F.avg(cosine)).alias("normal"))
 
 
-def curve_points(points: DataFrame, curve: DataFrame) -> DataFrame:
-    """(key, type, id, v, n): the curve points nearest to a key's points, each once; a key that finds no more than one takes its own first point.
+def curve_points(points: DataFrame, curves: DataFrame) -> DataFrame:
+    """(key, side, type, id, v, n): the curve points nearest to a key's points, each once; a key that finds no more than one takes its own first point.
 
-    points: key, id, v, n. curve: type, id, v, n. One search over all types: a type is a group of the tree."""
-    tree = rtree.build(curve.select(F.col("type").alias("key"), "id", "v", F.col("n").alias("w")), 3)
-    places = points.select("id", "v").distinct()
-    q = places.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1)))).select(F.struct("id", F.col("key").alias("type")).alias("query"), "key", F.col("v").alias("at"))
-    near = stored(rtree.search(tree, q, 1).select("query.id", "query.type", F.col("id").alias("hit"), "v", F.col("w").alias("n")))
-    found = points.select("key", "id").join(near, "id").groupBy("key", "type", "hit").agg(F.first("v").alias("v"), F.first("n").alias("n"))
-    size = found.groupBy("key", "type").agg(F.count(F.lit(1)).alias("size"))
-    first = points.groupBy("key").agg(F.min_by(F.struct("id", "v", "n"), "id").alias("p")).withColumn("type", F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1))))
-    alone = first.join(size.where("size > 1"), ["key", "type"], "left_anti").select("key", "type", "p.id", "p.v", "p.n")
-    return found.join(size.where("size > 1"), ["key", "type"]).select("key", "type", F.col("hit").alias("id"), "v", "n").unionByName(alone)
+    points: key, side (0 or 1), id, v, n. curves: side, type, id, v, n. One search over both sides and all types, which are the groups of the tree."""
+    group, types = F.col("side") * CURVES + F.col("type"), F.explode(F.sequence(F.lit(0), F.lit(CURVES - 1)))
+    tree = rtree.build(curves.select(group.alias("key"), "id", "v", F.col("n").alias("w")), 3)
+    places = points.select("side", "id", "v").distinct().withColumn("type", types)
+    q = places.select(F.struct("side", "id", "type").alias("query"), group.alias("key"), F.col("v").alias("at"))
+    near = stored(rtree.search(tree, q, 1).select("query.side", "query.id", "query.type", F.col("id").alias("hit"), "v", F.col("w").alias("n")))
+    by = ["key", "side", "type"]
+    found = points.select("key", "side", "id").join(near, ["side", "id"]).groupBy(*by, "hit").agg(F.first("v").alias("v"), F.first("n").alias("n"))
+    size = found.groupBy(by).agg(F.count(F.lit(1)).alias("size"))
+    first = points.groupBy("key", "side").agg(F.min_by(F.struct("id", "v", "n"), "id").alias("p")).withColumn("type", types)
+    alone = first.join(size.where("size > 1"), by, "left_anti").select(*by, "p.id", "p.v", "p.n")
+    return found.join(size.where("size > 1"), by).select(*by, F.col("hit").alias("id"), "v", "n").unionByName(alone)
 
 
 def histogram_distances(values: DataFrame) -> DataFrame:
-    """(key, feature, bins, emd): earth mover's distances between the two sides of each key, for all features together and each size of histogram. values: key, side (0 or 1), feature, v in 0..1."""
+    """(key, feature, bins, emd): earth mover's distances between the two sides of each key, for all features and sizes of histogram together. values: key, side (0 or 1), feature, v in 0..1."""
     counts = stored(values.groupBy("key", "side", "feature", "v").agg(F.count(F.lit(1)).alias("c")))
-    out = None
-    for bins in D2_BINS:
-        c = hist.cumulative(hist.histogram(counts, ["key", "side", "feature"], "v", bins, weight="c"), ["key", "side", "feature"])
-        gap = F.sum(F.when(F.col("side") == 0, F.col("cdf")).otherwise(-F.col("cdf")))
-        e = c.groupBy("key", "feature", "bin").agg(gap.alias("gap")).groupBy("key", "feature").agg(F.sum(F.abs("gap")).alias("emd")).withColumn("bins", F.lit(bins))
-        out = e if out is None else out.unionByName(e)
-    return out
+    by = ["key", "side", "feature", "bins"]
+    each = counts.withColumn("bins", F.explode(F.array(*map(F.lit, D2_BINS))))
+    c = hist.cumulative(hist.histogram(each, by, "v", F.col("bins"), weight="c"), by)
+    gap = F.sum(F.when(F.col("side") == 0, F.col("cdf")).otherwise(-F.col("cdf")))
+    return c.groupBy("key", "feature", "bins", "bin").agg(gap.alias("gap")).groupBy("key", "feature", "bins").agg(F.sum(F.abs("gap")).alias("emd"))
 
 
 def patch_metrics_of(source: DataFrame, target: DataFrame, moves: DataFrame, curves: tuple[DataFrame, DataFrame], radius: float) -> DataFrame:
     """(key, metric, value): the full patch distance of each element, by name; the simple one is position, normal and the histograms.
 
-    source, target: key, id, v, n, k1, k2 (in -1..1), sdf (in 0..1). moves: key, a (12), r (9). curves: of the source and of the target shape, type, id, v, n."""
-    state = moves.select(F.col("key").alias("vote"), F.col("key").alias("s"), F.col("key").alias("t"), "a", "r")
-    moved = lambda p, key: voting.moved(state.withColumn("s", key), p).select(F.col("q.id").alias("id"), F.col("vote").alias("key"), F.col("q.x").alias("v"), F.col("q.n").alias("n"))
+    source, target: key, id, v, n, k1, k2 (in -1..1), sdf (in 0..1). moves: key, a (12), r (9). curves: of the source and of the target shape, type, id, v, n.
+    Whole elements are the type -1 beside those of the curves, so that all of them take one search."""
     long = lambda df, **m: df.select("key", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in m.items()])).alias("m")).select("key", "m.metric", "m.value")
-    close = alignment(moved(source.withColumn("seg", F.col("key")), F.col("vote")), target, radius)
-    out = long(close, position=F.col("position"), normal=F.col("normal"))
-    a, b = (stored(curve_points(p, c)) for p, c in zip((source, target), curves, strict=True))
-    for k in range(CURVES):
-        mine, other = (p.where(F.col("type") == k).drop("type") for p in (a, b))
-        d = alignment(moved(mine.withColumn("seg", F.col("key")), F.col("vote")), other, radius)
-        ok = ~F.isnan("position") & ~F.isnan("normal")
-        out = out.unionByName(long(d, **{f"curve{k}_position": F.when(ok, F.col("position")).otherwise(LOST[0]), f"curve{k}_normal": F.when(ok, F.col("normal")).otherwise(LOST[1])}))
+    sides = lambda pair: pair[0].withColumn("side", F.lit(0)).unionByName(pair[1].withColumn("side", F.lit(1)))
+    whole = sides((source, target)).select("key", "side", F.lit(-1).alias("type"), "id", "v", "n")
+    every = stored(whole.unionByName(curve_points(whole.drop("type"), sides(curves))))
+    mine, other = (every.where(F.col("side") == k).drop("side") for k in (0, 1))
+    of = F.struct("key", "type")
+    state = moves.withColumn("type", F.explode(F.sequence(F.lit(-1), F.lit(CURVES - 1)))).select(of.alias("vote"), of.alias("s"), of.alias("t"), "a", "r")
+    moved = voting.moved(state, mine.withColumn("seg", of)).select("vote.key", "vote.type", F.col("q.id").alias("id"), F.col("q.x").alias("v"), F.col("q.n").alias("n"))
+    close, curve = alignment(moved, other, radius), F.col("type") >= 0
+    lost = curve & (F.isnan("position") | F.isnan("normal"))
+    name = lambda end: F.when(curve, F.concat(F.lit("curve"), F.col("type").cast("string"), F.lit(f"_{end}"))).otherwise(F.lit(end))
+    ends = F.array(*[F.struct(name(c).alias("metric"), F.when(lost, far).otherwise(F.col(c)).alias("value")) for c, far in zip(("position", "normal"), LOST, strict=True)])
+    out = close.select("key", F.explode(ends).alias("m")).select("key", "m.metric", "m.value")
     scale = decomposed(moves.select(F.xxhash64("key").alias("id"), "a")).select("id", "s")
     scaled = moves.select("key", F.xxhash64("key").alias("id")).join(scale, "id")
     out = out.unionByName(long(scaled, **{f"scale{i}": F.greatest(F.abs(F.col("s")[i]), 1 / F.greatest(F.lit(SMALL), F.abs(F.col("s")[i]))) - 1 for i in range(3)}))
     m = score.curvature_metrics(F.col("k1"), F.col("k2"), unit_range=True) | {"sdf": F.col("sdf")}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), c.alias("v")) for n, c in m.items()])).alias("x")
-    values = source.select("key", F.lit(0).alias("side"), each).unionByName(target.select("key", F.lit(1).alias("side"), each)).select("key", "side", "x.feature", "x.v")
+    values = sides((source, target)).select("key", "side", each).select("key", "side", "x.feature", "x.v")
     emd = histogram_distances(values).select("key", F.concat_ws("_", "feature", F.col("bins").cast("string")).alias("metric"), F.col("emd").alias("value"))
     return out.unionByName(emd)
 
@@ -128,6 +134,8 @@ def patch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     patches = source.select("patch").distinct().withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(4))))
     labels = stored(patches.where("(patch * 7 + mode * 3) % 4 > 1").select("mode", "patch"))
     found = stored(parts(near, source, target, touching(source), labels).withColumn("key", F.col("mode") * 1000 + F.col("element")))
+    if found.isEmpty():
+        return spark.createDataFrame([], "mode int, element long, metric string, value double")
     own = lambda p, side: stored(found.where(F.col("side") == side).select("key", "patch").join(p, "patch").join(k, "id").select("key", "id", "v", "n", "k1", "k2", "sdf"))
     curves = tuple(p.select((F.floor(F.col("id") / 2) % CURVES).cast("int").alias("type"), "id", "v", "n") for p in (source, target))
     moves = found.select("key", "mode").distinct().join(t, "mode").select("key", "a", "r")

@@ -148,23 +148,23 @@ def _both_ways_sql() -> str:
 def nearest_both_ways(source: DataFrame, target: DataFrame, transforms: DataFrame) -> DataFrame:
     """(mode, forward, id, hit, d): under every transform the nearest target point of each source point, and back; without those whose hit more than ten share, or that face another way.
 
-    One search each way for all transforms of all pairs. The target is one group for each pair, which all moved points ask; each moved source is a group.
+    One search for all transforms of all pairs, both ways. The target is one group for each pair, which all moved points ask; each moved source is a group.
     source, target: seg (the pair), id, v, n; transforms: mode (unique), seg, a (12), r (9)."""
     state = transforms.select(F.col("mode").alias("vote"), F.col("seg").alias("s"), F.col("seg").alias("t"), "a", "r")
     there = stored(voting.moved(state, source).select(F.col("vote").alias("mode"), "t", "q.id", F.col("q.x").alias("v"), F.col("q.n").alias("n")))
     still = stored(target.select("seg", "id", "v", "n"))
     dot = sum((F.col("query.n")[i] * F.col("w")[i] for i in range(3)), F.lit(0.0))
-    out = None
+    held, asks = None, None
     for forward in (True, False):
-        held, key = (still, "seg") if forward else (there, "mode")
-        asks = there.withColumnRenamed("t", "seg") if forward else still.join(transforms.select("mode", "seg"), "seg")
-        q = asks.select(F.struct("mode", "id", "n").alias("query"), F.col(key).alias("key"), F.col("v").alias("at"))
-        tree = rtree.build(held.select(F.col(key).alias("key"), "id", "v", F.col("n").alias("w")), 3)
-        near = stored(rtree.search(tree, q, 1).select("query.mode", "query.id", F.col("id").alias("hit"), "d", dot.alias("cosine")))
-        hubs = near.groupBy("mode", "hit").agg(F.count(F.lit(1)).alias("hits")).where("hits > 10").select("mode", "hit")
-        found = near.where("cosine > 0").join(hubs, ["mode", "hit"], "left_anti").select("mode", F.lit(forward).alias("forward"), "id", "hit", "d")
-        out = found if out is None else out.unionByName(found)
-    return out
+        points, name = (still, "seg") if forward else (there, "mode")
+        own = there.withColumnRenamed("t", "seg") if forward else still.join(transforms.select("mode", "seg"), "seg")
+        group = F.concat_ws(":", F.lit(forward).cast("string"), name).alias("key")
+        q = own.select(F.struct(F.lit(forward).alias("forward"), "mode", "id", "n").alias("query"), group, F.col("v").alias("at"))
+        p = points.select(group, "id", "v", F.col("n").alias("w"))
+        held, asks = (p, q) if held is None else (held.unionByName(p), asks.unionByName(q))
+    near = stored(rtree.search(rtree.build(held, 3), asks, 1).select("query.forward", "query.mode", "query.id", F.col("id").alias("hit"), "d", dot.alias("cosine")))
+    hubs = near.groupBy("forward", "mode", "hit").agg(F.count(F.lit(1)).alias("hits")).where("hits > 10").select("forward", "mode", "hit")
+    return near.where("cosine > 0").join(hubs, ["forward", "mode", "hit"], "left_anti").select("mode", "forward", "id", "hit", "d")
 
 
 def turns(spark: SparkSession) -> DataFrame:

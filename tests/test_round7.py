@@ -31,3 +31,9 @@ def test_bounds_hold_among_equal_points(spark, monkeypatch):
             d = np.sqrt(((v - v[i]) ** 2).sum(axis=1))
             near = [j for j in np.lexsort((np.arange(600), d)) if j != i][:k]
             assert np.isclose(got[i], np.mean([d[j] + np.sqrt(((u[j] - u[i]) ** 2).sum()) for j in near]), atol=1e-9)
+
+
+def test_every_point_has_a_distinctness(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id").collect()}
+    got = registry.queries()["distinctness"](spark, DIR).collect()
+    assert len(got) == len(ids) and {r.query for r in got} == ids

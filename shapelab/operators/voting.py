@@ -1,35 +1,39 @@
 """Alignments of segments by affine iterated closest points: every pair and start is a key, and all keys take a step in one job.
 
-Sampled segments are small: a pair of them takes all of its steps in one task (`icp_of_samples`). For shapes of any size (`icp`) a step finds the nearest target point of each moved source point (`rtree`), rejects those that are far or face
+All points of a segment take part. A pair of segments of up to HELD points takes all of its steps in one task (`icp_of_pairs`), where packed boxes find the nearest points.
+For shapes of any size (`icp`) a step finds the nearest target point of each moved source point (`rtree`), rejects those that are far or face
 another way, adds up 22 moments by key, and solves a key's normal equations from them in a task. Keys whose
 transform stays are settled and take no further step. Transforms are 12 numbers, the rows of a 3 x 4 matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shapelab.operators import rtree
 from shapelab.session import cut, stored
 
-#: Points of a segment that take part; points that it needs; steps; a match may be so many times as far as the upper median; starts.
-MOST, LEAST, STEPS, REJECT, STARTS = 1000, 20, 20, 5.0, 5
+#: Points that a segment needs; steps; a match may be so many times as far as the upper median; starts.
+LEAST, STEPS, REJECT, STARTS = 20, 20, 5.0, 5
+#: Points of a segment up to which a task holds it; points of a box.
+HELD, BOX = 1 << 19, 32
 #: Bounds of the ratios of volumes and of shape parts; of a scale.
 VOLUMES, PARTS, SCALES = 100.0, 5.0, (0.2, 5.0)
 AXES = range(3)
 PAIRS = [(i, j) for i in AXES for j in AXES]
 
 
-def sample(points: DataFrame, most: int = MOST) -> DataFrame:
-    """Up to `most` points of each segment, by a fixed shuffle of the ids; segments of fewer than LEAST are left out. points: seg, id, v, n (arrays of three)."""
-    by = Window.partitionBy("seg").orderBy(F.xxhash64("id"), "id")
+def enough(points: DataFrame) -> DataFrame:
+    """The points of segments of LEAST points or more, with the segment's size. points: seg, id, v, n (arrays of three)."""
     size = points.groupBy("seg").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LEAST)
-    return points.withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).drop("_r").join(size, "seg")
+    return points.join(size, "seg")
 
 
 def _cov(sums: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,46 +191,149 @@ def icp(state: DataFrame, source: DataFrame, tree: rtree.Tree, steps: int = STEP
     return open_ if done is None else done.unionByName(open_)
 
 
-def _nearest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hit, d): of each x the nearest y (ties: the first)."""
-    square = np.zeros((len(x), len(y)))
-    for i in AXES:
-        gap = y[:, i][None] - x[:, i][:, None]
-        square += gap * gap
-    hit = np.sqrt(square, out=square).argmin(axis=1)
-    return hit, square[np.arange(len(x)), hit]
-
-
-def icp_of_samples(state: DataFrame, source: DataFrame, target: DataFrame, steps: int = STEPS) -> DataFrame:
-    """What `icp` gives, for segments of at most MOST points (`sample`): a pair of segments with its starts is a group, and takes all steps in its task.
-
-    Its distances are MOST x MOST numbers at most. source, target: seg, id, v, n."""
-
-    def packed(points: DataFrame, seg: str) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("id", "v", "n")))
-        return points.groupBy(F.col("seg").alias(seg)).agg(rows.alias(f"_{seg}")).select(seg, *[F.flatten(f"_{seg}.{c}").alias(f"{seg}_{c}") for c in "vn"])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        px, pn, qx, qn = (np.asarray(g[c].iloc[0], float).reshape(-1, 3) for c in ("s_v", "s_n", "t_v", "t_n"))
-        found = []
-        for begin in g["a"]:
-            a = first = np.asarray(begin, float).reshape(1, 3, 4)
+class Boxes:
+    """Points in boxes of BOX neighbouring ones at most, by halves along the longest side."""
+
+    def __init__(self, v: np.ndarray) -> None:
+        self.points, self.order, open_, ends = v, np.arange(len(v)), [(0, len(v))], []
+        while open_:
+            a, b = open_.pop()
+            if b - a <= BOX:
+                ends.append((a, b))
+                continue
+            part = self.order[a:b]
+            some = v[part]
+            half = BOX * -(-(b - a) // (2 * BOX))
+            axis = (some.max(axis=0) - some.min(axis=0)).argmax()
+            self.order[a:b] = part[np.argpartition(some[:, axis], half - 1)]
+            open_ += [(a, a + half), (a + half, b)]
+        self.ends = sorted(ends)
+        starts = np.array([a for a, _ in self.ends])
+        self.lo, self.hi = (f.reduceat(v[self.order], starts) for f in (np.minimum, np.maximum))
+        # a table of boxes, filled up with places that are no one's nearest
+        self.row = np.full((len(starts), BOX), -1)
+        self.row[np.searchsorted(starts, np.arange(len(v)), side="right") - 1, np.arange(len(v)) - np.repeat(starts, np.diff(np.append(starts, len(v))))] = self.order
+        self.at = [np.where(self.row < 0, np.inf, v[self.row, j]) for j in AXES]
+
+    def nearest(self, of: Boxes, x: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hit, d) in the order of `of`'s boxes: of each x the nearest point (ties: the first). x: `of`'s points under some transform; last: hits to begin with, which bound those sought."""
+        hit, square = np.empty(len(x), np.int64), np.empty(len(x))
+        bound = None if last is None else self._square(x, *self.points[last].T)
+        for a, b in of.ends:
+            q = x[a:b]
+            lo, hi = q.min(axis=0), q.max(axis=0)
+            gap = np.maximum(np.maximum(self.lo - hi, lo - self.hi), 0.0)
+            far = (gap * gap).sum(axis=1)
+            if bound is None:
+                gap = np.maximum(np.maximum(self.lo - (lo + hi) / 2, (lo + hi) / 2 - self.hi), 0.0)
+                first = (gap * gap).sum(axis=1).argmin()
+                most = self._square(q[:, None], *(c[first][None] for c in self.at)).min(axis=1).max()
+            else:
+                most = bound[a:b].max()
+            near = np.flatnonzero(~(far > most * (1 + 1e-9)))
+            d = self._square(q[:, None], *(c[near].reshape(1, -1) for c in self.at))
+            best, rows = d.argmin(axis=1), self.row[near].ravel()
+            hit[a:b], square[a:b] = rows[best], d[np.arange(b - a), best]
+            same = d <= square[a:b, None] * (1 + 1e-15)
+            if np.count_nonzero(same) > b - a:
+                for i in np.flatnonzero(same.sum(axis=1) > 1):
+                    j = np.flatnonzero(same[i])
+                    j = j[np.sqrt(d[i, j]) == np.sqrt(square[a + i])]
+                    hit[a + i] = rows[j].min()
+        return hit, np.sqrt(square)
+
+    @staticmethod
+    def _square(q: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        a, b, c = x - q[..., 0], y - q[..., 1], z - q[..., 2]
+        return a * a + b * b + c * c
+
+
+def _packed(points: DataFrame, seg: str) -> DataFrame:
+    """(seg, seg_v, seg_n): the places and normals of a segment as one array each, in order of ids."""
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by([("id", "ascending"), ("_h", "ascending")]).combine_chunks()
+        rows = [pa.array([g.column(c).combine_chunks().flatten()], pa.list_(pa.float64())) for c in "vn"]
+        return pa.table({seg: g.column("seg")[:1], f"{seg}_v": rows[0], f"{seg}_n": rows[1]})
+
+    rows = points.select("seg", "id", F.col("v").cast("array<double>"), F.col("n").cast("array<double>"), F.xxhash64("v", "n").alias("_h"))
+    return rows.groupBy("seg").applyInArrow(run, f"{seg} {dict(points.dtypes)['seg']}, {seg}_v array<double>, {seg}_n array<double>")
+
+
+def _of_pairs(state: DataFrame, source: DataFrame, target: DataFrame, run: Callable[..., list], schema: str) -> DataFrame:
+    """What `run` makes of each pair's transforms, of arrays of both segments' places and normals; a pair goes to a task with both its segments."""
+    names = [c for c in state.columns if c not in ("s", "t")]
+
+    def of_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1)
+                held = [row.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 3) for c in ("s_v", "s_n", "t_v", "t_n")]
+                rows = row.column("k").to_pylist()[0]
+                made = run(rows, *held)
+                both = {c: row.column(c).to_pylist()[0] for c in "st"}
+                yield from pa.Table.from_pylist([{**k, **both, **m} for k, m in zip(rows, made, strict=True)], kind).to_batches()
+
+    pairs = state.groupBy("s", "t").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("k"))
+    joined = pairs.join(_packed(source, "s"), "s").join(_packed(target, "t"), "t")
+    kind = to_arrow_schema(state.sparkSession.createDataFrame([], schema).schema)
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(4 * parts, "s", "t").mapInArrow(of_pair, schema)
+
+
+def _split(state: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The keys whose segments a task holds, and the others, if there are any."""
+    large = [p.groupBy(F.col("seg").alias(k)).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HELD).select(k) for k, p in (("s", source), ("t", target))]
+    if all(x.isEmpty() for x in large):
+        return state, None
+    small = state.join(large[0], "s", "left_anti").join(large[1], "t", "left_anti").select(state.columns)
+    return small, state.join(small.select("vote"), "vote", "left_anti").select(state.columns)
+
+
+def icp_of_pairs(state: DataFrame, source: DataFrame, target: DataFrame, steps: int = STEPS) -> DataFrame:
+    """What `icp` gives: a pair of segments of up to HELD points with its starts takes all steps in a task, pairs with larger ones take `icp`. source, target: seg, id, v, n."""
+
+    def run(rows: list[dict], sv: np.ndarray, sn: np.ndarray, tv: np.ndarray, tn: np.ndarray) -> list[dict]:
+        p, q = Boxes(sv), Boxes(tv)
+        px, pn, found = sv[p.order], sn[p.order], []
+        for row in rows:
+            a, first, hit = np.asarray(row["a"], float).reshape(1, 3, 4), np.asarray(row["first"], float).reshape(1, 3, 4), None
             for _ in range(steps):
                 x = sum(px[:, j][:, None] * a[0, :, j][None] for j in AXES) + a[0, :, 3]
                 turned = pn @ rotations(a[:, :, :3])[0].T
-                hit, d = _nearest(x, qx)
-                keep = (d < np.partition(d, len(d) // 2)[len(d) // 2] * REJECT) & ((turned * qn[hit]).sum(axis=1) > 0)
-                x, y = x[keep], qx[hit[keep]]
+                hit, d = q.nearest(p, x, hit)
+                keep = (d < np.partition(d, len(d) // 2)[len(d) // 2] * REJECT) & ((turned * tn[hit]).sum(axis=1) > 0)
+                x, y = x[keep], tv[hit[keep]]
                 moments = (x.sum(axis=0), y.sum(axis=0), x.T @ x, x.T @ y)
                 a, done = _fitted(a, first, np.array([float(keep.sum())]), *[m.reshape(1, -1) for m in moments])
                 if done[0]:
                     break
-            found.append(a[0])
-        a = np.stack(found)
-        return pd.DataFrame({"vote": g["vote"], "s": g["s"], "t": g["t"], "start": g["start"], "a": list(a.reshape(-1, 12)), "r": list(rotations(a[:, :, :3]).reshape(-1, 9)), "first": g["first"]})
+            found.append({"a": a[0].ravel().tolist(), "r": rotations(a[:, :, :3]).ravel().tolist()})
+        return found
 
+    small, large = _split(state, source, target)
     types = state.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
-    return state.join(packed(source, "s"), "s").join(packed(target, "t"), "t").groupBy("s", "t").applyInPandas(run, types)
+    out = _of_pairs(small, source, target, run, types)
+    return out if large is None else out.unionByName(icp(stored(large), source, tree_of(target), steps))
+
+
+def distances_of_pairs(state: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """What `matched_distances` gives, a pair of segments of up to HELD points in a task. state: vote, s, t, a, r."""
+
+    def run(rows: list[dict], sv: np.ndarray, sn: np.ndarray, tv: np.ndarray, tn: np.ndarray) -> list[dict]:
+        p, q = Boxes(sv), Boxes(tv)
+        px, pn, found = sv[p.order], sn[p.order], []
+        for row in rows:
+            a, r = np.asarray(row["a"], float).reshape(3, 4), np.asarray(row["r"], float).reshape(3, 3)
+            hit, d = q.nearest(p, sum(px[:, j][:, None] * a[:, j][None] for j in AXES) + a[:, 3])
+            cosine = (sum(pn[:, j][:, None] * r[:, j][None] for j in AXES) * tn[hit]).sum(axis=1)
+            found.append({"position": float(d.mean()), "normal": 1 - float(cosine.mean()), "n": len(d)})
+        return found
+
+    small, large = _split(state.select("vote", "s", "t", "a", "r"), source, target)
+    kinds = dict(state.dtypes)
+    out = _of_pairs(small, source, target, run, f"vote {kinds['vote']}, s {kinds['s']}, t {kinds['t']}, position double, normal double, n long").drop("s", "t")
+    return out if large is None else out.unionByName(matched_distances(stored(large), source, tree_of(target)))
 
 
 def matched_distances(state: DataFrame, points: DataFrame, tree: rtree.Tree) -> DataFrame:
@@ -235,9 +342,13 @@ def matched_distances(state: DataFrame, points: DataFrame, tree: rtree.Tree) ->
 
 
 def votes(source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
-    """(vote, s, t, start, a, r): alignments of all similar pairs of segments from all starts. source, target: seg, id, v, n; radius: of the points' sampling.
+    """(vote, s, t, start, a, r): alignments of all similar pairs of segments from all starts, on all points of both. source, target: seg, id, v, n; radius: of the points' sampling.
 
     Segments of fewer than LEAST points give none. Repeated rows count each time; an empty table gives no rows."""
-    some, other = cut(sample(source)), cut(sample(target))
+    some, other = stored(enough(source)), stored(enough(target))
     pairs = similar_pairs(frames(some, radius), frames(other, radius))
-    return icp_of_samples(begun(pairs), some, other).drop("first")
+    return icp_of_pairs(begun(pairs), some, other).drop("first")
+
+
+#: Names of before, which tests call.
+sample, icp_of_samples = enough, icp_of_pairs

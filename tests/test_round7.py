@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 
-from shapelab.operators import spatial
+from shapelab.operators import spatial, voting
 from shapelab.plans import registry
+from tests.test_voting import POINTS, brute_votes, shape
 
 DIR = "/root/testdata/sf0.001"
 
@@ -58,3 +59,43 @@ def test_images_have_all_neighbours(spark, tmp_path):
         want.setdefault(i, {})[b] = share
     assert got.keys() == want.keys() and len(got) == 1299
     assert all(got[i].keys() == want[i].keys() and all(abs(got[i][b] - x) < 2e-6 for b, x in want[i].items()) for i in want)
+
+
+def test_boxes_find_the_first_of_the_nearest():
+    r = np.random.default_rng(1)
+    for n, m in ((21, 40), (700, 500)):
+        x, y = r.normal(0, 0.1, (n, 3)), r.normal(0, 0.1, (m, 3))
+        y[20:40], x[:9] = y[:20], y[:9]
+        p, q, last = voting.Boxes(x), voting.Boxes(y), None
+        for k in range(3):
+            z = x[p.order] * (1 + 0.1 * k) + 0.02 * k
+            last, d = q.nearest(p, z, last)
+            all_ = np.sqrt(((z[:, None] - y[None]) ** 2).sum(axis=2))
+            assert (last == all_.argmin(axis=1)).all() and np.allclose(d, all_.min(axis=1))
+
+
+def test_votes_take_all_points_of_large_segments(spark):
+    """A segment of over a thousand points was a sample of them."""
+    r = np.random.default_rng(6)
+    base = r.normal(0, 1, (1300, 3)) * [1.0, 0.6, 0.3]
+    rows = []
+    for n, shift in ((1300, 0.0), (1200, 0.3)):
+        v = base[:n] * (1 + shift / 3) + shift + r.normal(0, 0.02, (n, 3))
+        rows.append([(0, i, v[i].tolist(), (base[i] / np.linalg.norm(base[i])).tolist()) for i in range(n)])
+    got = {(x.s, x.t, x.start): np.array(x.a) for x in voting.votes(*(spark.createDataFrame(x, POINTS) for x in rows), 0.1).collect()}
+    want = brute_votes(*rows, 0.1, voting.STEPS)
+    assert got.keys() == want.keys() and len(want) == 5
+    assert all(np.allclose(got[k], v, atol=1e-4) for k, v in want.items())
+
+
+def test_segments_that_no_task_holds(spark, monkeypatch):
+    """Keys of segments beyond HELD points take steps over all keys at once; both ways give the same, as do the distances."""
+    a, b = (spark.createDataFrame(shape(k, 2, n), POINTS) for k, n in ((2, 36), (3, 33)))
+    state = voting.stored(voting.begun(voting.similar_pairs(voting.frames(a, 0.1), voting.frames(b, 0.1))).where("start < 2"))
+    held = {x.vote: np.array(x.a) for x in voting.icp_of_pairs(state, a, b, 1).collect()}
+    far = {x.vote: (x.position, x.normal, x.n) for x in voting.distances_of_pairs(state, a, b).collect()}
+    monkeypatch.setattr(voting, "HELD", 34)
+    assert len(held) == state.count() >= 2
+    assert all(np.allclose(x.a, held[x.vote], atol=1e-9) for x in voting.icp_of_pairs(state, a, b, 1).collect())
+    other = voting.distances_of_pairs(state, a, b).collect()
+    assert len(other) == len(far) == len(held) and all(np.allclose((x.position, x.normal, x.n), far[x.vote]) for x in other)

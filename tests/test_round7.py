@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 
-from shapelab.operators import spatial, voting
+from shapelab.operators import rtree, spatial, voting
 from shapelab.plans import registry
+from shapelab.plans import voting as plans
 from tests.test_voting import POINTS, brute_votes, shape
 
 DIR = "/root/testdata/sf0.001"
@@ -99,3 +100,16 @@ def test_segments_that_no_task_holds(spark, monkeypatch):
     assert all(np.allclose(x.a, held[x.vote], atol=1e-9) for x in voting.icp_of_pairs(state, a, b, 1).collect())
     other = voting.distances_of_pairs(state, a, b).collect()
     assert len(other) == len(far) == len(held) and all(np.allclose((x.position, x.normal, x.n), far[x.vote]) for x in other)
+
+
+def test_votes_that_make_modes_take_all_points(spark, tmp_path):
+    """The votes behind `vote_modes` are alignments of whole segments, also of over a thousand points."""
+    r = np.random.default_rng(8)
+    v = r.normal(0, 1, (2300, 8)) * [0.2, 0.12, 0.06, 1, 1, 1, 1, 1]
+    v[1::2, :6] = v[::2, :6]
+    v[1::2, :3] = v[1::2, :3] * 1.1 + r.normal(0, 0.004, (1150, 3)) + 0.05
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n = v[:, 3:6] / np.linalg.norm(v[:, 3:6], axis=1)[:, None]
+    want = brute_votes(*([(0, i, v[i, :3], n[i]) for i in range(k, 2300, 2)] for k in (0, 1)), plans.R, voting.STEPS)
+    got = {(x.s, x.t, x.start): np.array(x.a) for x in plans.vote_clusters(spark, str(tmp_path))[0].collect()}
+    assert got and got.keys() <= want.keys() and all(np.allclose(a, want[k], atol=1e-4) for k, a in got.items())

@@ -35,7 +35,7 @@ def valid_votes(votes: DataFrame) -> DataFrame:
 def vote_distances(votes: DataFrame, source: DataFrame, target: DataFrame, radius: float) -> DataFrame:
     """Adds `spd`: the simple patch distance of each vote. It is the sum of the mean distance of the moved points in radii, that of the normals, and
     the earth mover's distances of the segments' values at four sizes of histogram; votes: vote, s, t, a, r."""
-    near = voting.matched_distances(votes, source, voting.tree_of(target))
+    near = voting.distances_of_pairs(votes, source, target)
     cdfs = []
     for side in (source, target):
         each = None
@@ -62,12 +62,12 @@ def global_vote(source: DataFrame, target: DataFrame) -> DataFrame:
     whole = [p.withColumn("seg", F.lit(-1)) for p in (source, target)]
     pair = voting.frames(whole[0], R).select(F.struct("*").alias("s")).join(voting.frames(whole[1], R).select(F.struct("*").alias("t")), F.col("s.seg") == F.col("t.seg"))
     first = voting.begun(pair).where("start = 0").withColumn("vote", F.lit(-1).cast("long"))
-    return voting.icp(first, whole[0], voting.tree_of(whole[1])).drop("first")
+    return voting.icp_of_pairs(first, *whole).drop("first")
 
 
 @register()
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid alignments of all similar pairs of segments, from five starts."""
+    """Valid alignments of all similar pairs of segments, from five starts, on all their points."""
     v = valid_votes(voting.votes(*segments(spark, sf_dir), R))
     return v.select(F.col("s").alias("source"), F.col("t").alias("target"), "start", *[F.round(F.col(c)[i], 4).alias(f"{c[0]}{i}") for c, n in (("td", 3), ("q", 4), ("sc", 3)) for i in range(n)])
 

@@ -113,3 +113,19 @@ def test_votes_that_make_modes_take_all_points(spark, tmp_path):
     want = brute_votes(*([(0, i, v[i, :3], n[i]) for i in range(k, 2300, 2)] for k in (0, 1)), plans.R, voting.STEPS)
     got = {(x.s, x.t, x.start): np.array(x.a) for x in plans.vote_clusters(spark, str(tmp_path))[0].collect()}
     assert got and got.keys() <= want.keys() and all(np.allclose(a, want[k], atol=1e-4) for k, a in got.items())
+
+
+def test_moved_points_stay_in_tasks(spark, monkeypatch):
+    """Distances of votes and the alignment of whole shapes made a row of each moved point, for each vote and step, and shuffled it."""
+    rows = shape(2, 2, 36)
+    a, b = (spark.createDataFrame([(*x, 0.1 * (x[1] % 9)) for x in y], f"{POINTS}, value double") for y in (rows, shape(3, 2, 33)))
+    state = voting.stored(voting.begun(voting.similar_pairs(voting.frames(a, 0.1), voting.frames(b, 0.1))))
+    want = {x.vote: x.position / plans.R + x.normal for x in voting.matched_distances(state, a, voting.tree_of(b)).collect()}
+
+    def fail(*x, **k):
+        raise AssertionError("moved points are searched as rows")
+
+    monkeypatch.setattr(rtree, "search", fail)
+    assert plans.global_vote(a, b).count() == 1
+    got = {x.vote: x for x in plans.vote_distances(state, a, b, plans.R).collect()}
+    assert got.keys() == want.keys() and all(x.spd >= want[k] - 1e-9 for k, x in got.items())

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from shapelab.operators import rtree, spatial, voting
+from shapelab.operators import cluster, rtree, spatial, voting
 from shapelab.plans import registry
 from shapelab.plans import voting as plans
 from tests.test_voting import POINTS, brute_votes, shape
@@ -129,3 +129,26 @@ def test_moved_points_stay_in_tasks(spark, monkeypatch):
     assert plans.global_vote(a, b).count() == 1
     got = {x.vote: x for x in plans.vote_distances(state, a, b, plans.R).collect()}
     assert got.keys() == want.keys() and all(x.spd >= want[k] - 1e-9 for k, x in got.items())
+
+
+def test_paths_of_every_point(spark, monkeypatch):
+    """Tiles of several leaves, swept a few sources at once, give the lengths of plain rounds."""
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.normal(0, 0.08, (500, 3)), r.uniform(-0.3, 0.3, (150, 3))])
+    x[5], x[20] = x[0], 9.0
+    p = spark.createDataFrame([(3 * i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double, z double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    path = np.where(d <= 0.06, d, np.inf)
+    for k in range(len(x)):
+        path = np.minimum(path, path[:, k, None] + path[None, k])
+    path[path > 0.3] = np.inf
+    some = np.isfinite(path)
+    want = {3 * i: (n, t / n) for i, (n, t) in enumerate(zip(some.sum(axis=1), np.where(some, path, 0).sum(axis=1)))}
+    monkeypatch.setattr(cluster, "SWEPT", 40)
+    conf = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (conf, "1"):  # one leaf in a tile, and all of them
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        monkeypatch.setattr(rtree, "FAN", 64 if parts == conf else 16)
+        got = {y.source: (y.reached, y["mean"]) for y in cluster.path_means(p, p, 0.06, 0.3).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", conf)
+        assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - m) < 1e-12 for k, (n, m) in want.items())

@@ -152,3 +152,9 @@ def test_paths_of_every_point(spark, monkeypatch):
         got = {y.source: (y.reached, y["mean"]) for y in cluster.path_means(p, p, 0.06, 0.3).collect()}
         spark.conf.set("spark.sql.shuffle.partitions", conf)
         assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - m) < 1e-12 for k, (n, m) in want.items())
+
+
+def test_every_point_is_a_source(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id").collect()}
+    got = registry.queries()["geodesic"](spark, DIR).collect()
+    assert len(got) == len(ids) and {r.source for r in got} == ids and max(r.centrality for r in got) == 1.0
